@@ -1,0 +1,140 @@
+"""Secrets, licenses, fingerprints and URLs against plain Python."""
+
+import hashlib
+import re
+
+from skein.llm import license_rules, merkle, secret_ledger, url_templates
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def base_secrets(text):
+    out = []
+    for m in re.finditer(r"""([a-zA-Z_]+)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" if False else r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets_equal_brute_force(docs, rows):
+    findings, ledger = secret_ledger.scan(docs)
+    got = sorted(map(tuple, secret_ledger.digest(secret_ledger.by_path(docs, findings)).drop("spans").collect()))
+    want = []
+    for i, t in rows:
+        base = base_secrets(t)
+        n = [sum(x[1] == k for x in base) for k in range(3)]
+        want.append((i, *n, sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in base))))
+    assert got == sorted(want)
+    assert ledger.count() == len({t for _, t in rows})
+
+
+def test_secrets_are_scanned_once(spark, docs):
+    one = docs.limit(50).cache()
+    findings, ledger = secret_ledger.scan(one)
+    again, more = secret_ledger.scan(one, ledger)
+    assert again.count() == 0 and more.count() == 0
+    rules = (*secret_ledger.RULES, secret_ledger.Rule("word", "hexahedron", "hexa"))
+    _, other = secret_ledger.scan(one, ledger, rules=rules)
+    assert other.count() == ledger.count()
+
+
+def test_secrets_added_kinds(spark):
+    df = spark.createDataFrame([(1, "x -----BEGIN RSA PRIVATE KEY----- y ghp_" + "a" * 36)], "doc_id long, text string")
+    f, _ = secret_ledger.scan(df)
+    assert {r["kind"] for r in f.collect()} == {"private_key", "host_token"}
+
+
+def base_licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    places, labels = [], set()
+    for phrase, label in license_rules.BASE:
+        p = phrase.split()
+        at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licenses_equal_brute_force(docs, rows):
+    got = license_rules.scan(docs).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got), key=repr) == sorted(((i, *base_licenses(t)) for i, t in rows), key=repr)
+    for r in got:
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
+
+
+def test_license_priorities(spark):
+    texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: Apache-2.0", "GNU Lesser General Public License v2.1", "nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_rules.scan(df).collect()}
+    assert got[0] == ("mit", 0.9) and got[1] == ("cc-by,cc-by-nc", 0.9) and got[2] == ("apache-2.0", 1.0) and got[4] == ("", 0.0)
+    assert got[3][0] == "gpl,lgpl-2.1"
+    assert len(license_rules.rules()) > 200
+
+
+def test_fingerprints(docs, rows):
+    got = {}
+    for r in merkle.edits(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    order = sorted(rows)
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert any(r["edited_sha256"] == sha(edited) and r["n_chars"] == len(t) and (r["fingerprint"] == r["edited_fingerprint"]) == (t == edited) for r in got[i]), i
+    fps = {}
+    for i, rs in got.items():
+        for r in rs:
+            assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+            assert (r["first_edited_section"] is None) == (r["fingerprint"] == r["edited_fingerprint"])
+    for i, t in rows:
+        fps.setdefault(t, set()).update(r["fingerprint"] for r in got[i])
+    assert all(len(x) == 1 for x in fps.values()) and len({next(iter(x)) for x in fps.values()}) == len(fps)
+
+
+def test_fingerprints_of_few(spark, empty):
+    assert merkle.edits(empty).count() == 0
+    one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
+    assert merkle.edits(one).first()["edited_sha256"] == sha("abcabc")
+
+
+def test_urls(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    odd = [None, "", "no scheme", "x://", "http://A.Example.ORG?x/es/", "ftp://h#f", "http://EXAMPLE.org/es/1?q#z", "http://a.example.org/en/12", "http://xexample.org/es/1", "http://com/de/", "http://a.b.com/de"]
+    both = pages.unionByName(spark.createDataFrame([(10_000 + k, u) for k, u in enumerate(odd)], "page_id long, url string")).selectExpr("*", "1 AS host", "2 AS s0", "3 AS purity")
+    got = {r["page_id"]: r for r in url_templates.judge(both).collect()}
+    for r in both.collect():
+        u = r["url"] or ""
+        host = path = ""
+        if "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.split("[/?#]", rest, maxsplit=1)[0]
+            path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = host.translate(LOWER)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_templates.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        g = got[r["page_id"]]
+        assert (g["host"], g["path"]) == (host, path)
+        if fits:
+            assert (g["rule"], g["verdict"]) == max(fits)[1:]
+        else:
+            assert g["rule"] is None and g["verdict"] in ("allow", "block")
+    assert len(got) == both.count()
+
+
+def test_bad_templates_are_rejected(spark):
+    rows = [(k, f"http://bad.com/de/{k}") for k in range(30)] + [(100 + k, f"http://bad.com/x/{k}") for k in range(5)] + [(200 + k, f"http://good.net/p/{k}") for k in range(5)]
+    got = {r["page_id"]: r["verdict"] for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[100] == "block" and got[200] in ("allow", "block") and got[3] == "block"
+
+
+def test_empty_tables(spark, empty):
+    assert license_rules.scan(empty).count() == 0
+    f, ledger = secret_ledger.scan(empty)
+    assert secret_ledger.by_path(empty, f).count() == 0 and ledger.count() == 0
+    assert url_templates.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
