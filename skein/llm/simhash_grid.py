@@ -105,20 +105,24 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of edges (a, b) reaches.
 
-    Least-label rounds with pointer jumping; each round is written to the shared folder. Sums are
-    partial before every shuffle and joins are to unique keys, so a node of very many links does
-    not gather anywhere.
+    Each round points every node to its least neighbour or itself, jumps once along the pointers, and contracts: edges between roots
+    remain, distinct, until there are none. Their number falls by more than half a round. All is written to the shared folder; sums are partial
+    before every shuffle and joins are to unique keys, so a node of very many links gathers nowhere.
     """
-    both = written(edges.unionByName(edges.selectExpr("b AS a", "a AS b")), "cc-links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS root"), "cc-labels")
+    edges = written(edges, "cc-edges")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = ends.select("node", F.col("node").alias("root"))
     while True:
-        heard = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
-        near = labels.join(heard.hint("merge"), labels.node == heard.a, "left").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
-        far = near.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        stepped = near.join(far.hint("merge"), near.root == far.at, "left").select("node", "was", F.least("root", "next").alias("root"))
-        stepped = written(stepped, "cc-labels")
-        labels = stepped.select("node", "root")
-        if stepped.where("was <> root").limit(1).count() == 0:
+        least = edges.select(F.inline(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to")), F.struct(F.col("b").alias("at"), F.col("a").alias("to")))))
+        least = written(least.groupBy("at").agg(F.min("to").alias("to")).select("at", F.least("at", "to").alias("to")), "cc-least")
+        next_ = least.select(F.col("at").alias("via"), F.col("to").alias("end"))
+        step = written(least.join(next_.hint("merge"), F.col("to") == F.col("via")).select("at", F.col("end").alias("to")), "cc-step")
+        labels = labels.join(step.hint("merge"), labels.root == step.at, "left").select("node", F.coalesce("to", "root").alias("root"))
+        labels = written(labels, "cc-labels")
+        left = edges.join(step.hint("merge"), edges.a == step.at).select(F.col("to").alias("x"), "b")
+        both = left.join(step.hint("merge"), left.b == step.at).select("x", F.col("to").alias("y")).where("x <> y")
+        edges = written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+        if edges.limit(1).count() == 0:
             return labels
 
 
@@ -131,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fp = written(fingerprints(docs, id_col, text_col), "simhash-fp")
     distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    roots = components(written(links(distinct), "simhash-links"))
+    roots = components(links(distinct))
     linked = distinct.join(roots.hint("merge"), distinct.fp == roots.node).select("fp", "least_id", "root")
     least = linked.groupBy("root").agg(F.min("least_id").alias("root_id"))
     named = linked.join(least.hint("merge"), "root").select(F.col("fp").alias("linked_fp"), "root_id")
