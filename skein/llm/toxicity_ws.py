@@ -29,12 +29,13 @@ STARTS = (4, 5, 7)
 DENSITY_VOTERS, MIN_DENSITY = 2, 0.008
 MIN_WORD_DOCS = 5
 FEATURES = 1 << 17
+#: No unbounded repeat of a group: the JVM would recurse for each turn and overflow its stack on long texts.
 PATTERNS = {
-    "shouting": r"(?:\b\p{Lu}{2,}\b[^\p{L}]*){4,}",
+    "shouting": r"(?:\b\p{Lu}{2,}\b[^\p{L}]*){4}",
     "marks": r"[!?]{2,}",
     "address": r"(?i)\b(?:you(?:'re| are)?|du bist|tu es|eres)\b",
     "noise": r"\p{L}(?:[#$%&*]{2,})",
-    "repetition": r"\b(\p{L}+)(?: \1\b){3,}",
+    "repetition": r"\b(\p{L}+)(?: \1\b){3}",
 }
 
 
