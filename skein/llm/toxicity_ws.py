@@ -221,5 +221,6 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """docs without those that are predicted toxic."""
-    toxic = scores(docs, labels, id_col, **more).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
+    # written first: a filter pushed below the model would compute all votes anew for each term
+    toxic = written(scores(docs, labels, id_col, **more), "toxic-scores").where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(toxic.hint("merge"), id_col, "left_anti")
