@@ -35,7 +35,7 @@ PATTERNS = {
     "marks": r"[!?]{2,}",
     "address": r"(?i)\b(?:you(?:'re| are)?|du bist|tu es|eres)\b",
     "noise": r"\p{L}(?:[#$%&*]{2,})",
-    "repetition": r"\b(\p{L}+)(?: \1\b){3}",
+    "repetition": r"\b(\p{L}++)(?: \1\b){3}",
 }
 
 
@@ -48,10 +48,6 @@ def runs(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
-def words(text: Column) -> Column:
-    return F.array_distinct(runs(text))
-
-
 def _start(n: int):
     return lambda w: F.when(F.length(w) >= n, F.substring(w, 1, n)).otherwise("")
 
@@ -69,15 +65,15 @@ class Lexicons:
         self.voters = len(words) + len(starts) + 1 + len(PATTERNS)
 
 
-def votes(text: Column, found: Column, lex: Lexicons) -> Column:
-    """One number, base 3, of all voters' votes: 0 abstains, 1 votes clean, 2 votes toxic.
+def votes(text: Column, every: Column, found: Column, lex: Lexicons) -> Column:
+    """One number, base 3, of all voters' votes: 0 abstains, 1 votes clean, 2 votes toxic. every: the text's letter runs; found: the distinct ones.
 
     A word voter votes toxic if one of its words occurs, a density voter if its beginnings are frequent enough, else they abstain; one more votes
     clean if no word of any lexicon occurs. A pattern voter votes toxic where its pattern occurs; the model may learn that this means nothing.
     """
     hits = [F.when(F.arrays_overlap(found, F.array(*map(F.lit, x))), 2).otherwise(0) for x in lex.words]
     low = F.lower(text)
-    hits += [F.when(F.regexp_count(low, F.lit(p)) >= least * (F.regexp_count(low, F.lit(r"\p{L}+")) + 10), 2).otherwise(0) for p, least in lex.starts]
+    hits += [F.when(F.regexp_count(low, F.lit(p)) >= least * (F.size(every) + 10), 2).otherwise(0) for p, least in lex.starts]
     every = [w for x in lex.words for w in x]
     hits.append(F.when(F.arrays_overlap(found, F.array(*map(F.lit, every))), 0).otherwise(1) if every else F.lit(0))
     hits += [F.when(text.rlike(p), 2).otherwise(0) for p in PATTERNS.values()]
@@ -144,7 +140,7 @@ class LabelModel:
 
 
 def _lexicons(labelled: DataFrame) -> Lexicons:
-    """From labelled rows (text, found, toxic): words by smoothed log odds of presence, beginnings by the ratio of their mean densities; each dealt in turn to its voters."""
+    """From labelled rows (every, found, toxic): words by smoothed log odds of presence, beginnings by the ratio of their mean densities; each dealt in turn to its voters."""
     n = {int(r["toxic"]): r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos:
@@ -154,7 +150,7 @@ def _lexicons(labelled: DataFrame) -> Lexicons:
     # the evidence is discounted for rare words
     top = per.where(F.col("p") >= MIN_WORD_DOCS).withColumn("s", odds - 1.5 / F.sqrt(F.col("p"))).where(F.col("s") > math.log(20))
     top = [r["word"] for r in top.orderBy(F.desc("s"), "word").limit(LEXICON_WORDS).collect()]
-    each = labelled.select("toxic", runs(F.col("text")).alias("every"), F.size("found").alias("kinds"))
+    each = labelled.select("toxic", "every")
     each = each.withColumn("share", 1.0 / (F.size("every") + 10))
     # a beginning counts once for each word of a text and start, by the text's share
     dense = each.select("toxic", "share", F.explode(starts(F.col("every"))).alias("start")).groupBy("start").agg(
@@ -164,7 +160,9 @@ def _lexicons(labelled: DataFrame) -> Lexicons:
     dense = dense.where("p >= 4 * n AND p > 1e-4").orderBy(F.desc(F.col("p") * F.log(F.col("p") / F.col("n"))), "start").limit(LEXICON_WORDS).collect()
     rows = [r for r in dense if not any(r["start"] != o["start"] and r["start"].startswith(o["start"]) for o in dense)]
     groups = [x for k in range(DENSITY_VOTERS) if (x := rows[k::DENSITY_VOTERS])]
-    patterns = [(r"(?<!\p{L})(?:" + "|".join(sorted(r["start"] for r in x)) + ")", MIN_DENSITY) for x in groups]
+    # the class of first letters rules out most places before the look behind
+    firsts = lambda x: "".join(sorted({r["start"][0] for r in x}))
+    patterns = [(f"(?=[{firsts(x)}])(?<!\\p{{L}})(?:" + "|".join(sorted(r["start"] for r in x)) + ")", MIN_DENSITY) for x in groups]
     return Lexicons([x for k in range(LEXICON_VOTERS) if (x := top[k::LEXICON_VOTERS])], patterns)
 
 
@@ -189,33 +187,36 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
     share = max(1, docs.count() // max(1, train_docs))
     sampled = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(share)) == 0
-    gold = docs.join(F.broadcast(marks), "doc_id")  # at most labelled_rows ids
-    gold = written(gold.select("doc_id", "text", "toxic", words(F.col("text")).alias("found")), "toxic-gold")
+    gold = docs.join(F.broadcast(marks), "doc_id").withColumn("every", runs(F.col("text")))  # at most labelled_rows ids
+    gold = written(gold.withColumn("found", F.array_distinct("every")), "toxic-gold")
     lexicons = _lexicons(gold)
-    result = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), words(F.col("text")).alias("found"))
     if not lexicons.words and not lexicons.starts:
-        return result.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     voters = lexicons.voters
-    code = votes(F.col("text"), F.col("found"), lexicons)
+    code = votes(F.col("text"), F.col("every"), F.col("found"), lexicons)
+    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="terms", outputCol="features")
+
+    def seen(rows: DataFrame, *keep: str) -> DataFrame:
+        rows = rows.select(*keep, "found", code.alias("code"))  # computed once, used for each voter
+        return hashing.transform(rows.withColumn("terms", terms(F.col("found"), F.col("code"), voters))).select(*keep, "code", "features")
+
+    # every text is read and split once; counting, training and scoring read what is written here
+    each = docs.withColumn("every", runs(F.col("text"))).withColumn("found", F.array_distinct("every"))
+    each = written(seen(each, "doc_id"), "toxic-votes")
+    gold = written(seen(gold, "toxic"), "toxic-gold-votes")
     # at most 3 ** voters patterns, whatever the number of documents
-    pattern = docs.select("text", words(F.col("text")).alias("found")).select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()
-    known = gold.select(code.alias("code"), "toxic").groupBy("code", "toxic").agg(F.count("*").alias("n")).collect()
+    pattern = each.groupBy("code").agg(F.count("*").alias("n")).collect()
+    known = gold.groupBy("code", "toxic").agg(F.count("*").alias("n")).collect()
     model = LabelModel(np.array([r["code"] for r in pattern]), np.array([r["n"] for r in pattern], float), np.array([[r["code"], r["toxic"], r["n"]] for r in known]), voters)
-    train = docs.where(sampled & ~held_out(F.col("doc_id"))).select("text", words(F.col("text")).alias("found"))
-    train = train.unionByName(gold.select("text", "found"))
-    train = train.select("found", code.alias("code"))
-    train = train.select(terms(F.col("found"), F.col("code"), voters).alias("terms"), model.column(F.col("code")).alias("p"))
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="terms", outputCol="features")
+    train = each.where(sampled & ~held_out(F.col("doc_id"))).select("features", "code").unionByName(gold.select("features", "code"))
+    p = model.column(F.col("code"))
     pair = F.array(*(F.struct(F.lit(y).alias("label"), w.alias("weight")) for y, w in ((1.0, F.col("p")), (0.0, 1 - F.col("p")))))
-    train = train.select("terms", F.inline(pair)).where("weight > 0.001")
-    train = written(hashing.transform(train).select("features", "label", "weight"), "toxic-train")
+    train = written(train.select("features", p.alias("p")).select("features", F.inline(pair)).where("weight > 0.001"), "toxic-train")
     fitted = LogisticRegression(weightCol="weight", regParam=2e-4, maxIter=40, standardization=False, aggregationDepth=2).fit(train)
     from pyspark.ml.functions import vector_to_array
 
-    result = result.select("doc_id", "held_out", "found", code.alias("code"))  # computed once, used for each voter
-    result = result.select("doc_id", "held_out", terms(F.col("found"), F.col("code"), voters).alias("terms"))
-    scored = fitted.transform(hashing.transform(result))
-    scored = scored.select("doc_id", "held_out", vector_to_array("probability")[1].alias("score"))
+    scored = fitted.transform(each)
+    scored = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), vector_to_array("probability")[1].alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
