@@ -41,10 +41,11 @@ def recency(timestamp: Column, now: Column | None = None, tau: float = TAU) -> C
 
 
 def tag_boost(tags: Column) -> Column:
+    """Share of the boosting tags that a row has; 0 without tags."""
+    tags = F.coalesce(tags, F.expr("CAST(array() AS array<string>)"))
     return F.size(F.array_intersect(tags, F.array(*map(F.lit, BOOST_TAGS)))) / 3.0
 
 
 def conceptual(distance: Column, timestamp: Column, tags: Column, now: Column | None = None) -> Column:
     a, b, c = CONCEPT
-    tags = F.coalesce(tags, F.expr("CAST(array() AS array<string>)"))
     return a * similarity(distance) + b * recency(timestamp, now) + c * tag_boost(tags)
