@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-A text is reduced to its words, joined by single spaces. Some hundreds of regular expressions over words, each gated by a keyword that
-must occur as a word, report intervals of words. Rules have a priority, 1 the strongest; a detection contained in another of the same
+A text is reduced to its words, joined by single spaces. Some hundreds of regular expressions over words, each gated by keywords of which
+one must occur as a word, report intervals of words. Rules have a priority, 1 the strongest; a detection contained in another of the same
 or a stronger priority is suppressed, and of equal intervals the stronger, then earlier rule stays. Base phrases are always kept. Only built-in functions
 run on the rows.
 """
@@ -17,15 +17,15 @@ from skein.llm.matches import pieces, placed, spaces
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: (label, keyword, name as a pattern over words). The keyword must be a word of every match.
+#: (label, keywords parted by |, name as a pattern over words). One of the keywords must be a word of every match.
 FAMILIES = (
     ("apache-2.0", "apache", r"apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?"),
     ("apache-1.1", "apache", r"apache (?:software )?(?:license )?(?:version |v)?1 1"),
     ("apache", "apache", r"apache (?:software )?license"),
-    ("mit", "mit", r"(?:mit|expat) (?:license|licence|x11)"),
+    ("mit", "mit|expat", r"(?:mit|expat) (?:license|licence|x11)"),
     ("x11", "x11", r"x11 (?:license|licence)"),
     ("isc", "isc", r"isc (?:license|licence)"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|two clause bsd|freebsd)"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|two clause bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("0bsd", "0bsd", r"0bsd"),
@@ -33,23 +33,23 @@ FAMILIES = (
     ("gpl-1.0", "gnu", r"gnu (?:general public license|gpl)(?: version| v)? ?1(?: 0)?"),
     ("gpl-2.0", "gnu", r"gnu (?:general public license|gpl)(?: version| v)? ?2(?: 0)?"),
     ("gpl-3.0", "gnu", r"gnu (?:general public license|gpl)(?: version| v)? ?3(?: 0)?"),
-    ("gpl-2.0", "gpl", r"gpl ?(?:version |v)?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"gpl ?(?:version |v)?3(?: 0)?"),
+    ("gpl-2.0", "gpl|gpl2|gplv2|gplversion", r"gpl ?(?:version |v)?2(?: 0)?"),
+    ("gpl-3.0", "gpl|gpl3|gplv3|gplversion", r"gpl ?(?:version |v)?3(?: 0)?"),
     ("gpl-2.0", "gplv2", r"gplv2"),
     ("gpl-3.0", "gplv3", r"gplv3"),
     ("gpl", "gnu", r"gnu (?:general public license|gpl)"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: version| v)? ?2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"lgpl ?(?:version |v)?2 1"),
-    ("lgpl-3.0", "lgpl", r"lgpl ?(?:version |v)?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl|lgpl2|lgplv2|lgplversion", r"lgpl ?(?:version |v)?2 1"),
+    ("lgpl-3.0", "lgpl|lgpl3|lgplv3|lgplversion", r"lgpl ?(?:version |v)?3(?: 0)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public license"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3.0", "agpl", r"agpl ?(?:version |v)?3(?: 0)?"),
+    ("agpl-3.0", "agpl|agpl3|agplv3|agplversion", r"agpl ?(?:version |v)?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public license"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation license(?: (?:version |v)?1 [123])?"),
     ("mpl-1.1", "mozilla", r"mozilla public license (?:version |v)?1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public license (?:version |v)?2(?: 0)?"),
-    ("mpl-2.0", "mpl", r"mpl ?(?:version |v)?2(?: 0)?"),
+    ("mpl-2.0", "mpl|mpl2|mplv2|mplversion", r"mpl ?(?:version |v)?2(?: 0)?"),
     ("mpl", "mozilla", r"mozilla public license"),
     ("epl-1.0", "eclipse", r"eclipse public license (?:version |v)?1 0"),
     ("epl-2.0", "eclipse", r"eclipse public license (?:version |v)?2 0"),
@@ -57,8 +57,8 @@ FAMILIES = (
     ("cddl-1.0", "cddl", r"cddl(?: (?:version |v)?1 0)?"),
     ("cddl", "distribution", r"common development and distribution license"),
     ("cpl-1.0", "common", r"common public license(?: (?:version |v)?1 0)?"),
-    ("eupl-1.1", "eupl", r"eupl ?(?:version |v)?1 1"),
-    ("eupl-1.2", "eupl", r"eupl ?(?:version |v)?1 2"),
+    ("eupl-1.1", "eupl|eupl1|euplv1|euplversion", r"eupl ?(?:version |v)?1 1"),
+    ("eupl-1.2", "eupl|eupl1|euplv1|euplversion", r"eupl ?(?:version |v)?1 2"),
     ("eupl", "european", r"european union public licen[cs]e"),
     ("artistic-2.0", "artistic", r"artistic license (?:version |v)?2(?: 0)?"),
     ("artistic-1.0", "artistic", r"artistic license (?:version |v)?1(?: 0)?"),
@@ -92,12 +92,49 @@ FAMILIES = (
     ("cc-by-sa", "sa", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc", r"cc by [1-4] [05]"),
     ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
+    ("cc-by-sa", "sharealike|share", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial(?: [1-4] [05])?"),
     ("public-domain", "domain", r"(?:dedicated to|placed in|in) the public domain"),
     ("reserved", "reserved", r"(?:all|some) rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
 )
+#: Names that say a license only after a declaration or a grant (priorities 1 and 2), as FAMILIES. Of equal intervals those of FAMILIES stay.
+BARE = (
+    ("mit", "mit|expat", r"(?:mit|expat)"),
+    ("x11", "x11", r"x11"),
+    ("isc", "isc", r"isc"),
+    ("bsd", "bsd", r"bsd"),
+    ("zlib", "zlib", r"zlib(?: libpng)?"),
+    ("apache", "apache", r"apache"),
+    ("gpl-1.0", "gpl|gpl1|gplv1|gplversion", r"gpl ?(?:version |v)?1(?: 0)?"),
+    ("gpl", "gpl", r"gpl"),
+    ("lgpl", "lgpl", r"lgpl"),
+    ("agpl", "agpl", r"agpl"),
+    ("gfdl", "gfdl", r"gfdl(?: (?:version |v)?1 [123])?"),
+    ("mpl-1.1", "mpl", r"mpl (?:version |v)?1 1"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl-1.0", "epl", r"epl (?:version |v)?1 0"),
+    ("epl-2.0", "epl", r"epl (?:version |v)?2 0"),
+    ("epl", "epl", r"epl"),
+    ("cpl-1.0", "cpl", r"cpl (?:version |v)?1 0"),
+    ("eupl", "eupl", r"eupl"),
+    ("artistic-2.0", "artistic", r"artistic (?:version |v)?2(?: 0)?"),
+    ("artistic-1.0", "artistic", r"artistic (?:version |v)?1(?: 0)?"),
+    ("bsl-1.0", "bsl", r"bsl 1 0"),
+    ("busl-1.1", "busl", r"busl 1 1"),
+    ("sspl-1.0", "sspl", r"sspl(?: 1 0)?"),
+    ("elastic-2.0", "elastic", r"elastic (?:version |v)?2(?: 0)?"),
+    ("psf-2.0", "psf", r"psf 2 0"),
+    ("php-3.01", "php", r"php (?:version |v)?3 01"),
+    ("postgresql", "postgresql", r"postgresql"),
+    ("ncsa", "ncsa", r"ncsa"),
+    ("openssl", "openssl", r"openssl"),
+    ("ruby", "ruby", r"ruby"),
+    ("vim", "vim", r"vim"),
+    ("ofl-1.1", "ofl", r"ofl 1 1"),
+    ("ms-pl", "ms", r"ms pl"),
+    ("ms-rl", "ms", r"ms rl"),
+)
 #: (priority, keyword or empty for the family's own, pattern around a name). A declared identifier, then a grant, a reference, a bare name.
 PHRASES = (
     (1, "spdx", r"spdx license identifier {name}(?: or later| only)?"),
@@ -109,10 +146,10 @@ CONFIDENCE = (1.0, 0.9, 0.8, 0.6)
 
 
 def rules() -> list[tuple[int, int, str, str, str]]:
-    """(number, priority, label, keyword, pattern over words), in order."""
+    """(number, priority, label, keywords parted by |, pattern over words), in order."""
     out = []
     for priority, keyword, around in PHRASES:
-        for label, own, name in FAMILIES:
+        for label, own, name in FAMILIES + (BARE if priority <= 2 else ()):
             out.append((len(out), priority, label, keyword or own, f"(?<= ){around.format(name=f'(?:{name})')}(?= )"))
     return out
 
@@ -142,12 +179,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_sort(F.array_distinct(F.transform("base", lambda x: x.label))).alias("base_set"),
     )
     table = rules()
-    words = sorted({r[3] for r in table})
-    literal = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(rx).alias("rx")) for n, p, label, k, rx in table))
+    words = sorted({k for r in table for k in r[3].split("|")})
+    literal = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split("|"))).alias("any"), F.lit(rx).alias("rx")) for n, p, label, k, rx in table))
     gate = f" ({'|'.join(words)})(?= )"
     gated = docs.where(F.col("s").rlike(gate)).select("doc_id", "of", "s", F.array_distinct(F.regexp_extract_all("s", F.lit(gate), F.lit(1))).alias("keywords"))
     fired = F.flatten(F.transform(
-        F.filter(literal, lambda r: F.array_contains(F.col("keywords"), r.keyword)),
+        F.filter(literal, lambda r: F.arrays_overlap(F.col("keywords"), r["any"])),
         lambda r: F.transform(pieces(F.col("s"), r.rx, spaces), lambda m, i: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), i.alias("ord"), m.gap.alias("gap"), m["size"].alias("size"))),
     ))
     # a match of n words holds n - 1 spaces, and the one before the first word of the text starts at 1

@@ -1,6 +1,7 @@
 """Secrets, licenses, fingerprints and URLs against plain Python."""
 
 import hashlib
+import itertools
 import re
 
 from skein.llm import license_rules, merkle, secret_ledger, url_templates
@@ -78,6 +79,56 @@ def test_license_priorities(spark):
     assert len(license_rules.rules()) > 200
 
 
+def every_string(parsed):
+    """All strings of a pattern of literals, classes, branches, and repeats of at most two times."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "IN":
+            more = [chr(x) for o, a in arg for x in ([a] if str(o) == "LITERAL" else range(a[0], a[1] + 1))]
+        elif kind == "BRANCH":
+            more = [x for b in arg[1] for x in every_string(b)]
+        elif kind == "SUBPATTERN":
+            more = every_string(arg[3])
+        elif kind == "MAX_REPEAT":
+            assert arg[1] <= 2
+            one = every_string(arg[2])
+            more = [x for n in range(arg[0], arg[1] + 1) for x in map("".join, itertools.product(one, repeat=n))]
+        else:
+            raise AssertionError(kind)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_stand_in_every_match():
+    for label, keywords, name in license_rules.FAMILIES + license_rules.BARE:
+        for s in every_string(re._parser.parse(name)):
+            assert set(s.split()) & set(keywords.split("|")), (label, s)
+
+
+def ungated_licenses(text):
+    """Labels by all rules without a gate, in plain Python."""
+    s = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))) + " "
+    found = [(m.start(), m.end(), p, n, label) for n, p, label, _, rx in license_rules.rules() for m in re.finditer(rx, s)]
+    stays = lambda x: not any(y[0] <= x[0] and y[1] >= x[1] and y[2] <= x[2] and (y[:2] != x[:2] or (y[2], y[3]) < (x[2], x[3])) for y in found)
+    return {x[4] for x in found if stays(x)} | set(filter(None, base_licenses(text)[4].split(",")))
+
+
+def test_licenses_equal_all_rules_ungated(spark):
+    want = {
+        "the Expat License": "mit", "a FreeBSD license": "bsd-2-clause", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "MPLv2": "mpl-2.0", "EUPLv1.2": "eupl-1.2", "GPL3": "gpl-3.0",
+        "LGPLv2.1": "lgpl-2.1", "Creative Commons Attribution Share Alike 4.0": "cc-by-sa", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc",
+        "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "It is licensed under MIT.": "mit", "licensed under GPL version 2": "gpl-2.0",
+        "licensed under the Apache License, Version 2.0": "apache-2.0", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "at MIT we use vim, zlib and ruby": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_rules.scan(df).collect()}
+    for k, (text, labels) in enumerate(want.items()):
+        assert got[k] == labels == ",".join(sorted(ungated_licenses(text))), text
+
+
 def test_fingerprints(docs, rows):
     got = {}
     for r in merkle.edits(docs).collect():
