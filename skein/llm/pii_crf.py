@@ -3,8 +3,9 @@
 Base spans come from four patterns (email, ip, card, phone) that are scanned in linear time. The field adds what the
 patterns miss. Its nodes are the tokens that hold a digit or an at sign, with the tokens beside them; chain edges join
 neighbours, skip edges join each token to the next one in the same document with the same or a similar form (same letters
-and digits whatever the punctuation). Loopy sum-product in the log domain, all edges of a batch at once, passes
-evidence along both kinds of edge: a number that a pattern found once marks its other mentions.
+and digits whatever the punctuation), and to the last such one before it (else the first after it) that is in a base span, so that
+what a pattern found reaches every mention over one edge. Loopy sum-product in the log domain, all edges of a batch at once, passes
+evidence along all edges until a document's messages stay: a number that a pattern found once marks its other mentions.
 
 Weights are fitted piecewise: node potentials from counts of (form, cue, label), chain and skip potentials from counts of
 label pairs, over a bounded sample of documents (TRAIN_DOCS) whose labels are the base spans.
@@ -26,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents from which the field's weights are counted.
 TRAIN_DOCS = 20_000
 MIN_POSTERIOR = 0.9
-ROUNDS = 6
+#: Messages of a document that change by less than this stay; SETTLE rounds are allowed beyond its longest runs of edges.
+TOLERANCE, SETTLE = 1e-4, 60
 _LABELS = 5  # 0 is no personal data, then KINDS
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,10 +106,13 @@ class Graph:
         self.span: list[tuple[int, int, int]] = []  # document, start, end
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.found: list[tuple[int, int]] = []  # skip edges to a mention in a base span that is not the next one; not counted for weights
+        self.bound: dict[int, int] = {}  # document: rounds that its longest runs of chain and skip edges need
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         end, before = 0, -1
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
+        run = longest = 0
         spans = sorted((a, b, k) for k, a, b in base)
         at = 0
         for m in _TOKEN.finditer(text):
@@ -128,14 +133,25 @@ class Graph:
             self.form.append(_form(core, _CUE.get(word, 0)))
             self.label.append(label)
             self.span.append((doc, lead, lead + len(core)))
+            run = run + 1 if near else 0
+            longest = max(longest, run)
             if near:
                 self.chain.append((before, me))
             key = "".join(c for c in core.lower() if c.isalnum() or c == "@")
             if len(key) >= 4:
-                if key in seen:
-                    self.skip.append((seen[key], me))
-                seen[key] = me
+                seen.setdefault(key, []).append(me)
             before = me
+        for like in seen.values():
+            self.skip += zip(like, like[1:], strict=False)
+            first = next((k for k, x in enumerate(like) if self.label[x]), None)
+            if first is not None:
+                at = first
+                for k, x in enumerate(like):
+                    if self.label[x]:
+                        at = k
+                    elif abs(at - k) > 1:
+                        self.found.append((like[at], x))
+        self.bound[doc] = longest + max(map(len, seen.values()), default=0) + SETTLE
 
 
 def _counts(docs: DataFrame) -> list[tuple[str, int, int, int]]:
@@ -176,30 +192,42 @@ class Field:
             self.pair[part] = np.clip(np.log(joint / np.outer(side, side)), -4, 4)
 
     def posteriors(self, g: Graph) -> np.ndarray:
-        """Label probabilities of each node after ROUNDS of messages over all edges; nodes in base spans are held at their label."""
+        """Label probabilities of each node once the messages of its document stay; nodes in base spans are held at their label."""
         unary = np.array([self.node.get(f, self.default) for f in g.form]).reshape(-1, _LABELS)
         held = np.array(g.label, np.int64)
         fixed = held > 0
         unary[fixed] = -30.0
         unary[fixed, held[fixed]] = 0.0
-        edges = [(a, b, p) for p, e in (("chain", g.chain), ("skip", g.skip)) for a, b in e]
+        edges = [(a, b, p) for p, e in (("chain", g.chain), ("skip", g.skip), ("skip", g.found)) for a, b in e]
         belief = unary.copy()
         if edges:
             a = np.array([e[0] for e in edges])
             b = np.array([e[1] for e in edges])
-            pot = np.array([self.pair[e[2]] for e in edges])
-            src, dst = np.concatenate((a, b)), np.concatenate((b, a))
-            pot = np.concatenate((pot, pot.transpose(0, 2, 1)))
-            back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
-            msg = np.zeros((len(src), _LABELS))
-            for _ in range(ROUNDS):
-                x = (belief[src] - msg[back])[:, :, None] + pot
+            doc = np.array([x[0] for x in g.span])[a]
+            kind = np.array([e[2] == "skip" for e in edges], np.int64)
+            both = np.array([self.pair["chain"], self.pair["skip"]])
+            bound = np.zeros(max(g.bound) + 1, np.int64)
+            bound[list(g.bound)] = list(g.bound.values())
+            msg = np.zeros((2, len(edges), _LABELS))  # from a to b, from b to a
+            live, rounds = np.arange(len(edges)), 0
+            while len(live):  # edges of documents whose messages still change; documents share no edge
+                at, src, dst = live, np.concatenate((a[live], b[live])), np.concatenate((b[live], a[live]))
+                pot = np.concatenate((both[kind[at]], both[kind[at]].transpose(0, 2, 1)))
+                old, back = np.concatenate((msg[0, at], msg[1, at])), np.concatenate((msg[1, at], msg[0, at]))
+                x = (belief[src] - back)[:, :, None] + pot
                 top = x.max(1)
                 new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
-                msg = 0.3 * msg + 0.7 * (new - new.max(1, keepdims=True))
-                belief = unary.copy()
+                new = 0.3 * old + 0.7 * (new - new.max(1, keepdims=True))
+                msg[0, at], msg[1, at] = new[: len(at)], new[len(at) :]
+                nodes, place = np.unique(dst, return_inverse=True)
+                belief[nodes] = unary[nodes]
                 for y in range(_LABELS):
-                    belief[:, y] += np.bincount(dst, msg[:, y], len(belief))
+                    belief[nodes, y] += np.bincount(place, new[:, y], len(nodes))
+                rounds += 1
+                moved = np.abs(new - old).max(1)
+                moving = np.zeros(len(bound), bool)
+                moving[doc[at][np.maximum(moved[: len(at)], moved[len(at) :]) >= TOLERANCE]] = True
+                live = at[(moving & (rounds < bound))[doc[at]]]
         p = np.exp(belief - belief.max(1, keepdims=True)) if len(belief) else belief
         return p / p.sum(1, keepdims=True) if len(p) else p
 

@@ -57,6 +57,33 @@ def test_skip_edges_carry_labels():
     assert [text[a:b] for _, a, b in added] == ["555-5526"]
 
 
+def test_evidence_reaches_every_mention():
+    field = pii_crf.Field([("node", pii_crf._form("555-5526", 0), 4, 50), ("node", pii_crf._form("555-5526", 0), 0, 50), ("node", pii_crf._form("12", 0), 0, 1000), ("skip", 4, 4, 40), ("skip", 0, 0, 40), ("chain", 0, 0, 500)])
+    text = "or 555-5526 then " * 30 + "call +1 (243) 555-5526 " + "or later 555-5526. a 555-9999 " * 30
+    base = pii_crf.base_spans(text)
+    assert len(base) == 1
+    for rows in ([text], ["", "a 12 b", text]):
+        added = field.added(rows, [pii_crf.base_spans(t) for t in rows], 0.9)[-1]
+        assert [text[a:b] for _, a, b in added] == ["555-5526"] * 60
+
+
+def test_messages_end_where_the_exact_sums_are():
+    field = pii_crf.Field([("node", pii_crf._form("555-5526", 0), 4, 60), ("node", pii_crf._form("555-5526", 0), 0, 50), ("node", pii_crf._form("5555526", 4), 4, 90), ("node", pii_crf._form("5555526", 4), 0, 1), ("skip", 4, 4, 40), ("skip", 0, 0, 40)])
+    g = pii_crf.Graph()
+    g.add(0, "call 5555526 " + "or 555-5526 then " * 40, [])
+    assert len(g.skip) == 40 and not g.chain and not g.found
+    unary = np.exp([field.node.get(f, field.default) for f in g.form])
+    pot, n = np.exp(field.pair["skip"]), len(g.form)
+    ahead, behind = np.ones((n, 5)), np.ones((n, 5))
+    for k in range(1, n):
+        ahead[k] = (unary[k - 1] * ahead[k - 1]) @ pot
+        ahead[k] /= ahead[k].max()
+        behind[n - 1 - k] = pot @ (unary[n - k] * behind[n - k])
+        behind[n - 1 - k] /= behind[n - 1 - k].max()
+    want = unary * ahead * behind
+    assert np.abs(field.posteriors(g) - want / want.sum(1, keepdims=True)).max() < 1e-3
+
+
 def test_tiles_catch_reordering(spark):
     item = " ".join(f"w{k}" for k in range(20))
     words = item.split()
