@@ -1,20 +1,21 @@
 """URL filters: rules of hosts and paths, and a tree of path templates for what no rule decides.
 
 For each host, path segments that vary (numbers, identifiers, or a position with very many values) become wildcards; sibling branches whose labelled rates do not differ
-by a two-proportion z test are merged into one wildcard branch, from the deepest level up. A template is rejected where its labelled purity, smoothed
+by a two-proportion z test are merged into one wildcard branch, from the deepest level of the data up. A template is rejected where its labelled purity, smoothed
 towards its parent, host and corpus, reaches MIN_PURITY. Labels are the verdicts of the rules. Only built-in functions run on the rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import lower_ascii, written
+from skein.llm.common import lower_ascii, shared_dir, written
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 3
 MIN_PURITY = 0.8
 PRIOR_WEIGHT = 4.0
 MANY_VALUES, DISTINCT_SHARE = 16, 0.5
@@ -38,11 +39,11 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r.rule.alias("rule"), r.verdict.alias("verdict"))))
 
 
-def segments(path: Column) -> list[Column]:
-    """The first DEPTH segments of a path, numbers and identifiers generalised; null beyond the end."""
+def shape(path: Column) -> Column:
+    """All segments of a path, numbers and identifiers generalised, joined by slashes; empty for a path without segments."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     wild = F.transform(parts, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("{id}")).otherwise(F.regexp_replace(x, "[0-9]+", "{n}")))
-    return [F.get(wild, F.lit(k)) for k in range(DEPTH)]
+    return F.array_join(wild, "/")
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,36 +53,54 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b.hint("merge"), on, "left").drop(*(f"_{k}" for k in keys))
 
 
+def _up(k: int | Column) -> Column:
+    """The first k levels of template t as one string; segments hold no slash."""
+    return F.array_join(F.slice("t", F.lit(1), F.lit(k) if isinstance(k, int) else k), "/")
+
+
+def _with_level(k: int, value: Column) -> Column:
+    return F.transform("t", lambda x, i: F.when(i == k, value).otherwise(x))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
-    """(host, s0..., t0..., purity): for each shape (host, s0..., n, labelled, bad) its template and the template's smoothed purity."""
-    level = [f"t{k}" for k in range(DEPTH)]
-    tree = shapes.select("*", *(F.col(f"s{k}").alias(f"t{k}") for k in range(DEPTH)))
-    for k in range(DEPTH):  # from the top: a position that varies too much
-        up = ["host", *level[:k]]
-        varied = tree.where(F.col(level[k]).isNotNull()).groupBy(*up).agg(F.approx_count_distinct(level[k]).alias("values"), F.sum("n").alias("pages"))
-        tree = _join(tree, varied, up)
+    """(host, shape, t, purity): for each shape (host, shape, n, labelled, bad) its template, an array of levels, and the template's smoothed purity.
+
+    The tree is as deep as the deepest shape. A pass handles one level and holds only the shapes that reach it; those that end
+    are written for the pass that comes back up.
+    """
+    spark, folder = shapes.sparkSession, f"{shared_dir(shapes.sparkSession)}/url-ended-{uuid.uuid4().hex}"
+    tree = shapes.withColumn("t", F.filter(F.split("shape", "/"), lambda x: x != ""))
+    depth = tree.agg(F.max(F.size("t"))).first()[0] or 0
+    for k in range(depth):  # from the top: a position that varies too much
+        tree.where(F.size("t") == k).write.parquet(f"{folder}/{k}")
+        tree = tree.where(F.size("t") > k).withColumn("up", _up(k))
+        varied = tree.groupBy("host", "up").agg(F.approx_count_distinct(F.get("t", F.lit(k))).alias("values"), F.sum("n").alias("pages"))
+        tree = _join(tree, varied, ["host", "up"])
         wide = (F.col("values") >= MANY_VALUES) & (F.col("values") >= DISTINCT_SHARE * F.col("pages"))
-        tree = tree.withColumn(level[k], F.when(F.col(level[k]).isNotNull() & F.coalesce(wide, F.lit(False)), "*").otherwise(F.col(level[k]))).drop("values", "pages")
+        tree = tree.withColumn("t", _with_level(k, F.when(F.coalesce(wide, F.lit(False)), "*").otherwise(F.get("t", F.lit(k))))).drop("up", "values", "pages")
         tree = written(tree, "url-tree")  # else each level would compute all before it anew
-    for k in reversed(range(DEPTH)):  # from the leaves up: branches alike
-        up = ["host", *level[:k]]
-        node = tree.groupBy(*up, level[k]).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        pool = tree.groupBy(*up).agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
-        node = _join(node, pool, up)
+    for k in reversed(range(depth)):  # from the leaves up: branches alike
+        ended = spark.read.schema(tree.schema).parquet(f"{folder}/{k}")
+        below = tree.withColumn("up", _up(k)).withColumn("value", F.get("t", F.lit(k)))
+        node = below.groupBy("host", "up", "value").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        pool = below.drop("value").unionByName(ended.withColumn("up", _up(k))).groupBy("host", "up").agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
+        node = _join(node, pool, ["host", "up"])
         rate = F.col("pb") / F.greatest("pl", F.lit(1))
         z = F.abs(F.col("b") / F.greatest("l", F.lit(1)) - rate) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / F.greatest("l", F.lit(1)))
-        node = node.select(*up, level[k], ((F.col("l") < LEAST_LABELLED) | (z < SIMILAR_Z)).alias("alike"))
-        tree = _join(tree, node, [*up, level[k]])
-        tree = tree.withColumn(level[k], F.when(F.col(level[k]).isNotNull() & F.col("alike"), "*").otherwise(F.col(level[k]))).drop("alike")
-        tree = written(tree, "url-tree")
-    # purity, smoothed from the corpus down
+        node = node.select("host", "up", "value", ((F.col("l") < LEAST_LABELLED) | (z < SIMILAR_Z)).alias("alike"))
+        below = _join(below, node, ["host", "up", "value"])
+        below = below.withColumn("t", _with_level(k, F.when(F.col("alike"), "*").otherwise(F.col("value")))).drop("up", "value", "alike")
+        tree = written(below.unionByName(ended), "url-tree")
+    # purity, smoothed from the corpus down to a template's levels, then to the pages that end there
     whole = tree.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
-    out = tree.withColumn("purity", F.lit((whole["b"] or 0) / max(1, whole["l"] or 0)))
-    for k in range(DEPTH + 1):
-        up = ["host", *level[:k]]
-        out = _join(out, tree.groupBy(*up).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")), up)
-        out = out.withColumn("purity", (F.col("b") + PRIOR_WEIGHT * F.col("purity")) / (F.col("l") + PRIOR_WEIGHT)).drop("l", "b")
-    return out
+    paths = written(tree.groupBy("host", "t").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")), "url-paths")
+    paths = paths.select("*", F.explode(F.sequence(F.lit(0), F.size("t") + 1)).alias("k"))
+    paths = paths.withColumn("up", _up(F.least(F.col("k"), F.size("t")))).withColumn("ends", F.col("k") > F.size("t"))
+    sums = paths.groupBy("host", "k", "up", "ends").agg(F.sum("l").alias("sl"), F.sum("b").alias("sb"))
+    steps = _join(paths, sums, ["host", "k", "up", "ends"]).groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct("k", "sl", "sb"))).alias("steps"))
+    start = F.lit((whole["b"] or 0) / max(1, whole["l"] or 0)).cast("double")
+    purity = F.aggregate("steps", start, lambda p, x: (x.sb + PRIOR_WEIGHT * p) / (x.sl + PRIOR_WEIGHT))
+    return _join(tree, steps.select("host", "t", purity.alias("purity")), ["host", "t"]).select("host", "shape", "t", "purity")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, min_purity: float = MIN_PURITY) -> DataFrame:
@@ -91,11 +110,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     any shuffle, so a host that holds most pages is no larger than its number of shapes. The list of rules is a parameter of bounded size.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    pages = pages.select("*", rule(F.col("host"), F.col("path"), rules).alias("r"), *(s.alias(f"s{k}") for k, s in enumerate(segments(F.col("path")))))
-    keys = ["host", *(f"s{k}" for k in range(DEPTH))]
+    pages = pages.select("*", rule(F.col("host"), F.col("path"), rules).alias("r"), shape(F.col("path")).alias("shape"))
+    keys = ["host", "shape"]
     shapes = pages.groupBy(*keys).agg(F.count("*").alias("n"), F.count("r").alias("labelled"), F.count_if(F.col("r.verdict") == "block").alias("bad"))
     known = templates(written(shapes, "url-shapes"))
-    known = known.select(*keys, F.concat_ws("/", F.col("host"), *(f"t{k}" for k in range(DEPTH))).alias("template"), "purity")
+    known = known.select(*keys, F.concat_ws("/", F.col("host"), F.col("t")).alias("template"), "purity")
     out = _join(pages, known, keys)
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("purity") >= min_purity, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

@@ -184,6 +184,17 @@ def test_bad_templates_are_rejected(spark):
     assert got[100] == "block" and got[200] in ("allow", "block") and got[3] == "block"
 
 
+def test_templates_reach_every_depth(spark):
+    rules = (("block", "h.com", "/a/b/c/d/bad/x"), ("allow", "h.com", "/a/b/c/d/good/x"))
+    rows = [(1000 * i + k, f"http://h.com/a/b/c/d/{kind}/x/{k}") for i, kind in enumerate(("bad", "good")) for k in range(30)]
+    rows += [(5000, "http://h.com/a/b/c/d/bad/y/1"), (5001, "http://h.com/a/b/c/d/good/y/1"), (5002, "http://h.com/a/b"), (5003, "http://h.com")]
+    got = {r["page_id"]: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert len(got) == len(rows)
+    assert got[5000]["rule"] is None and got[5000]["verdict"] == "block" and got[5000]["template"] == "h.com/*/*/*/*/bad/*/*" and got[5000]["purity"] > 0.8
+    assert got[5001]["rule"] is None and got[5001]["verdict"] == "allow" and got[5001]["template"] == "h.com/*/*/*/*/good/*/*" and got[5001]["purity"] < 0.2
+    assert got[5002]["template"] == "h.com/*/*" and got[5003]["template"] == "h.com"
+
+
 def test_empty_tables(spark, empty):
     assert license_rules.scan(empty).count() == 0
     f, ledger = secret_ledger.scan(empty)
