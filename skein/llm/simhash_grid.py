@@ -13,6 +13,7 @@ for a pair, so that a link leaves the join once and pairs that are no link never
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies meet first: links and components are sought among distinct fingerprints. Null, empty
     and wordless texts share fingerprint zero and are linked like any other. Rows repeated under one id
-    give repeated rows. An empty table gives an empty result.
+    give repeated rows. A component is named by its least id, and by null only if none of its rows has an id. An empty table gives an empty result.
     """
     fp = written(fingerprints(docs, id_col, text_col), "simhash-fp")
     distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
@@ -144,6 +145,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the least id of each component; columns and rows are otherwise as they are."""
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep.hint("merge"), id_col, "left_semi")
+    """Exactly one row of docs from each component; columns and rows are otherwise as they are.
+
+    It is the row of the least id; null ids come last, and of rows that share an id or have none the least hash of the text, then the least
+    row number stays. Rows are numbered once, in a written copy.
+    """
+    number = f"row_{uuid.uuid4().hex}"
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(number).alias("row"))
+    keyed = rows.select(key.alias("key"), F.col(text_col).alias("text"))
+    keep = near_duplicates(keyed, "key", "text").where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias(number))
+    return rows.join(keep.hint("merge"), number, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -210,6 +210,21 @@ def test_simhash_equals_brute_force(docs, rows, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(least.values())
 
 
+def test_one_row_of_each_component_stays(spark):
+    alone = ["one lonely text about rivers and stones", "quite other words on music and late trains", "third of them speaks of bread or salt"]
+    copied, shared = "copies of this line stand here more than once", "rows that share an id share this text too"
+    rows = [(None, alone[0], "a"), (None, alone[1], "b"), (7, alone[2], "c"), (None, copied, "d"), (3, copied, "e"), (5, copied, "f"), (9, shared, "g"), (9, shared, "g"), (9, shared, "h"), (None, "null ids alone", "i"), (None, "null ids alone", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = simhash_grid.keep_one(docs)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns and set(got) <= set(rows)
+    assert sorted(t for _, t, _ in got) == sorted([*alone, copied, shared, "null ids alone"])
+    assert (3, copied, "e") in got
+    # one id over two groups keeps a row of each, and no more
+    twice = spark.createDataFrame([(1, alone[0]), (1, alone[1]), (1, alone[1])], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash_grid.keep_one(twice).collect()) == sorted(alone[:2])
+
+
 def test_links_are_exact(spark):
     rnd = random.Random(4)
     fps = {0, 1 << 63, (1 << 64) - 1}
