@@ -1,4 +1,4 @@
-"""What the operators of this package share: the shared folder, written tables, and text columns."""
+"""What the operators of this package share: the shared folder, written tables, joins that split hot keys, and text columns."""
 
 from __future__ import annotations
 
@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A key is hot if it holds over one in HOT_SHARE of the rows, so there are never more than HOT_SHARE hot keys; rows of each are dealt to SALTS parts.
+HOT_SHARE, SALTS = 200, 64
+
+_local_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only a local master may go without it and gets a temporary one."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Only a local master may go without it and gets a temporary one; the session's settings stay as they are."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="skein-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local_dir.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skein-"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +31,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_split(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """big joined to small, whose keys are unique, nulls equal; how is inner or left. No task gets all rows of a hot key.
+
+    Hot keys are found by counts, summed up before the shuffle; there are at most HOT_SHARE of them. Their rows are dealt to
+    SALTS parts, and their row of small is copied to each part. All other keys join as they are.
+    """
+    found = F.xxhash64(*keys)
+    counts = big.groupBy(found.alias("h")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["h"] for r in counts.where(F.col("n") > max(100, total // HOT_SHARE)).collect()]
+    small = small.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in small.columns if c not in keys))
+    on = " AND ".join(f"{k} <=> _{k}" for k in keys)
+    if hot:
+        salt = F.when(found.isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+        big = big.withColumn("_salt", salt)
+        salts = F.when(F.xxhash64(*(f"_{k}" for k in keys)).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        small = small.withColumn("_salted", F.explode(salts))
+        on += " AND _salt = _salted"
+    return big.join(small.hint("merge"), F.expr(on), how).drop(*(f"_{k}" for k in keys), "_salt", "_salted")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -13,7 +13,9 @@ def spaces(s: Column) -> Column:
 def pieces(text: Column, pattern: Column, size) -> Column:
     """For each match in order: size of the text since the match before, size of the match, the match. size maps a string to its length in the unit that is wanted."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    return F.transform(found, lambda m, k: F.struct(size(F.get(between, k)).alias("gap"), size(m).alias("size"), m.alias("match")))
+    # both arrays are made once; in a lambda over one of them the other would be made anew for each match
+    both = F.zip_with(found, between, lambda m, b: F.struct(size(b).alias("gap"), size(m).alias("size"), m.alias("match")))
+    return F.filter(both, lambda x: x.match.isNotNull())
 
 
 def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
