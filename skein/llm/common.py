@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A key is hot if it holds over one in HOT_SHARE of the rows, so there are never more than HOT_SHARE hot keys; rows of each are dealt to SALTS parts.
-HOT_SHARE, SALTS = 200, 64
+#: A key is hot if it holds over one in HOT_SHARE of the rows and over MIN_HOT, so there are never more than HOT_SHARE hot keys; rows of each are dealt to SALTS parts.
+HOT_SHARE, MIN_HOT, SALTS = 200, 500, 64
 
 _local_dir: dict[str, str] = {}
 
@@ -52,8 +52,9 @@ def join_split(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     """
     found = F.xxhash64(*keys)
     counts = big.groupBy(found.alias("h")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r["h"] for r in counts.where(F.col("n") > max(100, total // HOT_SHARE)).collect()]
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max(MIN_HOT, (total or 0) // HOT_SHARE)
+    hot = [r["h"] for r in counts.where(F.col("n") > least).collect()] if (most or 0) > least else []
     small = small.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in small.columns if c not in keys))
     on = " AND ".join(f"{k} <=> _{k}" for k in keys)
     if hot:

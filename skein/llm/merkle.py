@@ -1,110 +1,155 @@
 """Document fingerprints: a Merkle tree over the sections and paragraphs of a text.
 
-A section is a line with its end; its paragraphs are sentences, cut after PIECE characters. Leaves hash paragraphs, each section hashes its leaves in
-order, the root hashes the sections. Every character belongs to one leaf, so equal roots mean equal texts; where roots differ, the
-sections that differ tell where the edit lies. Only built-in functions run on the rows.
+A section ends with a blank line, a paragraph with a line, a leaf with a sentence; each holds its end, so every character belongs to one leaf
+and equal roots mean equal texts. Leaves hash their text, every node above hashes its children's whole digests in order, and each level
+hashes a tag of its own first, so that no node can pass for one of another level. Where roots differ, the sections and then the paragraphs
+that differ, once those alike from both ends are set aside, tell where the edit lies. Only built-in functions run on the rows.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import texts
 
-PIECE = 64
-SECTION = r"[^\n]*\n|[^\n]+"
-PARAGRAPH = r"[^.\n]{1,64}[.\n]?|[.\n]"
-DIGITS = 8
+#: Where a section, a paragraph and a leaf end: empty places, so that cutting there loses no character.
+SECTION = r"(?<=\n\n)(?=[^\n])"
+PARAGRAPH = r"(?<=\n)(?=[^\n])"
+LEAF = r"(?<=[.!?\n])(?=[^.!?\n])"
+#: Digits of a branch's digest in the printed fingerprint; the root is printed whole.
+DIGITS = 16
+#: Characters of text in one range of ids.
+RANGE_CHARS = 16_000_000
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    return F.array_remove(F.split(text, pattern, -1), "")
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value made once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _hash(tag: str, x: Column) -> Column:
+    return F.sha2(F.concat(F.lit(tag), x), 256)
 
 
 def tree(text: Column) -> Column:
-    """Array of sections, each (digest, leaves)."""
-    leaves = F.transform(F.regexp_extract_all(text, F.lit(SECTION), F.lit(0)), lambda s: F.transform(F.regexp_extract_all(s, F.lit(PARAGRAPH), F.lit(0)), F.md5))
-    return F.transform(leaves, lambda x: F.struct(F.md5(F.array_join(x, "")).alias("digest"), x.alias("leaves")))
+    """Array of sections, each (digest, paragraphs), each paragraph (digest, leaves)."""
+    leaves = lambda p: F.transform(_cut(p, LEAF), lambda x: _hash("leaf:", x))
+    node = lambda tag, below: F.struct(_hash(tag, F.array_join(below, "")).alias("digest"), below.alias("below"))
+    paragraphs = F.transform(_cut(text, SECTION), lambda s: F.transform(F.transform(_cut(s, PARAGRAPH), leaves), lambda x: node("paragraph:", x)))
+    return F.transform(paragraphs, lambda ps: F.struct(_hash("section:", F.array_join(F.transform(ps, lambda p: p.digest), "")).alias("digest"), ps.alias("below")))
 
 
 def fingerprint(text: Column) -> Column:
-    """root/section(leaf.leaf...)/section(...): the root in full, the branches by their first digits."""
-    t = tree(text)
-    root = F.sha2(F.array_join(F.transform(t, lambda s: s.digest), ""), 256)
+    """root/section(paragraph[leaf.leaf...]paragraph[...])/section(...): the root in full, branches by their first digits."""
+    root = lambda t: _hash("root:", F.array_join(F.transform(t, lambda s: s.digest), ""))
     short = lambda x: F.substring(x, 1, DIGITS)
-    branches = F.transform(t, lambda s: F.concat(short(s.digest), F.lit("("), F.array_join(F.transform(s.leaves, short), "."), F.lit(")")))
-    return F.concat_ws("/", root, F.array_join(branches, "/"))
+    paragraph = lambda p: F.concat(short(p.digest), F.lit("["), F.array_join(F.transform(p.below, short), "."), F.lit("]"))
+    section = lambda s: F.concat(short(s.digest), F.lit("("), F.array_join(F.transform(s.below, paragraph), ""), F.lit(")"))
+    return _let(tree(text), lambda t: F.concat_ws("/", root(t), F.array_join(F.transform(t, section), "/")))
 
 
 def root(fp: Column) -> Column:
     return F.substring_index(fp, "/", 1)
 
 
+def _nodes(fp: Column, before: str, after: str) -> Column:
+    return F.regexp_extract_all(fp, F.lit(rf"(?<={before})[0-9a-f]{{{DIGITS}}}(?={after})"), F.lit(0))
+
+
 def sections(fp: Column) -> Column:
-    return F.regexp_extract_all(fp, F.lit(rf"/([0-9a-f]{{{DIGITS}}})\("), F.lit(1))
+    return _nodes(fp, "/", r"\(")
+
+
+def paragraphs(fp: Column) -> Column:
+    return _nodes(fp, r"[(\]]", r"\[")
 
 
 def leaves(fp: Column) -> Column:
-    return F.regexp_extract_all(fp, F.lit(rf"(?<=[(.])[0-9a-f]{{{DIGITS}}}"), F.lit(0))
+    return _nodes(fp, r"[\[.]", r"[.\]]")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal roots, else the Dice coefficient of the distinct leaves, from 0 to 1."""
-    x, y = F.array_distinct(leaves(a)), F.array_distinct(leaves(b))
-    both = F.size(x) + F.size(y)
-    return F.when(root(a) == root(b), 1.0).when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+    pair = F.struct(F.array_distinct(leaves(a)).alias("x"), F.array_distinct(leaves(b)).alias("y"))
+    dice = lambda p: 2.0 * F.size(F.array_intersect(p.x, p.y)) / F.nullif(F.size(p.x) + F.size(p.y), F.lit(0))
+    return F.when(root(a) == root(b), 1.0).otherwise(F.coalesce(_let(pair, dice), F.lit(0.0)))
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """How many elements are equal from the start on."""
+    unlike = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True).cast("int")
+    return F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size(x), F.size(y)))
+
+
+def edited(old: Column, new: Column, branches=sections) -> Column:
+    """(first, last): numbers, from 0, of the first and last section of the newer fingerprint that an edit touches; null for equal roots.
+
+    Branches alike from the start and from the end are left out, so what stands after an insertion still meets its counterpart. Where branches were only dropped, last is
+    first - 1. branches=paragraphs numbers the paragraphs of the whole text.
+    """
+
+    def span(p: Column) -> Column:
+        behind = F.least(_alike(F.reverse(p.x), F.reverse(p.y)), F.least(F.size(p.x), F.size(p.y)) - _alike(p.x, p.y))
+        return F.struct(_alike(p.x, p.y).alias("first"), (F.size(p.y) - behind - 1).alias("last"))
+
+    return F.when(root(old) != root(new), _let(F.struct(branches(old).alias("x"), branches(new).alias("y")), span))
 
 
-def first_difference(a: Column, b: Column) -> Column:
-    """The number, from 0, of the first section that differs; null for equal roots."""
-    x, y = sections(a), sections(b)
-    unlike = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True) - 1
-    return F.when(root(a) != root(b), F.when(unlike >= 0, unlike).otherwise(F.least(F.size(x), F.size(y)).cast("long")))
+def _place(key: Column, cuts: list, kind: str) -> tuple[Column, Column]:
+    """(number of the range that holds key, whether key is that range's least): a search over about twice the square root of the number of cuts."""
+    lit = lambda c: F.struct(F.lit(c[0]).cast(kind).alias("id"), F.lit(c[1]).alias("h"))
+    step = max(1, isqrt(len(cuts)))
+    groups = F.array(*(F.array(*map(lit, cuts[k : k + step])) for k in range(0, len(cuts), step)))
+    upto = lambda array: F.array_size(F.filter(array, lambda c: c <= key))
+    coarse = F.array_size(F.filter(groups, lambda g: F.get(g, F.lit(0)) <= key))
+    group = F.get(groups, coarse - 1)
+    at = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + upto(group) - 1)
+    return at, F.coalesce(F.get(F.get(groups, F.floor(at / step).cast("int")), (at % step).cast("int")) == key, F.lit(False))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (doc_id, ...) with next_<c> for each column: that of the following row by doc_id; after the last comes the first.
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """docs (doc_id, text) with next_text, that of the following row by doc_id; after the last comes the first.
 
-    Ids are dealt to ranges by approximate quantiles, a bounded number of them. A window in each range finds the next row; the last row of a range finds it in
-    a copy of the following range's first row. No range grows with the table, as their number follows spark.sql.shuffle.partitions. Rows that share an id
-    follow each other by text; nulls come first.
+    Ids of any type that Spark orders are dealt to ranges of about range_chars characters, so ranges grow in number, not in size. Rows that share an id
+    follow each other by a hash of the text, so a frequent id is split too; null ids come first. A window in each range finds the next row; the first row of each
+    range is copied to the range before it. Texts are shuffled once.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("double").alias("x"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(ids.approxQuantile("x", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-    place = F.lit(0)
-    if cuts:
-        place = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id").cast("double"))), F.lit(0))
-    docs = docs.withColumn("range", place)
-    order = [F.col("doc_id").asc_nulls_first(), F.col(columns[0])]
-    # one row for each range: its least id and the range before it, in a circle
-    least = docs.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"))).alias("m"))
-    small = sorted((r["range"], r["m"]["doc_id"]) for r in least.collect()) if cuts else None
-    if small is None:
-        first = docs.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", *columns)).alias("m")).select("range", "m.doc_id", *(f"m.{c}" for c in columns))
-        before = first
-    else:
-        kinds = docs.schema["doc_id"].dataType.simpleString()
-        circle = spark.createDataFrame([(r, i, small[k - 1][0]) for k, (r, i) in enumerate(small)], f"of_range int, least {kinds}, before int")
-        first = docs.join(F.broadcast(circle), F.expr("range = of_range AND doc_id <=> least"))  # at most one row for each range and copy
-        first = first.groupBy("range", "before").agg(F.min(F.struct("doc_id", *columns)).alias("m"))
-        before = first.select(F.col("before").alias("range"), "m.doc_id", *(f"m.{c}" for c in columns))
-    rows = docs.select("range", F.lit(0).alias("copied"), "doc_id", *columns).unionByName(before.select("range", F.lit(1).alias("copied"), "doc_id", *columns))
-    w = Window.partitionBy("range").orderBy("copied", *order)
-    return rows.select("copied", "doc_id", *columns, *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("copied = 0").drop("copied")
-
-
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, first_edited_section) for every row.
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    docs = docs.withColumn("key", key)
+    n = -(-(docs.agg(F.sum(F.length("text") + 16)).first()[0] or 1) // range_chars)
+    least = docs.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("least"))
+    cuts = [(r["least"]["id"], r["least"]["h"]) for r in least.orderBy("least").collect()]  # one for each range
+    if not cuts:
+        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
+    at, is_least = _place(F.col("key"), cuts, docs.schema["doc_id"].dataType.simpleString())
+    own = lambda at, copied: F.struct(at.cast("int").alias("range"), F.lit(copied).alias("copied"))
+    placed = docs.select("doc_id", "text", "key", at.alias("at"), is_least.alias("is_least"))
+    before = F.pmod(F.col("at") - 1, F.lit(len(cuts)))
+    rows = placed.select("doc_id", "text", "key", F.inline(F.when(F.col("is_least"), F.array(own(F.col("at"), 0), own(before, 1))).otherwise(F.array(own(F.col("at"), 0)))))
+    w = Window.partitionBy("range").orderBy("copied", "key")
+    return rows.select("copied", "doc_id", "text", F.lead("text").over(w).alias("next_text")).where("copied = 0").drop("copied")
+
+
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_chars: int = RANGE_CHARS) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections, edited_paragraphs) for every row, the last two as told by `edited`.
 
     The edited text keeps the first half and takes as many characters as the other half has, or all, from the start of the next document's text. Null and empty texts are
-    one empty text; a lone document follows itself.
+    one empty text; a lone document follows itself; ids may be of any type that Spark orders. Repeated rows follow each other. An empty table gives an empty result.
     """
-    docs = texts(docs, id_col, text_col).withColumn("fp", fingerprint(F.col("text")))
-    rows = with_next(docs, ["text", "fp"])
+    rows = with_next(texts(docs, id_col, text_col), range_chars)
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fp").alias("fingerprint"), "next_fp", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    after = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("next_text")).alias("next_fp"), after.alias("edited"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    own, new = F.col("fingerprint"), F.col("edited_fingerprint")
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
-        first_difference(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edited_section"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), own, new, likeness(own, new).alias("near_edited"), likeness(own, F.col("next_fp")).alias("near_next"),
+        edited(own, new).alias("edited_sections"), edited(own, new, paragraphs).alias("edited_paragraphs"),
     )

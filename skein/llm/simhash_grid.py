@@ -7,8 +7,10 @@ the vector and ``bit_count(a ^ b)`` of two such longs *is* their Manhattan dista
 
 Range join: eight groups of four segments. Within Manhattan distance 4 at most four groups can
 differ, so at least four agree and the pair meets in a cell keyed by four equal groups (70 choices).
-The join condition holds the Manhattan bound, the exact Hamming distance and the choice of one cell
-for a pair, so that a link leaves the join once and pairs that are no link never leave it.
+Cells of one fingerprint drop out. What is left is joined twice: first each fingerprint with the least of its
+cell, which puts nearly all near copies into components with one link each; then pairs of a cell, but only across components,
+so that a cluster of n near copies sends about n links, not n squared. A cell of more than CELL_BLOCK fingerprints
+is dealt to blocks whose pairs are separate keys. Conditions hold the Manhattan bound, then the exact Hamming distance.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import rows_of, texts, written
+from skein.llm.common import discard, join_split, rows_of, texts, written
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_DISTANCE = 4
 _GROUPS, _EQUAL = 8, 4
+#: Fingerprints of one cell that are tested against each other in one key; a larger cell has a key for each pair of its blocks.
+CELL_BLOCK = 1_000
 _LOW_BITS = 0x5555555555555555
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BLOCK = 1 << 16
@@ -83,48 +87,86 @@ def popcount_vector(fp: Column) -> Column:
     return hi.bitwiseOR(lo).bitwiseOR(F.shiftleft(hi.bitwiseAND(lo), 1))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: each pair of distinct fingerprints (column fp, one row each) at MAX_DISTANCE bits or fewer."""
+def _long(x: int) -> str:
+    return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
+
+
+def cells(fps: DataFrame) -> DataFrame:
+    """(fp, v, choice, cell, n, least) of each distinct fingerprint (column fp, one row each) and cell that it shares with another: the cell's size and least fingerprint."""
+    masks = [_signed(sum(0xFF << 8 * g for g in c)) for c in combinations(range(_GROUPS), _EQUAL)]
+    each = fps.select("fp", popcount_vector(F.col("fp")).alias("v")).select("fp", "v", F.posexplode(F.array(*map(F.lit, masks))).alias("choice", "mask"))
+    each = each.select("fp", "v", "choice", F.col("v").bitwiseAND(F.col("mask")).alias("cell"))
+    w = Window.partitionBy("choice", "cell")
+    return each.withColumns({"n": F.count("*").over(w), "least": F.min("fp").over(w)}).where("n > 1")
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """(a, b): links of fingerprints to the least one of a cell."""
+    near = f"fp <> least AND bit_count(fp ^ least) <= {MAX_DISTANCE}"
+    return shared.where(near).groupBy(F.col("least").alias("a"), F.col("fp").alias("b")).count().drop("count")
+
+
+def links(shared: DataFrame, block: int = CELL_BLOCK) -> DataFrame:
+    """(a, b), a <> b: each pair of fingerprints of different components (cells with a column root) at MAX_DISTANCE bits or fewer, once."""
     choices = list(combinations(range(_GROUPS), _EQUAL))
-    masks = [_signed(sum(0xFF << 8 * g for g in c)) for c in choices]
     # of the groups that agree, the first four name the cell that reports the pair
     first = {c: k for k, c in enumerate(choices)}
     report = [first.get(tuple(g for g in range(_GROUPS) if m >> g & 1)[:_EQUAL], -1) for m in range(256)]
-    cells = fps.select("fp", popcount_vector(F.col("fp")).alias("v")).select(
-        "fp", "v", F.posexplode(F.array(*map(F.lit, masks))).alias("choice", "mask")
-    )
-    cells = cells.select("fp", "v", "choice", F.col("v").bitwiseAND(F.col("mask")).alias("cell"))
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    each = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    left = each.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    right = each.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
     x = "(a.v ^ b.v)"
-    agree = " + ".join(f"if(({x} & {_signed(0xFF << 8 * g)}L) = 0, {1 << g}, 0)" for g in range(_GROUPS))
-    on = f"""a.choice = b.choice AND a.cell = b.cell AND a.fp < b.fp
+    agree = " + ".join(f"if(({x} & {_long(_signed(0xFF << 8 * g))}) = 0, {1 << g}, 0)" for g in range(_GROUPS))
+    on = f"""a.choice = b.choice AND a.cell = b.cell AND a.i = b.i AND a.j = b.j AND a.root <> b.root AND (a.i < a.j OR a.fp < b.fp)
         AND bit_count({x}) <= {MAX_DISTANCE} AND bit_count(a.fp ^ b.fp) <= {MAX_DISTANCE}
         AND element_at(array({', '.join(map(str, report))}), 1 + {agree}) = a.choice"""
-    on = on.replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
-    return cells.alias("a").join(cells.alias("b").hint("merge"), F.expr(on)).selectExpr("a.fp AS a", "b.fp AS b")
+    return left.alias("a").join(right.alias("b").hint("merge"), F.expr(on)).selectExpr("a.fp AS a", "b.fp AS b")
+
+
+def linked(fps: DataFrame, block: int = CELL_BLOCK) -> DataFrame:
+    """(node, root): the least fingerprint that each fingerprint of fps (column fp, one row each) reaches, for those that link to another."""
+    shared = written(cells(fps), "simhash-cells")
+    near = components(stars(shared))
+    of = join_split(shared, near.withColumnRenamed("node", "fp"), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
+    across = written(links(of, block), "simhash-links")
+    names = near.select("node", F.col("root").alias("of"))
+    # links between components join what the stars have put together
+    ends = F.array("a", "b")
+    nodes = across.select(F.explode(ends).alias("node")).distinct().join(names.hint("merge"), "node", "left").select("node", F.coalesce("of", "node").alias("of"))
+    pairs = join_split(across, nodes.withColumnRenamed("node", "a").withColumnRenamed("of", "x"), ["a"])
+    pairs = join_split(pairs, nodes.withColumnRenamed("node", "b").withColumnRenamed("of", "y"), ["b"])
+    upper = components(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    every = near.select("node", "root").unionByName(nodes.where("node = of").select("node", F.col("of").alias("root"))).distinct()
+    out = written(join_split(every, upper.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left").select("node", F.coalesce("top", "root").alias("root")), "simhash-roots")
+    discard(shared, across, near, upper)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of edges (a, b) reaches.
 
     Each round points every node to its least neighbour or itself, jumps once along the pointers, and contracts: edges between roots
-    remain, distinct, until there are none. Their number falls by more than half a round. All is written to the shared folder; sums are partial
-    before every shuffle and joins are to unique keys, so a node of very many links gathers nowhere.
+    remain, distinct, until there are none. Their number falls by more than half a round. All is written to the shared folder and what no later
+    round reads is deleted; sums are partial before every shuffle, and joins are to unique keys whose hot rows are dealt to several tasks.
     """
     edges = written(edges, "cc-edges")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = ends.select("node", F.col("node").alias("root"))
-    while True:
+    labels = written(ends.select("node", F.col("node").alias("root")), "cc-labels")
+    while edges.limit(1).count():
         least = edges.select(F.inline(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to")), F.struct(F.col("b").alias("at"), F.col("a").alias("to")))))
         least = written(least.groupBy("at").agg(F.min("to").alias("to")).select("at", F.least("at", "to").alias("to")), "cc-least")
-        next_ = least.select(F.col("at").alias("via"), F.col("to").alias("end"))
-        step = written(least.join(next_.hint("merge"), F.col("to") == F.col("via")).select("at", F.col("end").alias("to")), "cc-step")
-        labels = labels.join(step.hint("merge"), labels.root == step.at, "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = written(labels, "cc-labels")
-        left = edges.join(step.hint("merge"), edges.a == step.at).select(F.col("to").alias("x"), "b")
-        both = left.join(step.hint("merge"), left.b == step.at).select("x", F.col("to").alias("y")).where("x <> y")
-        edges = written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-        if edges.limit(1).count() == 0:
-            return labels
+        ahead = least.select(F.col("at").alias("to"), F.col("to").alias("end"))
+        step = written(join_split(least, ahead, ["to"]).select("at", F.col("end").alias("to")), "cc-step")
+        named = join_split(labels, step.select(F.col("at").alias("root"), "to"), ["root"], "left").select("node", F.coalesce("to", "root").alias("root"))
+        named = written(named, "cc-labels")
+        left = join_split(edges, step.select(F.col("at").alias("a"), F.col("to").alias("x")), ["a"])
+        both = join_split(left, step.select(F.col("at").alias("b"), F.col("to").alias("y")), ["b"]).where("x <> y")
+        fewer = written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+        discard(edges, labels, least, step)
+        edges, labels = fewer, named
+    discard(edges)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,12 +178,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fp = written(fingerprints(docs, id_col, text_col), "simhash-fp")
     distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    roots = components(links(distinct))
-    linked = distinct.join(roots.hint("merge"), distinct.fp == roots.node).select("fp", "least_id", "root")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("root_id"))
-    named = linked.join(least.hint("merge"), "root").select(F.col("fp").alias("linked_fp"), "root_id")
-    of = distinct.join(named.hint("merge"), distinct.fp == named.linked_fp, "left").select("fp", F.coalesce("root_id", "least_id").alias("component_id"))
-    return fp.join(of.hint("merge"), "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    named = join_split(distinct, linked(distinct).withColumnRenamed("node", "fp"), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of = join_split(named, least, ["root"]).select("fp", "component_id")
+    return join_split(fp, of, ["fp"]).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

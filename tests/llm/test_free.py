@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from skein.llm import bpe_stream, decontam_gst, pii_crf, simhash_grid, toxicity_ws, unigram_count
@@ -225,7 +226,9 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(r["text"] for r in simhash_grid.keep_one(twice).collect()) == sorted(alone[:2])
 
 
-def test_links_are_exact(spark):
+@pytest.mark.parametrize("block", [1_000, 3])
+def test_links_are_exact(spark, block):
+    """Classes equal those of all pairs; blocks of three fingerprints split every cell."""
     rnd = random.Random(4)
     fps = {0, 1 << 63, (1 << 64) - 1}
     for _ in range(60):
@@ -236,9 +239,15 @@ def test_links_are_exact(spark):
                 x ^= 1 << b
             fps.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    got = {tuple(r) for r in simhash_grid.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()}
+    table = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     want = {tuple(sorted((signed(x), signed(y)))) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 4}
-    assert got == want and len(simhash_grid.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()) == len(want)
+    alone = simhash_grid.links(simhash_grid.cells(table).withColumn("root", F.col("fp")), block).collect()
+    assert {tuple(sorted(r)) for r in alone} == want and len(alone) == len(want)
+    root = {x: x for p in want for x in p}
+    for _ in root:
+        for x, y in want:
+            root[x] = root[y] = min(root[x], root[y])
+    assert {tuple(r) for r in simhash_grid.linked(table, block).collect()} == set(root.items())
 
 
 def test_components_of_a_chain(spark):
