@@ -1,25 +1,25 @@
 """URL filters: rules of hosts and paths, and a tree of path templates for what no rule decides.
 
-For each host, path segments that vary (numbers, identifiers, or a position with very many values) become wildcards; sibling branches whose labelled rates do not differ
-by a two-proportion z test are merged into one wildcard branch, from the deepest level of the data up. A template is rejected where its labelled purity, smoothed
-towards its parent, host and corpus, reaches MIN_PURITY. Labels are the verdicts of the rules. Only built-in functions run on the rows.
+For each host, path segments that vary (numbers, identifiers, or a position with very many values, counted exactly) become wildcards. Then the labelled branches below
+a node are compared with each other: in the order of their rates, neighbours that a two-proportion z test can't tell apart are merged, and a significant step starts a new
+branch; branches without labels stay as they are. A template is rejected where its labelled purity, smoothed
+level by level from the corpus over its host and parents, reaches MIN_PURITY. Labels are the verdicts of the rules. All levels are handled at once, whatever the
+depth of the data. Only built-in functions run on the rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import lower_ascii, shared_dir, written
+from skein.llm.common import discard, join_split, lower_ascii, written
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_PURITY = 0.8
 PRIOR_WEIGHT = 4.0
 MANY_VALUES, DISTINCT_SHARE = 16, 0.5
-SIMILAR_Z, LEAST_LABELLED = 1.96, 5
+SIMILAR_Z = 1.96
 
 
 def host(url: Column) -> Column:
@@ -46,75 +46,96 @@ def shape(path: Column) -> Column:
     return F.array_join(wild, "/")
 
 
-def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join, nulls equal, without the second copy of the keys."""
-    b = b.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in b.columns if c not in keys))
-    on = F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys))
-    return a.join(b.hint("merge"), on, "left").drop(*(f"_{k}" for k in keys))
-
+def _node(k: Column) -> Column:
+    """The node of the first k levels of template t; segments hold no slash. A digest, since a path of n segments has n nodes."""
+    return F.md5(F.array_join(F.slice("t", F.lit(1), k), "/"))
 
-def _up(k: int | Column) -> Column:
-    """The first k levels of template t as one string; segments hold no slash."""
-    return F.array_join(F.slice("t", F.lit(1), F.lit(k) if isinstance(k, int) else k), "/")
 
+def _nodes(trees: DataFrame, *more: str) -> DataFrame:
+    """One row for each level k of each template: up, the node above it, and value, its branch there."""
+    return trees.select("host", *more, "t", F.posexplode("t").alias("k", "value")).withColumn("up", _node(F.col("k"))).drop("t")
 
-def _with_level(k: int, value: Column) -> Column:
-    return F.transform("t", lambda x, i: F.when(i == k, value).otherwise(x))
 
+def wildcards(shapes: DataFrame) -> DataFrame:
+    """shapes (host, shape, n, labelled, bad) with t, their levels, a star at each position that varies too much.
 
-def templates(shapes: DataFrame) -> DataFrame:
-    """(host, shape, t, purity): for each shape (host, shape, n, labelled, bad) its template, an array of levels, and the template's smoothed purity.
-
-    The tree is as deep as the deepest shape. A pass handles one level and holds only the shapes that reach it; those that end
-    are written for the pass that comes back up.
+    A position is that of all branches below one node. It varies if it has MANY_VALUES values or more and these are DISTINCT_SHARE of its pages or more. All positions are judged
+    at once; stars bring nodes together, so positions are judged again until none is new.
     """
-    spark, folder = shapes.sparkSession, f"{shared_dir(shapes.sparkSession)}/url-ended-{uuid.uuid4().hex}"
-    tree = shapes.withColumn("t", F.filter(F.split("shape", "/"), lambda x: x != ""))
-    depth = tree.agg(F.max(F.size("t"))).first()[0] or 0
-    for k in range(depth):  # from the top: a position that varies too much
-        tree.where(F.size("t") == k).write.parquet(f"{folder}/{k}")
-        tree = tree.where(F.size("t") > k).withColumn("up", _up(k))
-        varied = tree.groupBy("host", "up").agg(F.approx_count_distinct(F.get("t", F.lit(k))).alias("values"), F.sum("n").alias("pages"))
-        tree = _join(tree, varied, ["host", "up"])
-        wide = (F.col("values") >= MANY_VALUES) & (F.col("values") >= DISTINCT_SHARE * F.col("pages"))
-        tree = tree.withColumn("t", _with_level(k, F.when(F.coalesce(wide, F.lit(False)), "*").otherwise(F.get("t", F.lit(k))))).drop("up", "values", "pages")
-        tree = written(tree, "url-tree")  # else each level would compute all before it anew
-    for k in reversed(range(depth)):  # from the leaves up: branches alike
-        ended = spark.read.schema(tree.schema).parquet(f"{folder}/{k}")
-        below = tree.withColumn("up", _up(k)).withColumn("value", F.get("t", F.lit(k)))
-        node = below.groupBy("host", "up", "value").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        pool = below.drop("value").unionByName(ended.withColumn("up", _up(k))).groupBy("host", "up").agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
-        node = _join(node, pool, ["host", "up"])
-        rate = F.col("pb") / F.greatest("pl", F.lit(1))
-        z = F.abs(F.col("b") / F.greatest("l", F.lit(1)) - rate) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) / F.greatest("l", F.lit(1)))
-        node = node.select("host", "up", "value", ((F.col("l") < LEAST_LABELLED) | (z < SIMILAR_Z)).alias("alike"))
-        below = _join(below, node, ["host", "up", "value"])
-        below = below.withColumn("t", _with_level(k, F.when(F.col("alike"), "*").otherwise(F.col("value")))).drop("up", "value", "alike")
-        tree = written(below.unionByName(ended), "url-tree")
-    # purity, smoothed from the corpus down to a template's levels, then to the pages that end there
-    whole = tree.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
-    paths = written(tree.groupBy("host", "t").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")), "url-paths")
-    paths = paths.select("*", F.explode(F.sequence(F.lit(0), F.size("t") + 1)).alias("k"))
-    paths = paths.withColumn("up", _up(F.least(F.col("k"), F.size("t")))).withColumn("ends", F.col("k") > F.size("t"))
-    sums = paths.groupBy("host", "k", "up", "ends").agg(F.sum("l").alias("sl"), F.sum("b").alias("sb"))
-    steps = _join(paths, sums, ["host", "k", "up", "ends"]).groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct("k", "sl", "sb"))).alias("steps"))
+    tree = written(shapes.withColumn("t", F.filter(F.split("shape", "/"), lambda x: x != "")), "url-tree")
+    while True:
+        branches = _nodes(tree, "n").groupBy("host", "k", "up", "value").agg(F.sum("n").alias("n"))
+        wide = branches.groupBy("host", "k", "up").agg(F.count("*").alias("values"), F.sum("n").alias("pages"))
+        wide = written(wide.where((F.col("values") >= MANY_VALUES) & (F.col("values") >= DISTINCT_SHARE * F.col("pages"))).select("host", "k", "up"), "url-wide")
+        if wide.limit(1).count() == 0:
+            discard(wide)
+            return tree
+        starred = join_split(_nodes(tree, "shape"), wide, ["host", "k", "up"]).groupBy("host", "shape").agg(F.collect_set("k").alias("stars"))
+        next_ = join_split(tree, starred, ["host", "shape"], "left")
+        level = F.transform("t", lambda x, i: F.when(F.array_contains("stars", i), "*").otherwise(x))
+        next_ = written(next_.withColumn("t", F.when(F.col("stars").isNull(), F.col("t")).otherwise(level)).drop("stars"), "url-tree")
+        discard(tree, wide)
+        tree = next_
+
+
+def merged(trees: DataFrame) -> DataFrame:
+    """(host, t, m): each template t of trees (host, t, labelled, bad) and m, its levels after branches alike were merged; a merged branch is told as {first value+number of others}.
+
+    Branches of equal counts are one before any window, so a node of very many branches sends few rows to one task.
+    """
+    branches = written(_nodes(trees, "labelled", "bad").groupBy("host", "k", "up", "value").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).where("l > 0"), "url-branches")
+    node = ["host", "k", "up"]
+    counts = branches.groupBy(*node, "l", "b").agg(F.min("value").alias("least"), F.count("*").alias("values"))
+    w = Window.partitionBy(*node).orderBy(F.col("b") / F.col("l"), "l")
+    l, b, l0, b0 = F.col("l"), F.col("b"), F.lag("l").over(w), F.lag("b").over(w)  # noqa: E741
+    rate = (b + b0) / (l + l0)
+    gap = F.abs(b / l - b0 / l0) / F.sqrt(F.nullif(rate * (1 - rate), F.lit(0.0)) * (1 / l + 1 / l0))
+    counts = counts.withColumn("new", F.coalesce(gap >= SIMILAR_Z, F.lit(False)).cast("int")).withColumn("part", F.sum("new").over(w))
+    whole = Window.partitionBy(*node, "part")
+    several = F.sum("values").over(whole)
+    name = F.when(several > 1, F.concat(F.lit("{"), F.min("least").over(whole), F.lit("+"), (several - 1).cast("string"), F.lit("}")))
+    counts = counts.select(*node, "l", "b", name.alias("name")).where("name IS NOT NULL")
+    named = join_split(branches, counts, [*node, "l", "b"]).select(*node, "value", "name")
+    levels = join_split(_nodes(trees.withColumn("of", F.col("t")), "of"), named, [*node, "value"])
+    levels = levels.groupBy("host", F.col("of").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("names"))
+    out = join_split(trees.select("host", "t"), levels, ["host", "t"], "left")
+    return out.select("host", "t", F.when(F.col("names").isNull(), F.col("t")).otherwise(F.transform("t", lambda x, i: F.coalesce(F.try_element_at("names", i), x))).alias("m"))
+
+
+def purities(paths: DataFrame) -> DataFrame:
+    """(host, t, purity) of each template of paths (host, t, labelled, bad): from the corpus's rate down the levels to the pages that end there, each smoothed towards the one above."""
+    whole = paths.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
+    steps = paths.select("*", F.explode(F.sequence(F.lit(0), F.size("t") + 1)).alias("k")).withColumn("ends", F.col("k") > F.size("t"))
+    steps = steps.withColumn("up", _node(F.least("k", F.size("t"))))
+    keys = ["host", "k", "up", "ends"]
+    sums = steps.groupBy(*keys).agg(F.sum("labelled").alias("sl"), F.sum("bad").alias("sb"))
+    steps = join_split(steps, sums, keys).groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct("k", "sl", "sb"))).alias("steps"))
     start = F.lit((whole["b"] or 0) / max(1, whole["l"] or 0)).cast("double")
-    purity = F.aggregate("steps", start, lambda p, x: (x.sb + PRIOR_WEIGHT * p) / (x.sl + PRIOR_WEIGHT))
-    return _join(tree, steps.select("host", "t", purity.alias("purity")), ["host", "t"]).select("host", "shape", "t", "purity")
+    return steps.select("host", "t", F.aggregate("steps", start, lambda p, x: (x.sb + PRIOR_WEIGHT * p) / (x.sl + PRIOR_WEIGHT)).alias("purity"))
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """(host, shape, t, purity): for each shape (host, shape, n, labelled, bad) its template, an array of levels, and the template's smoothed purity. The tree is as deep as the deepest shape."""
+    tree = wildcards(shapes)
+    trees = written(tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "url-trees")
+    names = written(merged(trees), "url-merged")
+    paths = join_split(trees, names, ["host", "t"]).groupBy("host", F.col("m").alias("t")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    pure = join_split(names, purities(written(paths, "url-paths")).withColumnRenamed("t", "m"), ["host", "m"])
+    return join_split(tree.select("host", "shape", "t"), pure, ["host", "t"]).select("host", "shape", F.col("m").alias("t"), "purity")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, min_purity: float = MIN_PURITY) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every row.
 
-    A url that is null or has no "://" has an empty host and path, which no rule fits. Pages are summed to their shapes before
-    any shuffle, so a host that holds most pages is no larger than its number of shapes. The list of rules is a parameter of bounded size.
+    A url that is null or has no "://" has an empty host and path, which no rule fits; such pages share one template. Repeated rows stay, an empty table gives an empty result. Pages are summed to their shapes before
+    any shuffle, so a host that holds most pages is no larger than its number of shapes, and pages of a hot shape join in parts. The list of rules is a parameter of bounded size.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     pages = pages.select("*", rule(F.col("host"), F.col("path"), rules).alias("r"), shape(F.col("path")).alias("shape"))
     keys = ["host", "shape"]
     shapes = pages.groupBy(*keys).agg(F.count("*").alias("n"), F.count("r").alias("labelled"), F.count_if(F.col("r.verdict") == "block").alias("bad"))
     known = templates(written(shapes, "url-shapes"))
-    known = known.select(*keys, F.concat_ws("/", F.col("host"), F.col("t")).alias("template"), "purity")
-    out = _join(pages, known, keys)
+    known = written(known.select(*keys, F.concat_ws("/", F.col("host"), F.col("t")).alias("template"), "purity"), "url-known")
+    out = join_split(pages, known, keys, "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("purity") >= min_purity, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

@@ -1,39 +1,138 @@
 """URL rules and path templates against plain Python."""
 
+import collections
+import math
+import random
 import re
 
-from skein.llm import url_templates
+from skein.llm import queries, url_templates
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def test_urls(spark, sf):
+def plain_parts(url):
+    u = url or ""
+    if "://" not in u:
+        return "", ""
+    rest = u.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    return host.translate(LOWER), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+
+def plain_rule(host, path, rules):
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else None
+
+
+def plain_shape(path):
+    return [("{id}" if re.fullmatch("[0-9a-fA-F-]{16,}", x) else re.sub("[0-9]+", "{n}", x)) for x in path.split("/") if x]
+
+
+def plain_judge(pages, rules=url_templates.RULES):
+    """{page: (host, path, rule, verdict, template, purity)} by dictionaries."""
+    rows = []
+    for page, url in pages:
+        host, path = plain_parts(url)
+        rows.append((page, host, path, plain_rule(host, path, rules), plain_shape(path)))
+    # stars, until none is new
+    trees = [(h, list(t)) for _, h, _, _, t in rows]
+    while True:
+        below, pages_of = collections.defaultdict(set), collections.Counter()
+        for h, t in trees:
+            for k, x in enumerate(t):
+                below[h, tuple(t[:k]), k].add(x)
+                pages_of[h, tuple(t[:k]), k] += 1
+        wide = {n for n, x in below.items() if len(x) >= url_templates.MANY_VALUES and len(x) >= url_templates.DISTINCT_SHARE * pages_of[n]}
+        if not wide:
+            break
+        trees = [(h, ["*" if (h, tuple(t[:k]), k) in wide else x for k, x in enumerate(t)]) for h, t in trees]
+    # branches alike
+    counts = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0]))
+    for (h, t), (_, _, _, r, _) in zip(trees, rows, strict=True):
+        for k, x in enumerate(t):
+            counts[h, tuple(t[:k])][x][0] += r is not None
+            counts[h, tuple(t[:k])][x][1] += r is not None and r[1] == "block"
+    names = {}
+    for node, branches in counts.items():
+        groups = []
+        for (rate, lab, bad) in sorted({(b / n, n, b) for n, b in branches.values() if n}):
+            values = [x for x, (n, b) in branches.items() if (n, b) == (lab, bad)]
+            if groups:
+                l0, b0 = groups[-1][1]
+                p = (bad + b0) / (lab + l0)
+                z = abs(rate - b0 / l0) / math.sqrt(p * (1 - p) * (1 / lab + 1 / l0)) if 0 < p < 1 else 0
+                if z < url_templates.SIMILAR_Z:
+                    groups[-1] = (groups[-1][0] + values, (lab, bad))
+                    continue
+            groups.append((values, (lab, bad)))
+        for values, _ in groups:
+            for x in values:
+                names[node, x] = x if len(values) == 1 else "{%s+%d}" % (min(values), len(values) - 1)
+    final = [(h, tuple(names.get(((h, tuple(t[:k])), x), x) for k, x in enumerate(t))) for h, t in trees]
+    # purity
+    sums = collections.defaultdict(lambda: [0, 0])
+    corpus = [0, 0]
+    for (h, m), (_, _, _, r, _) in zip(final, rows, strict=True):
+        keys = [(h, m[:k], False) for k in range(len(m) + 1)] + [(h, m, True)]
+        for s in [corpus, *(sums[k] for k in keys)]:
+            s[0] += r is not None
+            s[1] += r is not None and r[1] == "block"
+    out = {}
+    for (h, m), (page, host, path, r, _) in zip(final, rows, strict=True):
+        p = corpus[1] / max(1, corpus[0])
+        for key in [(h, m[:k], False) for k in range(len(m) + 1)] + [(h, m, True)]:
+            n, b = sums[key]
+            p = (b + url_templates.PRIOR_WEIGHT * p) / (n + url_templates.PRIOR_WEIGHT)
+        verdict = r[1] if r else "block" if p >= url_templates.MIN_PURITY else "allow"
+        out[page] = (host, path, r and r[0], verdict, "/".join([h, *m]), round(p, 9))
+    return out
+
+
+def check(got, pages, rules=url_templates.RULES):
+    want = plain_judge(pages, rules)
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"], r["template"], round(r["purity"], 9)) == want[r["page_id"]], r
+    return want
+
+
+ODD = [None, "", "no scheme", "x://", "http://A.Example.ORG?x/es/", "ftp://h#f", "http://EXAMPLE.org/es/1?q#z", "http://a.example.org/en/12", "http://xexample.org/es/1", "http://com/de/", "http://a.b.com/de", "http://a.b.com//x//y/", "http://é.com/fr/é/1"]
+
+
+def test_query(spark, sf):
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
+    got = queries.op7_urls(spark, sf)
+    assert got.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    want = check(got.collect(), pages)
+    assert any("/{" in w[4] for w in want.values())
+
+
+def test_odd_urls_and_clashing_columns(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
-    odd = [None, "", "no scheme", "x://", "http://A.Example.ORG?x/es/", "ftp://h#f", "http://EXAMPLE.org/es/1?q#z", "http://a.example.org/en/12", "http://xexample.org/es/1", "http://com/de/", "http://a.b.com/de"]
-    both = pages.unionByName(spark.createDataFrame([(10_000 + k, u) for k, u in enumerate(odd)], "page_id long, url string")).selectExpr("*", "1 AS host", "2 AS s0", "3 AS purity")
-    got = {r["page_id"]: r for r in url_templates.judge(both).collect()}
-    for r in both.collect():
-        u = r["url"] or ""
-        host = path = ""
-        if "://" in u:
-            rest = u.split("://", 1)[1]
-            host = re.split("[/?#]", rest, maxsplit=1)[0]
-            path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
-            host = host.translate(LOWER)
-        fits = [(len(h + p), h + p, v) for v, h, p in url_templates.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        g = got[r["page_id"]]
-        assert (g["host"], g["path"]) == (host, path)
-        if fits:
-            assert (g["rule"], g["verdict"]) == max(fits)[1:]
-        else:
-            assert g["rule"] is None and g["verdict"] in ("allow", "block")
-    assert len(got) == both.count()
+    both = pages.unionByName(spark.createDataFrame([(10_000 + k, u) for k, u in enumerate(ODD)] + [(1, "http://a.b/c"), (20_000, "http://h.com/" + "a/" * 300)], "page_id long, url string")).dropDuplicates(["page_id"])
+    both = both.selectExpr("*", "1 AS host", "2 AS t", "3 AS purity", "4 AS r", "5 AS n").cache()
+    check(url_templates.judge(both).collect(), [(r["page_id"], r["url"]) for r in both.collect()])
 
 
-def test_bad_templates_are_rejected(spark):
-    rows = [(k, f"http://bad.com/de/{k}") for k in range(30)] + [(100 + k, f"http://bad.com/x/{k}") for k in range(5)] + [(200 + k, f"http://good.net/p/{k}") for k in range(5)]
-    got = {r["page_id"]: r["verdict"] for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert got[100] == "block" and got[200] in ("allow", "block") and got[3] == "block"
+def test_random_trees_equal_plain_python(spark):
+    """Hosts of every depth, positions of many values, and rates that differ, by rules that mark words anywhere in a path."""
+    rnd = random.Random(3)
+    rules = tuple(("block" if k % 3 else "allow", h, p) for k, (h, p) in enumerate((h, p) for h in ("a.com", "b.org", "c.net") for p in ("/x/bad", "/x/y/", "/news/1", "/news/", "/z/u/v/w/spam", "/z/u/v/w/", "/p/q/r/a", "/p/q/r/b", "/p/q/r/c")))
+    words = ["x", "y", "bad", "news", "z", "u", "v", "w", "spam", "p", "q", "r", "a", "b", "c"]
+    rows = []
+    for k in range(1500):
+        host = rnd.choice(["a.com", "b.org", "c.net", "d.com", "www.a.com"])
+        kind = rnd.random()
+        if kind < 0.3:
+            path = "/" + "/".join(rnd.choices(words, k=rnd.randint(0, 6)))
+        elif kind < 0.6:
+            path = rnd.choice(["/x/", "/news/", "/z/u/v/w/", "/p/q/r/"]) + rnd.choice(words) + "/" + str(k)
+        else:
+            path = rnd.choice(["/x/", "/p/"]) + "".join(rnd.choices("abcdefgh", k=6)) + rnd.choice(["", "/tail", "/tail/" + "".join(rnd.choices("xyz", k=5))])
+        rows.append((k, f"http://{host}{path}"))
+    got = url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()
+    want = check(got, rows, rules)
+    assert any("*" in w[4] for w in want.values()) and any("+" in w[4] for w in want.values()) and {w[3] for w in want.values() if not w[2]} == {"allow", "block"}
 
 
 def test_templates_reach_every_depth(spark):
@@ -42,6 +141,7 @@ def test_templates_reach_every_depth(spark):
     rows += [(5000, "http://h.com/a/b/c/d/bad/y/1"), (5001, "http://h.com/a/b/c/d/good/y/1"), (5002, "http://h.com/a/b"), (5003, "http://h.com")]
     got = {r["page_id"]: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
     assert len(got) == len(rows)
-    assert got[5000]["rule"] is None and got[5000]["verdict"] == "block" and got[5000]["template"] == "h.com/*/*/*/*/bad/*/*" and got[5000]["purity"] > 0.8
-    assert got[5001]["rule"] is None and got[5001]["verdict"] == "allow" and got[5001]["template"] == "h.com/*/*/*/*/good/*/*" and got[5001]["purity"] < 0.2
-    assert got[5002]["template"] == "h.com/*/*" and got[5003]["template"] == "h.com"
+    assert got[5000]["rule"] is None and got[5000]["verdict"] == "block" and got[5000]["template"] == "h.com/a/b/c/d/bad/y/{n}" and got[5000]["purity"] > 0.8
+    assert got[5001]["rule"] is None and got[5001]["verdict"] == "allow" and got[5001]["template"] == "h.com/a/b/c/d/good/y/{n}" and got[5001]["purity"] < 0.2
+    assert got[5002]["template"] == "h.com/a/b" and got[5003]["template"] == "h.com"
+    assert url_templates.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
