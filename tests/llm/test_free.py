@@ -1,8 +1,9 @@
-"""Personal data, toxicity, decontamination, tokens and near-duplicates."""
+"""Toxicity, decontamination, tokens and near-duplicates."""
 
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -11,79 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from skein.llm import bpe_stream, decontam_gst, pii_crf, simhash_grid, toxicity_ws, unigram_count
-
-PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
-
-
-def base_pii(text):
-    out = []
-    for k, p in enumerate(PATTERNS, 1):
-        for m in re.finditer(p, text):
-            d = re.sub("[^0-9]", "", m[0])
-            if k == 2 and any(int(x) > 255 for x in m[0].split(".")):
-                continue
-            if k == 3 and not (16 <= len(d) <= 19 and sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(d[::-1])) % 10 == 0):
-                continue
-            if k == 4 and not 8 <= len(d) <= 15:
-                continue
-            out.append((k, m.start(), m.end()))
-    return out
-
-
-def test_base_spans(rows):
-    rnd = random.Random(3)
-    signs = ["1", "23", "255", "300", ".", ".", "@", "a", "b-", "+", "+1", " ", "-", "(", ")", "4111111111111111", "é", "_", "%"]
-    for t in [t for _, t in rows if len(t) < 20_000] + ["".join(rnd.choices(signs, k=rnd.randint(1, 40))) for _ in range(3000)]:
-        assert pii_crf.base_spans(t) == base_pii(t)
-
-
-def test_pii_query_and_redaction(docs, rows, empty):
-    field = pii_crf.fit(docs)
-    got = pii_crf.find(docs, field).collect()
-    assert sorted((r["doc_id"], [tuple(x) for x in r["base"]]) for r in got) == sorted((i, [(pii_crf.KINDS[k - 1], a, b) for k, a, b in (base_pii(t) if len(t) < 100_000 else [])]) for i, t in rows)
-    assert all({tuple(x) for x in r["base"]} <= {tuple(x) for x in r["spans"]} for r in got)
-    clean = pii_crf.redact(docs, field)
-    assert clean.columns == docs.columns
-    assert all(not base_pii(r["text"] or "") for r in clean.where("doc_id <> 900009").collect())
-    assert clean.where("doc_id = 900000").first()["text"] is None
-    assert pii_crf.find(empty, field).count() == 0 and pii_crf.redact(empty, pii_crf.fit(empty)).count() == 0
-
-
-def test_skip_edges_carry_labels():
-    field = pii_crf.Field([("node", pii_crf._form("555-5526", 0), 4, 50), ("node", pii_crf._form("555-5526", 0), 0, 50), ("node", pii_crf._form("12", 0), 0, 1000), ("skip", 4, 4, 40), ("skip", 0, 0, 40), ("chain", 0, 0, 500)])
-    text = "call +1 (243) 555-5526 or later 555-5526. a 555-9999"
-    base = pii_crf.base_spans(text)
-    added = field.added([text], [base], 0.9)[0]
-    assert [text[a:b] for _, a, b in added] == ["555-5526"]
-
-
-def test_evidence_reaches_every_mention():
-    field = pii_crf.Field([("node", pii_crf._form("555-5526", 0), 4, 50), ("node", pii_crf._form("555-5526", 0), 0, 50), ("node", pii_crf._form("12", 0), 0, 1000), ("skip", 4, 4, 40), ("skip", 0, 0, 40), ("chain", 0, 0, 500)])
-    text = "or 555-5526 then " * 30 + "call +1 (243) 555-5526 " + "or later 555-5526. a 555-9999 " * 30
-    base = pii_crf.base_spans(text)
-    assert len(base) == 1
-    for rows in ([text], ["", "a 12 b", text]):
-        added = field.added(rows, [pii_crf.base_spans(t) for t in rows], 0.9)[-1]
-        assert [text[a:b] for _, a, b in added] == ["555-5526"] * 60
-
-
-def test_messages_end_where_the_exact_sums_are():
-    field = pii_crf.Field([("node", pii_crf._form("555-5526", 0), 4, 60), ("node", pii_crf._form("555-5526", 0), 0, 50), ("node", pii_crf._form("5555526", 4), 4, 90), ("node", pii_crf._form("5555526", 4), 0, 1), ("skip", 4, 4, 40), ("skip", 0, 0, 40)])
-    g = pii_crf.Graph()
-    g.add(0, "call 5555526 " + "or 555-5526 then " * 40, [])
-    assert len(g.skip) == 40 and not g.chain and not g.found
-    unary = np.exp([field.node.get(f, field.default) for f in g.form])
-    pot, n = np.exp(field.pair["skip"]), len(g.form)
-    ahead, behind = np.ones((n, 5)), np.ones((n, 5))
-    for k in range(1, n):
-        ahead[k] = (unary[k - 1] * ahead[k - 1]) @ pot
-        ahead[k] /= ahead[k].max()
-        behind[n - 1 - k] = pot @ (unary[n - k] * behind[n - k])
-        behind[n - 1 - k] /= behind[n - 1 - k].max()
-    want = unary * ahead * behind
-    assert np.abs(field.posteriors(g) - want / want.sum(1, keepdims=True)).max() < 1e-3
-
+from skein.llm import bpe_stream, decontam_gst, queries, simhash_grid, toxicity_ws, unigram_count
 
 def test_tiles_catch_reordering(spark):
     item = " ".join(f"w{k}" for k in range(20))
@@ -96,12 +25,16 @@ def test_tiles_catch_reordering(spark):
     blocks = decontam_gst.contaminated(docs, bench, block_chars=30)
     assert {r["doc_id"] for r in blocks.collect()} == {0, 1, 6}
     assert decontam_gst.contaminated(docs.limit(0), bench).count() == 0 and decontam_gst.contaminated(docs, bench.limit(0)).count() == 0
-    assert sorted(r["doc_id"] for r in decontam_gst.clean(docs, bench).collect()) == [2, 3, 4, 5]
+    for chars in (decontam_gst.BLOCK_CHARS, 30):
+        assert sorted(r["doc_id"] for r in decontam_gst.clean(docs, bench, block_chars=chars).collect()) == [2, 3, 4, 5]
+    odd = spark.createDataFrame([(None, item, 1), (None, "clean", 2), (3, item, 3), (3, "clean", 4), (3, "clean", 4)], "doc_id long, text string, item_id int")
+    assert sorted(r["item_id"] for r in decontam_gst.clean(odd, bench).collect()) == [2, 4, 4]
+    assert decontam_gst.clean(odd, bench).columns == odd.columns and decontam_gst.clean(odd.limit(0), bench).count() == 0
 
 
 def brute_tiles(doc, item, k):
     """Greedy string tiling by full search."""
-    a, b, covered = [False] * len(doc), [False] * len(item), 0
+    a, b, found = [False] * len(doc), [False] * len(item), []
     while True:
         best = (0, 0, 0)
         for i in range(len(item)):
@@ -112,20 +45,56 @@ def brute_tiles(doc, item, k):
                 best = max(best, (n, -i, -j))
         n, i, j = best[0], -best[1], -best[2]
         if n < k:
-            return covered
+            return found
         for x in range(n):
             a[j + x] = b[i + x] = True
-        covered += n
+        found.append((i, j, n))
 
 
 def test_tiles_equal_full_search():
     rnd = random.Random(5)
-    for _ in range(150):
-        item = [rnd.choice("abcdefg") for _ in range(rnd.randint(5, 25))]
+    for _ in range(300):
+        letters = "abcdefg"[: rnd.randint(1, 7)]
+        item = [rnd.choice(letters) for _ in range(rnd.randint(5, 25))]
         doc = sum((item[(s := rnd.randrange(len(item))) : s + rnd.randint(1, 9)] + [rnd.choice("abxyz")] for _ in range(6)), [])
-        items = decontam_gst.Items([(1, " ".join(item))], 3, 1e-9)
+        want = brute_tiles([object() if c in "xyz" else c for c in doc], item, 3)
+        numbers = lambda x: np.array([-1 if c in "xyz" else ord(c) for c in x])
+        assert decontam_gst.tiles(numbers(doc), numbers(item), 3) == want
+        for share in (1e-9, 0.5, 1.0):
+            got = decontam_gst.Items([(1, " ".join(item))], 3, share).matches(" ".join(doc))
+            covered = sum(x[2] for x in want)
+            assert (round(got[0][1] * len(item)) if got else 0) == (covered if covered and covered >= share * len(item) else 0)
+
+
+def test_repetitive_texts_stay_small():
+    """Seed pairs of these texts are about 150 million each; memory is linear in the texts."""
+    rnd = random.Random(1)
+    for word in (lambda k: "w", lambda k: f"w{k % 7}", lambda k: rnd.choice("ab")):
+        doc, item = [word(k) for k in range(100_000)], [word(k) for k in range(1_500)]
+        items = decontam_gst.Items([(1, " ".join(item))], 5, 0.5)
+        tracemalloc.start()
         got = items.matches(" ".join(doc))
-        assert (round(got[0][1] * len(item)) if got else 0) == brute_tiles(doc, item, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got[0][1] > 0.9 and peak < 200e6
+
+
+def test_decontamination_query(spark, sf):
+    """The registered query equals a scan in plain Python: an item is contained if the greedy tiles of its words cover at least half of it."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        doc = words(r["text"])
+        grams = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
+        for i, item in items:
+            hits = {x for k in range(len(item) - 4) if tuple(item[k : k + 5]) in grams for x in range(k, k + 5)}
+            if len(hits) >= 0.5 * len(item):
+                near = [w if any(tuple(doc[j : j + 5]) in grams and set(doc[j : j + 5]) <= set(item) for j in range(max(0, k - 4), k + 1)) else object() for k, w in enumerate(doc)]
+                if sum(x[2] for x in brute_tiles(near, item, 5)) >= 0.5 * len(item):
+                    want.add((r["doc_id"], i))
+    got = queries.op3_decontamination(spark, sf).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 0
 
 
 @pytest.fixture(scope="module")
