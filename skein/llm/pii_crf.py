@@ -1,19 +1,24 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Base spans come from four patterns (email, ip, card, phone) that are scanned in linear time. The field adds what the
-patterns miss. Its nodes are the tokens that hold a digit or an at sign, with the tokens beside them; chain edges join
-neighbours, skip edges join each token to the next one in the same document with the same or a similar form (same letters
-and digits whatever the punctuation), and to the last such one before it (else the first after it) that is in a base span, so that
+patterns miss. Its nodes are all tokens of every sentence that holds a digit or an at sign; in other sentences no token can bear a label. Chain edges join
+neighbours in a sentence. Skip edges join each token with a digit or an at sign to the next one in the document with the same letters
+and digits whatever the punctuation, or a similar one (the last seven digits, the part before the at sign), and to the nearest such one in a base span, so that
 what a pattern found reaches every mention over one edge. Loopy sum-product in the log domain, all edges of a batch at once, passes
-evidence along all edges until a document's messages stay: a number that a pattern found once marks its other mentions.
+evidence along all edges until a document's messages stay: a number that a pattern found once marks its other mentions, and the chain
+marks the tokens beside them.
 
-Weights are fitted piecewise: node potentials from counts of (form, cue, label), chain and skip potentials from counts of
-label pairs, over a bounded sample of documents (TRAIN_DOCS) whose labels are the base spans.
+Weights maximise the pseudo-likelihood of the base labels in a bounded sample of documents (TRAIN_DOCS): each label given its token's features
+and the labels of its neighbours. So that the field learns more than the patterns know, each token is shown twice more with evidence hidden: once without its form,
+so that neighbours must tell, and, for one in HIDE, without its neighbours, whose labels the patterns may have missed. Of two like mentions of which a
+pattern found one, the other's label is hidden too: it is neither learned as clean nor shown to the first.
 """
 
 from __future__ import annotations
 
+import ast
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from skein.llm.common import rows_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents from which the field's weights are counted.
-TRAIN_DOCS = 20_000
+#: Documents from which the field's weights are learned, and the share of tokens, one in HIDE, whose neighbours' labels are hidden.
+TRAIN_DOCS, HIDE = 20_000, 4
 MIN_POSTERIOR = 0.9
 #: Messages of a document that change by less than this stay; SETTLE rounds are allowed beyond its longest runs of edges.
 TOLERANCE, SETTLE = 1e-4, 60
@@ -36,8 +41,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
-_GAP = re.compile(r"[\x20\x09-\x0D]")
+_HELD = re.compile(r"[0-9@]")
+_END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D])|[\x0A-\x0D]")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_FIRST = re.compile(r"[a-z0-9._%+]+")
+_EDGE = ".,:;!?|\"'<>[]{}*$%&#()"
 _CUES = {
     1: ("mail", "email", "e-mail", "courriel", "correo"),
     2: ("ip", "host", "server", "address", "adresse"),
@@ -88,20 +96,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _form(core: str, cue: int) -> int:
-    """The number of a token's form: counts of digits and dots, signs, cue."""
-    n = sum("0" <= c <= "9" for c in core)
-    size = int(np.searchsorted((1, 2, 4, 7, 8, 12, 16, 20), n, "right"))
-    dots = min(4, core.count("."))
-    signs = ("@" in core) + 2 * (core[:1] == "+") + 4 * ("-" in core) + 8 * ("(" in core) + 16 * any(c.isalpha() for c in core)
-    return ((size * 5 + dots) * 32 + signs) * 5 + cue
+_WORD = ("word", "cue=0")
+_RUNS = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_]+"), "a"))
+
+
+def shape(core: str) -> str:
+    """Runs of digits as 9, of letters as a, all else as it is."""
+    for run, sign in _RUNS:
+        core = run.sub(sign, core)
+    return core
+
+
+def features(core: str, cue: int) -> tuple[str, ...]:
+    """Names of what is seen of a token; a word has but one. The first two hold whatever the form, so they are left when it is hidden."""
+    if not _HELD.search(core):
+        return _WORD
+    digits = sum("0" <= c <= "9" for c in core)
+    form = shape(core)
+    parts = core.split(".")
+    fails = (digits >= 16 and not _luhn("".join(c for c in core if "0" <= c <= "9"))) or (form == "9.9.9.9" and any(len(x) > 3 or int(x) > 255 for x in parts))
+    return ("token", f"cue={cue}", f"digits={min(digits, 24)}", f"shape={form}", f"{min(digits, 24)} {form}", f"fails={int(fails)}")
 
 
 class Graph:
     """Nodes and edges of several documents."""
 
     def __init__(self):
-        self.form: list[int] = []
+        self.seen: list[tuple[str, ...]] = []
         self.label: list[int] = []
         self.span: list[tuple[int, int, int]] = []  # document, start, end
         self.chain: list[tuple[int, int]] = []
@@ -110,90 +131,178 @@ class Graph:
         self.bound: dict[int, int] = {}  # document: rounds that its longest runs of chain and skip edges need
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        end, before = 0, -1
-        seen: dict[str, list[int]] = {}
-        run = longest = 0
-        spans = sorted((a, b, k) for k, a, b in base)
-        at = 0
-        for m in _TOKEN.finditer(text):
-            start = m.start()
-            while start > end and not _GAP.match(text, start - 1):
-                start -= 1
-            prior = text[max(end, start - 24) : start].split()
-            word = prior[-1].strip(".,:;()|").lower() if prior else ""
-            near = bool(prior) is False and before >= 0 and start - end <= 2
-            token = text[start : m.end()]
-            core = token.strip(".,:;!?|\"'<>[]{}*$%&#")
-            lead = start + token.find(core) if core else start
-            end = m.end()
-            while at < len(spans) and spans[at][1] <= start:
-                at += 1
-            label = next((k for a, b, k in spans[at : at + 4] if a < end and b > start), 0)
-            me = len(self.form)
-            self.form.append(_form(core, _CUE.get(word, 0)))
-            self.label.append(label)
-            self.span.append((doc, lead, lead + len(core)))
-            run = run + 1 if near else 0
-            longest = max(longest, run)
-            if near:
-                self.chain.append((before, me))
-            key = "".join(c for c in core.lower() if c.isalnum() or c == "@")
-            if len(key) >= 4:
-                seen.setdefault(key, []).append(me)
-            before = me
-        for like in seen.values():
-            self.skip += zip(like, like[1:], strict=False)
-            first = next((k for k, x in enumerate(like) if self.label[x]), None)
-            if first is not None:
-                at = first
-                for k, x in enumerate(like):
-                    if self.label[x]:
-                        at = k
-                    elif abs(at - k) > 1:
-                        self.found.append((like[at], x))
-        self.bound[doc] = longest + max(map(len, seen.values()), default=0) + SETTLE
-
-
-def _counts(docs: DataFrame) -> list[tuple[str, int, int, int]]:
-    """(part, x, y, n): label counts of node forms and of both ends of edges."""
+        spans, at_span = sorted((a, b, k) for k, a, b in base), 0
+        like: dict[str, list[int]] = {}
+        longest = at = 0
+        held = _HELD.search(text)
+        while held:
+            begin = at
+            for end in _END.finditer(text, at, held.start()):
+                begin = end.end()
+            stop = _END.search(text, held.start())
+            at = stop.end() if stop else len(text)
+            first, cue, told = len(self.seen), 0, 0
+            for m in _TOKEN.finditer(text, begin, at):
+                token, me = m[0], len(self.seen)
+                core = token.strip(_EDGE)
+                lead = m.start() + (token.find(core) if core else 0)
+                while at_span < len(spans) and spans[at_span][1] <= m.start():
+                    at_span += 1
+                k, label = at_span, 0
+                while k < len(spans) and spans[k][0] < m.end() and not label:
+                    label = spans[k][2] if spans[k][1] > m.start() else 0
+                    k += 1
+                self.seen.append(features(core, cue if me - told <= 3 else 0))
+                self.label.append(label)
+                self.span.append((doc, lead, lead + len(core)))
+                if me > first:
+                    self.chain.append((me - 1, me))
+                word = _CUE.get(core.lower())
+                if word:
+                    cue, told = word, me
+                if self.seen[me][0] == "token":
+                    self._keys(like, core.lower(), me)
+            longest = max(longest, len(self.seen) - first)
+            held = _HELD.search(text, at)
+        done = set()
+        for mentions in like.values():
+            self._join(mentions, done)
+        self.bound[doc] = longest + max(map(len, like.values()), default=0) + SETTLE
+
+    @staticmethod
+    def _keys(like: dict[str, list[int]], core: str, me: int) -> None:
+        """Under each key that the token shares with equal or similar ones."""
+        exact = "".join(c for c in core if c.isalnum() or c == "@")
+        if len(exact) >= 4:
+            like.setdefault(exact, []).append(me)
+        if exact.isdigit() and len(exact) >= 7:
+            like.setdefault("~" + exact[-7:], []).append(me)
+        local = _FIRST.match(core)
+        if local and len(local[0]) >= 4 and not local[0].isdigit():
+            like.setdefault("@" + local[0], []).append(me)
+
+    def _join(self, mentions: list[int], done: set) -> None:
+        for pair in zip(mentions, mentions[1:], strict=False):
+            if pair not in done:
+                done.add(pair)
+                self.skip.append(pair)
+        near = next((x for x in mentions if self.label[x]), None)
+        if near is None:
+            return
+        for k, x in enumerate(mentions):
+            if self.label[x]:
+                near = x
+            elif near not in mentions[max(0, k - 1) : k + 2] and (near, x) not in done:
+                done.add((near, x))
+                self.found.append((near, x))
+
+    def patterns(self) -> Counter:
+        """Counts of (features, label left, label right, labels of like mentions, label), each token in its several views."""
+        n = len(self.seen)
+        left, right, like = [0] * n, [0] * n, [[0] * _LABELS for _ in range(n)]
+        edge = [""] * n
+        for a, b in self.chain:
+            right[a], left[b] = self.label[b], self.label[a]
+            edge[a] += "r"
+            edge[b] += "l"
+        hidden = set()
+        for a, b in self.skip:
+            if bool(self.label[a]) == bool(self.label[b]):
+                like[a][self.label[b]] += 1
+                like[b][self.label[a]] += 1
+            else:
+                hidden.add(b if self.label[a] else a)
+        out: Counter = Counter()
+        for i in range(n):
+            if i in hidden:
+                continue
+            near = (left[i] if "l" in edge[i] else -1, right[i] if "r" in edge[i] else -1)
+            out[self.seen[i], *near, tuple(like[i]), self.label[i]] += 1
+            if len(self.seen[i]) > 2:
+                out[self.seen[i][:2], *near, tuple(like[i]), self.label[i]] += 1
+                if i % HIDE == 0 and (max(near) > 0 or any(like[i][1:])):
+                    out[self.seen[i], -1, -1, (0,) * _LABELS, self.label[i]] += 1
+        return out
+
+
+def _patterns(docs: DataFrame) -> list[tuple[tuple, int]]:
+    """(pattern, n) over docs. At most one row for each token of a bounded sample; sums are partial before the shuffle."""
 
     def run(batches):
         for _, rows in rows_of(batches, "doc_id", "text"):
             g = Graph()
             for k, t in enumerate(rows):
                 g.add(k, t, base_spans(t))
-            got = [("node", f, y) for f, y in zip(g.form, g.label, strict=True)]
-            got += [(part, g.label[a], g.label[b]) for part, edges in (("chain", g.chain), ("skip", g.skip)) for a, b in edges]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], ["part", "x", "y"])
+            got = g.patterns()
+            yield pa.RecordBatch.from_arrays([pa.array([repr(x) for x in got], pa.string()), pa.array(list(got.values()), pa.int64())], ["pattern", "n"])
+
+    found = docs.mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return [(ast.literal_eval(r["pattern"]), r["n"]) for r in found.orderBy("pattern").collect()]
 
-    found = docs.mapInArrow(run, "part string, x long, y long").groupBy("part", "x", "y").agg(F.count("*").alias("n"))
-    return [tuple(r) for r in found.collect()]  # at most the number of forms times labels
+
+#: Where there is little evidence, like mentions bear like labels.
+_PRIOR_SKIP = np.array([[3.0 if a == b else -1.0 for b in range(_LABELS)] for a in range(_LABELS)])
+#: Weight of the priors against one token.
+_RIDGE, _STEPS = 0.02, 400
 
 
 class Field:
-    def __init__(self, counts: list[tuple[str, int, int, int]]):
-        node: dict[int, np.ndarray] = {}
-        pair = {"chain": np.ones((_LABELS, _LABELS)), "skip": 0.1 + 2 * np.eye(_LABELS)}
-        total = np.array([8.0, 1, 1, 1, 1])
-        for part, x, y, n in counts:
-            if part == "node":
-                node.setdefault(x, np.zeros(_LABELS))[y] += n
-                total[y] += n
-            else:
-                pair[part][x, y] += n
-                pair[part][y, x] += n
-        prior = total / total.sum()
-        self.default = np.log(prior)
-        self.node = {x: np.log((c + 2 * prior) / (c.sum() + 2)) for x, c in node.items()}
-        self.pair = {}
-        for part, c in pair.items():
-            joint = c / c.sum()
-            side = joint.sum(1)
-            self.pair[part] = np.clip(np.log(joint / np.outer(side, side)), -4, 4)
+    """Weights: of features by label, of (left, right) labels along the chain, and of label pairs over skip edges."""
+
+    def __init__(self, feature: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
+        self.feature, self.pair = feature, {"chain": np.asarray(chain, float), "skip": np.asarray(skip, float)}
+
+    @classmethod
+    def learn(cls, patterns: list[tuple[tuple, int]]) -> Field:
+        """Maximises the pseudo-likelihood of (pattern, n) by gradient steps (Adam) from the priors, which a ridge pulls towards."""
+        names = {x: k for k, x in enumerate(sorted({f for p, _ in patterns for f in p[0]}))}
+        w, chain, skip = np.zeros((len(names) + 1, _LABELS)), np.zeros((_LABELS + 1, _LABELS)), _PRIOR_SKIP.copy()
+        back = np.zeros((_LABELS + 1, _LABELS))
+        if patterns:
+            wide = max(len(p[0]) for p, _ in patterns)
+            feats = np.array([[names[f] for f in p[0]] + [len(names)] * (wide - len(p[0])) for p, _ in patterns])
+            left, right, y = (np.array([p[k] for p, _ in patterns]) for k in (1, 2, 4))
+            like = np.array([p[3] for p, _ in patterns], float)
+            n = np.array([c for _, c in patterns], float)
+            rows, moments = np.arange(len(y)), {}
+
+            def step(key, x, grad, prior, t):
+                grad = grad - _RIDGE * (x - prior)
+                m, v = moments.get(key, (0.0, 0.0))
+                m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+                moments[key] = m, v
+                x += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+            for t in range(1, _STEPS + 1):
+                pair = chain[:_LABELS]  # (left, right); row -1 of both tables stands for no neighbour
+                score = w[feats].sum(1) + np.vstack([pair, chain[-1:]])[left] + np.vstack([pair.T, back[-1:]])[right] + like @ skip
+                p = np.exp(score - score.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                miss = -p
+                miss[rows, y] += 1
+                miss *= n[:, None]
+                by_feature = np.zeros_like(w)
+                for k in range(wide):
+                    np.add.at(by_feature, feats[:, k], miss)
+                by_feature[-1] = 0
+                from_left, from_right = np.zeros_like(chain), np.zeros_like(back)
+                np.add.at(from_left, left, miss)
+                np.add.at(from_right, right, miss)
+                both = from_left[:_LABELS] + from_right[:_LABELS].T
+                from_skip = like.T @ miss
+                step("w", w, by_feature, 0.0, t)
+                step("skip", skip, (from_skip + from_skip.T) / 2, _PRIOR_SKIP, t)
+                step("edge", back, np.vstack([np.zeros((_LABELS, _LABELS)), from_right[-1:]]), 0.0, t)
+                step("chain", chain, np.vstack([both, from_left[-1:]]), 0.0, t)
+        return cls({x: w[k] for x, k in names.items()}, chain[:_LABELS], (skip + skip.T) / 2)
+
+    def unary(self, seen: tuple[str, ...]) -> np.ndarray:
+        return sum((self.feature[f] for f in seen if f in self.feature), np.zeros(_LABELS))
 
     def posteriors(self, g: Graph) -> np.ndarray:
         """Label probabilities of each node once the messages of its document stay; nodes in base spans are held at their label."""
-        unary = np.array([self.node.get(f, self.default) for f in g.form]).reshape(-1, _LABELS)
+        known = {x: self.unary(x) for x in set(g.seen)}
+        unary = np.array([known[x] for x in g.seen]).reshape(-1, _LABELS)
         held = np.array(g.label, np.int64)
         fixed = held > 0
         unary[fixed] = -30.0
@@ -249,10 +358,10 @@ class Field:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
-    """The field's weights, from about train_docs documents chosen by a hash of their ids."""
+    """The field's weights, learned from about train_docs documents chosen by a hash of their ids. An empty table gives the priors."""
     docs = texts(docs, id_col, text_col)
     share = max(1, docs.count() // max(1, train_docs))
-    return Field(_counts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)))
+    return Field.learn(_patterns(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)))
 
 
 def _map(docs: DataFrame, field: Field, schema: str, names: list[str], kinds: list, make, min_posterior: float) -> DataFrame:
