@@ -10,7 +10,7 @@ marks the tokens beside them.
 
 Weights maximise the pseudo-likelihood of the base labels in a bounded sample of documents (TRAIN_DOCS): each label given its token's features
 and the labels of its neighbours. So that the field learns more than the patterns know, each token is shown twice more with evidence hidden: once without its form,
-so that neighbours must tell, and, for one in HIDE, without its neighbours, whose labels the patterns may have missed. Of two like mentions of which a
+so that neighbours must tell (a form never seen is clean where none does), and, for one in HIDE, without its neighbours, whose labels the patterns may have missed. Of two like mentions of which a
 pattern found one, the other's label is hidden too: it is neither learned as clean nor shown to the first.
 """
 
@@ -218,9 +218,11 @@ class Graph:
                 continue
             near = (left[i] if "l" in edge[i] else -1, right[i] if "r" in edge[i] else -1)
             out[self.seen[i], *near, tuple(like[i]), self.label[i]] += 1
+            told = max(near) > 0 or any(like[i][1:])
             if len(self.seen[i]) > 2:
-                out[self.seen[i][:2], *near, tuple(like[i]), self.label[i]] += 1
-                if i % HIDE == 0 and (max(near) > 0 or any(like[i][1:])):
+                if told or not self.label[i]:
+                    out[self.seen[i][:2], *near, tuple(like[i]), self.label[i]] += 1
+                if told and i % HIDE == 0:
                     out[self.seen[i], -1, -1, (0,) * _LABELS, self.label[i]] += 1
         return out
 
@@ -240,23 +242,23 @@ def _patterns(docs: DataFrame) -> list[tuple[tuple, int]]:
     return [(ast.literal_eval(r["pattern"]), r["n"]) for r in found.orderBy("pattern").collect()]
 
 
-#: Where there is little evidence, like mentions bear like labels.
-_PRIOR_SKIP = np.array([[3.0 if a == b else -1.0 for b in range(_LABELS)] for a in range(_LABELS)])
+#: Where there is little evidence, like mentions agree by this weight.
+_PRIOR_SKIP = 3.0
 #: Weight of the priors against one token.
 _RIDGE, _STEPS = 0.02, 400
 
 
 class Field:
-    """Weights: of features by label, of (left, right) labels along the chain, and of label pairs over skip edges."""
+    """Weights: of features by label, of (left, right) labels along the chain, and of agreement over skip edges, the same for all labels, so that repeats alone speak for none."""
 
-    def __init__(self, feature: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
-        self.feature, self.pair = feature, {"chain": np.asarray(chain, float), "skip": np.asarray(skip, float)}
+    def __init__(self, feature: dict[str, np.ndarray], chain: np.ndarray, skip: float):
+        self.feature, self.pair = feature, {"chain": np.asarray(chain, float), "skip": skip * np.eye(_LABELS)}
 
     @classmethod
     def learn(cls, patterns: list[tuple[tuple, int]]) -> Field:
         """Maximises the pseudo-likelihood of (pattern, n) by gradient steps (Adam) from the priors, which a ridge pulls towards."""
         names = {x: k for k, x in enumerate(sorted({f for p, _ in patterns for f in p[0]}))}
-        w, chain, skip = np.zeros((len(names) + 1, _LABELS)), np.zeros((_LABELS + 1, _LABELS)), _PRIOR_SKIP.copy()
+        w, chain, skip = np.zeros((len(names) + 1, _LABELS)), np.zeros((_LABELS + 1, _LABELS)), np.full(1, _PRIOR_SKIP)
         back = np.zeros((_LABELS + 1, _LABELS))
         if patterns:
             wide = max(len(p[0]) for p, _ in patterns)
@@ -275,7 +277,7 @@ class Field:
 
             for t in range(1, _STEPS + 1):
                 pair = chain[:_LABELS]  # (left, right); row -1 of both tables stands for no neighbour
-                score = w[feats].sum(1) + np.vstack([pair, chain[-1:]])[left] + np.vstack([pair.T, back[-1:]])[right] + like @ skip
+                score = w[feats].sum(1) + np.vstack([pair, chain[-1:]])[left] + np.vstack([pair.T, back[-1:]])[right] + like * skip
                 p = np.exp(score - score.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 miss = -p
@@ -289,12 +291,11 @@ class Field:
                 np.add.at(from_left, left, miss)
                 np.add.at(from_right, right, miss)
                 both = from_left[:_LABELS] + from_right[:_LABELS].T
-                from_skip = like.T @ miss
                 step("w", w, by_feature, 0.0, t)
-                step("skip", skip, (from_skip + from_skip.T) / 2, _PRIOR_SKIP, t)
+                step("skip", skip, (like * miss).sum(), _PRIOR_SKIP, t)
                 step("edge", back, np.vstack([np.zeros((_LABELS, _LABELS)), from_right[-1:]]), 0.0, t)
                 step("chain", chain, np.vstack([both, from_left[-1:]]), 0.0, t)
-        return cls({x: w[k] for x, k in names.items()}, chain[:_LABELS], (skip + skip.T) / 2)
+        return cls({x: w[k] for x, k in names.items()}, chain[:_LABELS], float(skip[0]))
 
     def unary(self, seen: tuple[str, ...]) -> np.ndarray:
         return sum((self.feature[f] for f in seen if f in self.feature), np.zeros(_LABELS))
