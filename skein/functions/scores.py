@@ -49,3 +49,12 @@ def tag_boost(tags: Column) -> Column:
 def conceptual(distance: Column, timestamp: Column, tags: Column, now: Column | None = None) -> Column:
     a, b, c = CONCEPT
     return a * similarity(distance) + b * recency(timestamp, now) + c * tag_boost(tags)
+
+
+#: The names of the first version's features, in order.
+FEATURES = ("similarity_primary", "log_length", "bias")
+
+
+def named_features(near: Column, length: Column) -> Column:
+    """The feature vector as a map from name to value."""
+    return F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(near, length, F.lit(1.0)))

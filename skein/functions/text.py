@@ -37,7 +37,9 @@ def preview(text: Column, n: int = 300) -> Column:
 
 def keyword_hits(text: Column, keywords: Column) -> Column:
     """How many keywords occur somewhere in the lower-cased text, both lower-cased."""
-    return F.size(F.filter(keywords, lambda k: F.contains(F.lower(text), F.lower(k))))
+    # the text is lower-cased once, outside the lambda over keywords
+    found = F.transform(F.array(F.lower(text)), lambda t: F.size(F.filter(keywords, lambda k: F.contains(t, F.lower(k)))))
+    return F.element_at(found, 1)
 
 
 def alphanum_fraction(text: Column) -> Column:

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 
-# Language; priority; weight; boost; keywords; file patterns.
-LANGUAGES = """
-javascript; critical; 1.4; 0.2; react, expo, react-native, next.js, vite, node, npm, yarn; .js, .jsx, package.json, expo, react
-typescript; critical; 1.5; 0.3; react, expo, react-native, next.js, vite, tsx, types; .ts, .tsx, tsconfig, types
-python; critical; 1.4; 0.2; fastapi, uvicorn, pydantic, sqlalchemy, redis, pandas, numpy; .py, requirements, pyproject, main.py, api
-dockerfile; high; 1.3; 0.1; python, node, nginx, redis, postgres, alpine; Dockerfile, docker-compose, .dockerignore
-yaml; high; 1.2; 0.1; docker-compose, github, ci, config, deployment; .yml, .yaml, compose, config
-sql; high; 1.3; 0.2; postgres, timescale, pgvector, supabase, select, create; .sql, migration, schema, query
-html; medium; 1.1; 0.1; react, component, jsx, responsive, css; .html, index, template
-css; medium; 1.1; 0.1; responsive, mobile, flexbox, grid, tailwind; .css, .scss, style, theme
-markdown; medium; 1.0; 0.0; readme, docs, api, guide, tutorial; .md, README, docs, guide
-makefile; medium; 1.1; 0.1; build, docker, deploy, test, install; Makefile, makefile, build
-shell; medium; 1.1; 0.1; docker, deploy, build, setup, install; .sh, .bash, setup, deploy
-"""
+# Language, priority, weight, keywords, file patterns, boost.
+LANGUAGES = [
+    ("javascript", "critical", 1.4, ["react", "expo", "react-native", "next.js", "vite", "node", "npm", "yarn"], [".js", ".jsx", "package.json", "expo", "react"], 0.2),
+    ("typescript", "critical", 1.5, ["react", "expo", "react-native", "next.js", "vite", "tsx", "types"], [".ts", ".tsx", "tsconfig", "types"], 0.3),
+    ("python", "critical", 1.4, ["fastapi", "uvicorn", "pydantic", "sqlalchemy", "redis", "pandas", "numpy"], [".py", "requirements", "pyproject", "main.py", "api"], 0.2),
+    ("dockerfile", "high", 1.3, ["python", "node", "nginx", "redis", "postgres", "alpine"], ["Dockerfile", "docker-compose", ".dockerignore"], 0.1),
+    ("yaml", "high", 1.2, ["docker-compose", "github", "ci", "config", "deployment"], [".yml", ".yaml", "compose", "config"], 0.1),
+    ("sql", "high", 1.3, ["postgres", "timescale", "pgvector", "supabase", "select", "create"], [".sql", "migration", "schema", "query"], 0.2),
+    ("html", "medium", 1.1, ["react", "component", "jsx", "responsive", "css"], [".html", "index", "template"], 0.1),
+    ("css", "medium", 1.1, ["responsive", "mobile", "flexbox", "grid", "tailwind"], [".css", ".scss", "style", "theme"], 0.1),
+    ("markdown", "medium", 1.0, ["readme", "docs", "api", "guide", "tutorial"], [".md", "README", "docs", "guide"], 0.0),
+    ("makefile", "medium", 1.1, ["build", "docker", "deploy", "test", "install"], ["Makefile", "makefile", "build"], 0.1),
+    ("shell", "medium", 1.1, ["docker", "deploy", "build", "setup", "install"], [".sh", ".bash", "setup", "deploy"], 0.1),
+]
 # Preferred licences; limits of the optional filter.
 LICENSES = ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Unlicense", "CC0-1.0", "GPL-3.0")
 LIMITS = {"alphanum": 0.45, "avg_line": 100, "max_line": 400, "min_size": 30, "max_size": 100_000}
@@ -28,11 +28,7 @@ LENIENT = ("yaml", "dockerfile", "makefile")
 
 
 def language_rows() -> list[tuple]:
-    out = []
-    for line in LANGUAGES.strip().splitlines():
-        name, priority, weight, boost, keywords, patterns = (x.strip() for x in line.split(";"))
-        out.append((name, priority, float(weight), [k.strip() for k in keywords.split(",")], [p.strip() for p in patterns.split(",")], float(boost)))
-    return out
+    return list(LANGUAGES)
 
 
 def language_config(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
@@ -69,25 +65,49 @@ def quality(digits: int = 6) -> Column:
     ]
     factors = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
     points = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
-    hits = text.keyword_hits(F.col("content"), F.col("keywords"))
-    bonus = F.least(F.lit(0.3), hits * 0.1) + F.when(F.coalesce(text.keyword_hits(F.col("repository_name"), F.col("keywords")) > 0, F.lit(False)), 0.2).otherwise(0.0)
+    bonus = F.least(F.lit(0.3), F.col("hits") * 0.1) + F.when(F.col("in_repository"), 0.2).otherwise(0.0)
     score = F.when(factors > 0, points / factors + bonus).otherwise(0.5) + F.coalesce("quality_boost", F.lit(0.0))
     return F.round(F.least(F.lit(1.0), score), digits)
 
 
 def relevance(digits: int = 6) -> Column:
-    hits = F.coalesce(text.keyword_hits(F.col("content"), F.col("keywords")), F.lit(0))
-    paths = F.coalesce(text.keyword_hits(F.col("path"), F.col("file_patterns")), F.lit(0))
-    repo = F.coalesce(text.keyword_hits(F.col("repository_name"), F.col("keywords")) > 0, F.lit(False))
-    return F.round(hits * 0.2 + paths * 0.3 + F.when(repo, 0.5).otherwise(0.0), digits)
+    return F.round(F.col("hits") * 0.2 + F.col("paths") * 0.3 + F.when(F.col("in_repository"), 0.5).otherwise(0.0), digits)
 
 
 def scored(samples: DataFrame, config: DataFrame) -> DataFrame:
-    joined = samples.join(F.broadcast(config), "language", "left")
-    s = joined.withColumn("quality", quality()).withColumn("relevance", relevance())
+    """samples with quality, relevance and their sum. A language that config lacks has no keywords, patterns or boost."""
+    joined = samples.join(F.broadcast(config), "language", "left")  # one row for each language
+    found = lambda c, words: F.coalesce(text.keyword_hits(F.col(c), F.col(words)), F.lit(0))
+    joined = joined.withColumns({"hits": found("content", "keywords"), "paths": found("path", "file_patterns"), "in_repository": found("repository_name", "keywords") > 0})
+    s = joined.withColumn("quality", quality()).withColumn("relevance", relevance()).drop("hits", "paths", "in_repository")
     return s.withColumn("combined", F.round(F.col("quality") + F.col("relevance"), 6))
 
 
+# Tags of a curated output besides its language's and those of its first keywords; what it is told to be.
+TAGS = ("programming", "curated", "quality-filtered", "relevance-scored")
+SIDECAR = {"status": "curated", "version": "1.0", "content_type": "curated_code_repository"}
+
+
+def sidecar(statistics: DataFrame, config: DataFrame, stack: str = "tech-stack") -> DataFrame:
+    """(language, meta): a JSON object that describes each language's curated output: tags, counts, statistics and the language's configuration.
+
+    The tags are, in order, programming, lang-<language>, the name of the stack (a parameter), curated, quality-filtered, relevance-scored, and the first three keywords.
+    """
+    rows = statistics.join(F.broadcast(config), "language", "left")
+    first, *rest = map(F.lit, TAGS)
+    tags = F.concat(F.array(first, F.concat(F.lit("lang-"), "language"), F.lit(stack), *rest), F.coalesce(F.slice("keywords", 1, 3), F.expr("CAST(array() AS array<string>)")))
+    kept = F.struct("total", "kept", "ratio", F.struct("mean_quality", "min_quality", "max_quality", "mean_relevance").alias("quality_stats"))
+    meta = F.struct(
+        *(F.lit(v).alias(k) for k, v in SIDECAR.items()), "priority", tags.alias("tags"), "language", F.col("kept").alias("sample_count"), "weight_modifier",
+        F.coalesce("quality_boost", F.lit(0.0)).alias("quality_boost"), F.col("keywords").alias("target_keywords"), "file_patterns", kept.alias("filter_stats"),
+        F.col("mean_quality").alias("avg_quality_score"), F.col("mean_relevance").alias("avg_relevance_score"),
+    )
+    return rows.select("language", F.to_json(meta).alias("meta"))
+
+
+SIDECAR_SCHEMA = "priority string, tags array<string>, sample_count long, quality_boost double, avg_quality_score double, filter_stats struct<total:long,kept:long,ratio:double>"
+
+
 def top(scored_rows: DataFrame, n: int, min_quality: float = 0.5) -> DataFrame:
     """Per language the n best by combined score, ties to the larger row id."""
     w = Window.partitionBy("language").orderBy(F.desc("combined"), F.desc("row_id"))

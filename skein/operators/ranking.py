@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Transformer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scores, text, vectors
+from skein.sources.tables import written
+
+Scorer = list[float] | Callable[[DataFrame], Column] | Transformer
 
-#: Queries that one broadcast may hold; more are taken in several passes over the corpus.
-QUERY_BLOCK = 2_000
+#: Queries that one broadcast may hold; more are taken in several passes over the corpus. Candidates that may be broadcast; more join by sorting.
+QUERY_BLOCK, BROADCAST_ROWS = 2_000, 200_000
 EPS = 1e-9
 
 
@@ -19,31 +28,48 @@ def check_k(k: int | None, default: int = 10, most: int = 200) -> int:
     return k
 
 
+def pairs(corpus: DataFrame, queries: DataFrame, metric: str = "l2", digits: int = 6) -> list[DataFrame]:
+    """Every corpus row (embedding, ...) with every query (query_id, query_vector) and their distance, a table for each block of queries.
+
+    The corpus is scanned where it lies; only a checked number of queries is broadcast, in blocks beyond that.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return [corpus.crossJoin(F.broadcast(some)).withColumn("distance", F.round(vectors.distance(F.col("embedding"), F.col("query_vector"), metric), digits)) for some in parts]
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", digits: int = 6) -> DataFrame:
     """(query_id, distance, corpus columns): the k nearest corpus rows (id, embedding, ...) of each query (query_id, query_vector).
 
-    The corpus is scanned where it lies; only a checked number of queries is broadcast, in blocks beyond that. Ranks in a query are cut to k in
-    each partition before the shuffle. Ties go to the smaller id.
+    Ranks in a query are cut to k in each partition before the shuffle. Ties go to the smaller id.
+    """
+    top = Window.partitionBy("query_id").orderBy("distance", "id")
+    parts = [p.drop("query_vector", "embedding").withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n") for p in pairs(corpus, queries, metric, digits)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_texts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """candidates (id, ...) with the columns of texts (id, ...), after the top-k: candidates are written and counted, and up to BROADCAST_ROWS of them go to the texts instead of the texts being shuffled."""
+    found = written(candidates, "candidates")
+    return texts.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge"), "id")
+
+
+def fused(candidates: DataFrame, ltr_weight: float = scores.FUSION[0], concept_weight: float = scores.FUSION[1], digits: int = 6, scorer: Scorer | None = None) -> DataFrame:
+    """candidates (query_id, id, chunk, distance) with similarity, ltr, ltr_norm, fused and rank; ties by distance, then id.
+
+    scorer makes ltr: nothing for the sum of the features, a list of weights, a function of a frame with the features that gives a column, or a pyspark.ml
+    transformer that adds a column prediction.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = corpus.crossJoin(F.broadcast(some)).withColumn("distance", F.round(vectors.distance(F.col("embedding"), F.col("query_vector"), metric), digits))
-        top = Window.partitionBy("query_id").orderBy("distance", "id")
-        part = pairs.drop("query_vector", "embedding").withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def fused(candidates: DataFrame, ltr_weight: float = scores.FUSION[0], concept_weight: float = scores.FUSION[1], digits: int = 6) -> DataFrame:
-    """candidates (query_id, id, chunk, distance) with similarity, ltr, ltr_norm, fused and rank; ties by distance, then id."""
     if ltr_weight < 0 or concept_weight < 0:
         raise ValueError("weights are not negative")
     total = ltr_weight + concept_weight
     a, b = (ltr_weight / total, concept_weight / total) if total > 0 else (0.5, 0.5)
     c = candidates.withColumn("similarity", F.round(scores.similarity(F.col("distance")), digits)).withColumn("log_length", F.round(scores.log_length(F.col("chunk")), digits))
-    c = c.withColumn("ltr", F.round(scores.linear([F.col("similarity"), F.col("log_length"), F.lit(1.0)]), digits))
+    if isinstance(scorer, Transformer):
+        c = scorer.transform(c).withColumn("ltr", F.round("prediction", digits)).drop("prediction")
+    else:
+        made = scorer(c) if callable(scorer) else scores.linear([F.col("similarity"), F.col("log_length"), F.lit(1.0)], scorer)
+        c = c.withColumn("ltr", F.round(made, digits))
     w = Window.partitionBy("query_id")
     lo, hi = F.min("ltr").over(w), F.max("ltr").over(w)
     c = c.withColumn("ltr_norm", F.round(F.when(hi - lo <= EPS, 0.5).otherwise((F.col("ltr") - lo) / (hi - lo)), digits))
@@ -51,6 +77,33 @@ def fused(candidates: DataFrame, ltr_weight: float = scores.FUSION[0], concept_w
     return c.withColumn("rank", F.row_number().over(w.orderBy(F.desc("fused"), "distance", "id")))
 
 
+def diverse(candidates: DataFrame, k: int = 5, balance: float = 0.7, allow: DataFrame | None = None, block: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, rank): k candidates (query_id, id, score, embedding) of each query by maximal marginal relevance.
+
+    Each step takes the candidate of the greatest balance * score - (1 - balance) * its greatest cosine with those taken; ties go to the smaller id. A query has
+    at most the candidates that a top-k left it, so its group is small. allow and block are tables of ids (id).
+    """
+    if allow is not None:
+        candidates = candidates.join(allow.select("id").distinct().hint("merge"), "id", "left_semi")
+    if block is not None:
+        candidates = candidates.join(block.select("id").distinct().hint("merge"), "id", "left_anti")
+
+    def pick(group):
+        group = group.sort_values("id")
+        x = np.stack(group["embedding"].to_numpy()).astype(float)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        score, near, taken = group["score"].to_numpy(float), np.zeros(len(group)), []
+        for _ in range(min(k, len(group))):
+            gain = np.round(balance * score - (1 - balance) * near, 9)
+            gain[taken] = -np.inf
+            taken.append(int(gain.argmax()))
+            cosine = x @ x[taken[-1]]
+            near = cosine if len(taken) == 1 else np.maximum(near, cosine)
+        return pd.DataFrame({"query_id": group["query_id"].iloc[taken].to_numpy(), "id": group["id"].iloc[taken].to_numpy(), "rank": np.arange(1, len(taken) + 1)})
+
+    return candidates.select("query_id", "id", "score", "embedding").groupBy("query_id").applyInPandas(pick, "query_id long, id long, rank long")
+
+
 def context(ranked: DataFrame, separator: str = "\n") -> DataFrame:
     """(query_id, context): chunks of each query in rank order; a query has at most k of them."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk")))
@@ -59,3 +112,8 @@ def context(ranked: DataFrame, separator: str = "\n") -> DataFrame:
 
 def previews(ranked: DataFrame, n: int = 300) -> DataFrame:
     return ranked.withColumn("preview", text.preview(F.col("chunk"), n))
+
+
+def prompt(context: Column, question: Column, assistant: str = "Assistant") -> Column:
+    """The text for a model: preamble, context, question; the assistant's name is a parameter."""
+    return F.concat(F.lit(f"You are {assistant}. Use context to answer.\nContext:\n"), context, F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))

@@ -40,28 +40,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, chunk, source, embedding, label, ts (epoch seconds), tags, tenant_id."""
-    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"))
+def _with_meta(e: DataFrame) -> DataFrame:
     k = F.col("vec_id") % 4
     tags = F.when(k == 1, F.array(F.lit("core"))).when(k == 2, F.array(F.lit("core"), F.lit("schema"))).when(k == 3, F.array(F.lit("other")))
-    return e.join(d, e.vec_id == d.doc_id).select(
-        F.col("vec_id").alias("id"), "chunk", F.when(F.col("vec_id") % 3 == 0, "memory").otherwise("docs").alias("source"), "embedding", "label",
+    return e.select(
+        "*", F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 == 0, "memory").otherwise("docs").alias("source"),
         (F.col("vec_id") * 3600 + 1704067200).cast("double").alias("ts"), tags.alias("tags"),
         F.when(F.col("vec_id") % 5 != 0, F.concat(F.lit("tenant_"), (F.col("vec_id") % 3).cast("string"))).alias("tenant_id"),
     )
 
 
+def doc_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, chunk, source, embedding, label, ts (epoch seconds), tags, tenant_id."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk"))
+    return _with_meta(e.join(d, "vec_id")).select("id", "chunk", "source", "embedding", "label", "ts", "tags", "tenant_id")
+
+
 DE = """de AS (SELECT vec_id AS id, text AS chunk, CASE WHEN vec_id % 3 = 0 THEN 'memory' ELSE 'docs' END AS source, embedding::DOUBLE[] AS embedding, label,
  (vec_id * 3600 + 1704067200)::DOUBLE AS ts, CASE vec_id % 4 WHEN 1 THEN ['core'] WHEN 2 THEN ['core', 'schema'] WHEN 3 THEN ['other'] END AS tags,
  CASE WHEN vec_id % 5 <> 0 THEN 'tenant_' || (vec_id % 3) END AS tenant_id FROM embeddings JOIN documents ON vec_id = doc_id)"""
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_embeddings without the texts, which candidates alone need: only ids of documents are read."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")).distinct()
+    return _with_meta(e.join(d, "vec_id", "left_semi")).select("id", "source", "embedding", "label", "ts", "tags", "tenant_id")
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-QV = "qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vector FROM embeddings WHERE vec_id < 5)"
+QV = "qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vector FROM embeddings WHERE vec_id % 50 = 0)"
 KNN = f"""WITH {DE}, {QV}, pairs AS (SELECT query_id, de.*, round(list_distance(embedding, query_vector), 6) AS distance FROM de, qv),
  cand AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10)"""
 FUSED = KNN + """, f1 AS (SELECT *, round(1 / (1 + distance), 6) AS similarity, round(ln(greatest(length(chunk), 1)), 6) AS log_length FROM cand),

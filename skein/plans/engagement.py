@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.operators import spread
 from skein.plans.base import DE, IX, doc_embeddings, interactions, query, sql, table
+from skein.sources import files
+from skein.sources.tables import folder
 
 #: Upper bounds of the latency histogram, in seconds.
-BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0)
 _KIND = "CASE event_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'feature' ELSE 'none' END"
 
 
@@ -46,22 +49,21 @@ AG4 = "SELECT event_type, " + ", ".join(_P.format(p=p, a=a) for p, a in ((0.5, "
 
 @query("ag4_percentiles", AG4)
 def ag4(spark, sf):
-    """Values are counted first, so a window sums distinct values, not events."""
-    v = table(spark, sf, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type")
-    v = v.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.lit(p) * (F.col("n") - 1)) + 1, F.col("value")))
-    return v.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Rows at the wanted positions; numbering splits a hot key into ranges of values."""
+    v = spread.numbered(table(spark, sf, "events").select("event_type", "value"), ["event_type"], ["value"])
+    at = lambda p: F.floor(F.lit(p) * (F.col("total") - 1)) + 1
+    v = v.where(F.col("pos").isin(at(0.5), at(0.95), at(0.99)))
+    pick = lambda p: F.max(F.when(F.col("pos") == at(p), F.col("value")))
+    return v.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
 
 
-_LE = " UNION ALL ".join(f"SELECT CAST({b} AS DOUBLE) AS le" for b in (*BOUNDS, 1e9))
-
-
-@query("ag5_histogram", f"SELECT event_type, le, count(*) FILTER (value / 100 <= le) AS n FROM events, ({_LE}) b GROUP BY 1, 2")
+@query("ag5_histogram", """SELECT event_type, le, count(*) FILTER (value / 100 <= le) AS n, count(*) AS count, round(sum(value / 100), 3) AS sum
+ FROM events, (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 'Infinity'::DOUBLE]::DOUBLE[]) AS le) b GROUP BY 1, 2""")
 def ag5(spark, sf):
     v = table(spark, sf, "events")
-    counts = [F.struct(F.lit(float(b)).alias("le"), F.count_if(F.col("value") / 100 <= b).alias("n")) for b in (*BOUNDS, 1e9)]
-    return v.groupBy("event_type").agg(F.array(*counts).alias("h")).select("event_type", F.inline("h"))
+    counts = [F.struct(F.lit(float(b)).alias("le"), F.count_if(F.col("value") / 100 <= b).alias("n")) for b in (*BOUNDS, float("inf"))]
+    whole = v.groupBy("event_type").agg(F.array(*counts).alias("h"), F.count("*").alias("count"), F.round(F.sum(F.col("value") / 100), 3).alias("sum"))
+    return whole.select("event_type", "count", "sum", F.inline("h"))
 
 
 sql("ag6_counters", f"SELECT event_type AS endpoint, {_KIND} AS cache, count(*) AS n FROM events GROUP BY 1, 2")
@@ -96,7 +98,15 @@ def ag16(spark, sf):
 
 _LAST = "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) t WHERE n <= 200"
 sql("wn3_last_samples", _LAST)
-sql("wn3_rolling_mean", "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS mean FROM events")
+@query("wn3_rolling_mean", "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS mean FROM events")
+def wn3_rolling(spark, sf):
+    v = spread.numbered(table(spark, sf, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"])
+    v, keys, own = spread.framed(v, ["event_type"], 199)
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(-199, 0)
+    mean = F.sum(F.col("value").cast("decimal(18,2)")).over(w).cast("double") / F.count("*").over(w)
+    return v.withColumn("mean", mean).where(own).select("event_id", "mean")
+
+
 sql("wn5_last_per_user", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) t WHERE n <= 3")
 sql("so8_history", "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 sql("so9_request_sizes", "SELECT event_id, coalesce(CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 230 END, 10) AS k, coalesce(CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 230 END, 10) BETWEEN 1 AND 200 AS accepted FROM events")
@@ -107,14 +117,31 @@ sql("jn8_experiments", "SELECT x.id AS experiment_id, x.name, count(*) AS n, rou
 def jn9(spark, sf):
     v = table(spark, sf, "events").where("event_type = 'click'").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 50).alias("ids"))  # at most 50 values
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    return v.select("user_id", F.explode("ids").alias("chunk_id")).join(e, "chunk_id").select("user_id", "chunk_id", "label")
+    return v.select("user_id", F.explode("ids").alias("chunk_id")).join(e.hint("merge"), "chunk_id").select("user_id", "chunk_id", "label")
+
+
+_CACHE = "CASE WHEN c.k IS NULL THEN 'none' WHEN c.expires <= v.event_id THEN 'none' WHEN c.version = 2 AND abs(c.w - 0.6) <= 1e-9 AND abs(c.u - 0.4) <= 1e-9 THEN 'full' ELSE 'feature' END"
+sql("jn10_cache_lookup", f"SELECT v.event_id, {_CACHE} AS kind FROM events v LEFT JOIN (SELECT user_id AS k, event_id % 2 + 5 AS top_k, max(event_id) AS expires, max(event_id % 3) AS version, max(CASE WHEN event_id % 2 = 0 THEN 0.6 ELSE 0.5 END) AS w, min(CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 0.4 END) AS u FROM events WHERE event_type = 'view' GROUP BY 1, 2) c ON v.user_id = c.k AND v.event_id % 2 + 5 = c.top_k")
+
+
+@query("io8_monthly_partitions", "SELECT strftime(ts, '%Y_%m') AS month, count(*) AS n, strftime(date_trunc('month', min(ts)) + INTERVAL 1 MONTH, '%Y_%m') AS next_month, min(event_id) AS first_id FROM events GROUP BY 1")
+def io8(spark, sf):
+    """The log is appended by month and read back; next_month names the partition to come."""
+    path = folder(spark, "months")
+    files.write_events(table(spark, sf, "events"), path)
+    next_month = F.date_format(F.add_months(F.date_trunc("month", F.min("ts")), 1), "yyyy_MM")
+    return spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("n"), next_month.alias("next_month"), F.min("event_id").alias("first_id"))
+
+
+@query("io8_one_month", "SELECT event_id FROM events WHERE strftime(ts, '%Y_%m') = (SELECT min(strftime(ts, '%Y_%m')) FROM events)")
+def io8_one(spark, sf):
+    """A read of one month touches its folder alone."""
+    path = folder(spark, "months")
+    files.write_events(table(spark, sf, "events"), path)
+    log = spark.read.parquet(path)
+    return log.where(F.col("month") == F.lit(log.agg(F.min("month")).first()[0])).select("event_id")
 
 
-_CACHE = "CASE WHEN c.k IS NULL THEN 'none' WHEN c.expires <= v.event_id THEN 'none' WHEN c.version = 2 AND abs(c.w - 0.6) <= 1e-9 THEN 'full' ELSE 'feature' END"
-sql("jn10_cache_lookup", f"SELECT v.event_id, {_CACHE} AS kind FROM events v LEFT JOIN (SELECT user_id AS k, max(event_id) AS expires, max(event_id % 3) AS version, max(CASE WHEN event_id % 2 = 0 THEN 0.6 ELSE 0.5 END) AS w FROM events WHERE event_type = 'view' GROUP BY 1) c ON v.user_id = c.k")
-sql("io8_monthly_partitions", "SELECT date_format(ts, 'yyyy_MM') AS month, count(*) AS n, date_format(add_months(date_trunc('month', min(ts)), 1), 'yyyy_MM') AS next_month FROM events GROUP BY 1",
-    "SELECT strftime(ts, '%Y_%m') AS month, count(*) AS n, strftime(date_trunc('month', min(ts)) + INTERVAL 1 MONTH, '%Y_%m') AS next_month FROM events GROUP BY 1")
 sql("sc26_json_field", "SELECT event_id, variant_get(try_parse_json(props), '$.k', 'bigint') AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 sql("fp14_payload", "SELECT event_id, CASE WHEN p RLIKE '^[0-9]+$' THEN CAST(p AS BIGINT) END AS id FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN cast(event_id AS string) ELSE props END AS p FROM events)",
     "SELECT event_id, TRY_CAST(p AS BIGINT) AS id FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE props END AS p FROM events)")
-sql("st9_time_to_live", "SELECT count(*) AS live FROM events WHERE ts + INTERVAL 300 SECOND > (SELECT max(ts) FROM events) - INTERVAL 1 DAY")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions import scores, text
-from skein.plans.base import DE, IX, KNN, QUERIES, doc_embeddings, interactions, query, sql, table
-from skein.plans.corpus import SCORED, _scored
+from skein.functions import scores, text, vectors
+from skein.operators import curation, embedding, ranking
+from skein.plans.base import DE, IX, KNN, QUERIES, corpus_vectors, doc_embeddings, interactions, query, sql, table
+from skein.plans.corpus import SCORED, _scored, test_config
+from skein.plans.retrieval import texts
 from skein.sources import files
 
 _SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 _WORDS = "list_filter(string_split(lower(text), ' '), lambda x: x <> '')"
 #: Constants of the keyword score.
 K1, B = 1.2, 0.75
-#: Tags that every output carries.
-TAGS = ("code", "curated")
 
 
 def terms(docs: DataFrame, *keep: str) -> DataFrame:
@@ -27,21 +27,23 @@ def _candidates(spark, sf):
     return QUERIES["so2_knn_many_queries"](spark, sf)
 
 
-@query("sc6_feature_vector", KNN + ", f AS (SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity_primary, round(1 - distance, 6) AS score, round(ln(greatest(length(chunk), 1)), 6) AS log_length, 1.0::DOUBLE AS bias FROM cand) SELECT * FROM f")
+@query("sc6_feature_vector", KNN + ", f AS (SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity_primary, round(1 - distance, 6) AS score, round(ln(greatest(length(chunk), 1)), 6) AS log_length, 1.0::DOUBLE AS bias FROM cand) SELECT *, 'bias,log_length,similarity_primary' AS names FROM f")
 def sc6(spark, sf):
-    chunks = doc_embeddings(spark, sf).select("id", "chunk")
+    chunks = texts(spark, sf)
     length = F.round(F.log(F.greatest(F.length("chunk"), F.lit(1))), 6)
     near = F.round(scores.similarity(F.col("distance")), 6)
-    return _candidates(spark, sf).join(chunks, "id").select("query_id", "id", near.alias("similarity_primary"), F.round(1 - F.col("distance"), 6).alias("score"), length.alias("log_length"), F.lit(1.0).alias("bias"))
+    return ranking.with_texts(_candidates(spark, sf), chunks).select("query_id", "id", scores.named_features(near, length).alias("features"), F.round(1 - F.col("distance"), 6).alias("score")).select(
+        "query_id", "id", "score", *(F.element_at("features", n).alias(n) for n in scores.FEATURES), F.array_join(F.array_sort(F.map_keys("features")), ",").alias("names")
+    )
 
 
 @query("sc6b_legacy_vector", KNN + " SELECT query_id, id, 1.0::DOUBLE AS bias, round(1 / (1 + distance), 6) AS similarity, round(ln(greatest(length(chunk), 1)), 6) AS text_length, round(ln(greatest(length(d.text), 1)), 6) AS query_length FROM cand JOIN documents d ON d.doc_id = query_id")
 def sc6b(spark, sf):
     length = lambda c: F.round(F.log(F.greatest(F.length(c), F.lit(1))), 6)
     asked = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), length("text").alias("query_length"))
-    chunks = doc_embeddings(spark, sf).select("id", length("chunk").alias("text_length"))
+    chunks = texts(spark, sf).select("id", length("chunk").alias("text_length"))
     near = F.round(scores.similarity(F.col("distance")), 6)
-    return _candidates(spark, sf).join(chunks, "id").join(asked, "query_id").select("query_id", "id", F.lit(1.0).alias("bias"), near.alias("similarity"), "text_length", "query_length")
+    return ranking.with_texts(_candidates(spark, sf), chunks).join(asked.hint("merge"), "query_id").select("query_id", "id", F.lit(1.0).alias("bias"), near.alias("similarity"), "text_length", "query_length")
 
 
 @query("sc11_recency_and_tags", f"WITH {DE}, t AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE ts END AS ts, tags FROM de) SELECT id, round(CASE WHEN ts IS NULL OR ts = 0 THEN 0.5 ELSE exp(-greatest(0, 1704672000 - ts) / 604800) END, 6) AS recency, round(coalesce(len(list_intersect(tags, ['core', 'critical', 'schema'])), 0) / 3.0::DOUBLE, 6) AS boost FROM t")
@@ -59,8 +61,20 @@ def sc16(spark, sf):
 sql("sc18_keyword_matches", "SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'que') AS INT) + CAST(contains(lower(text), 'der') AS INT) AS hits FROM documents")
 sql("sc23_month", "SELECT event_id, date_format(date_trunc('month', ts), 'yyyy_MM') AS month, date_format(date_trunc('month', ts) + INTERVAL 1 MONTH, 'yyyy_MM') AS next_month FROM events",
     "SELECT event_id, strftime(date_trunc('month', ts), '%Y_%m') AS month, strftime(date_trunc('month', ts) + INTERVAL 1 MONTH, '%Y_%m') AS next_month FROM events")
-sql("sc27_prompt", "SELECT d.doc_id, concat('Context:\\n', CASE WHEN coalesce(b.text, '') = '' THEN 'No context found.' ELSE b.text END, '\\n\\nQuestion: ', left(d.text, 60), '\\nAnswer:') AS prompt FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id",
-    "SELECT d.doc_id, 'Context:' || chr(10) || CASE WHEN coalesce(b.text, '') = '' THEN 'No context found.' ELSE b.text END || chr(10) || chr(10) || 'Question: ' || left(d.text, 60) || chr(10) || 'Answer:' AS prompt FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+_CTX, _ASK = "CASE WHEN coalesce(b.text, '') = '' THEN 'No context found.' ELSE b.text END", "left(d.text, 60)"
+
+
+@query("sc27_prompt", f"""SELECT d.doc_id, 'Context:' || chr(10) || {_CTX} || chr(10) || chr(10) || 'Question: ' || {_ASK} || chr(10) || 'Answer:' AS plain,
+ 'You are Assistant. Use context to answer.' || chr(10) || 'Context:' || chr(10) || {_CTX} || chr(10) || 'Question: ' || {_ASK} || chr(10) || 'Answer:' AS assistant, 'User: ' || {_ASK} || chr(10) || 'Assistant:' AS character
+ FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id""")
+def sc27(spark, sf):
+    """Three templates: context and question, the same behind a preamble, and a character's turn."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("found")), "doc_id", "left")
+    context, asked = F.when(F.coalesce("found", F.lit("")) == "", "No context found.").otherwise(F.col("found")), F.left("text", F.lit(60))
+    plain = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), asked, F.lit("\nAnswer:"))
+    return rows.select("doc_id", plain.alias("plain"), ranking.prompt(context, asked).alias("assistant"), F.concat(F.lit("User: "), asked, F.lit("\nAssistant:")).alias("character"))
+
+
 sql("sc28_percent_retained", "SELECT lang, count(*) AS total, count_if(n_chars >= 200) AS kept, round(100.0D * count_if(n_chars >= 200) / count(*), 1) AS percent FROM documents GROUP BY lang",
     "SELECT lang, count(*) AS total, count(*) FILTER (n_chars >= 200) AS kept, round(100.0::DOUBLE * count(*) FILTER (n_chars >= 200) / count(*), 1) AS percent FROM documents GROUP BY lang")
 
@@ -72,10 +86,16 @@ def io5(spark, sf):
     return files.append_new(rows.select("text"), ledger).select("content_hash")
 
 
-@query("io7_sidecar", SCORED + """ SELECT language, any_value(priority) AS priority, count(*) AS rows, round(avg(quality), 6) AS mean_quality, round(max(relevance), 6) AS max_relevance, 'code,curated,' || language AS tags FROM scored GROUP BY language""")
+_TAGS7 = "'programming,lang-' || language || ',tech-stack,curated,quality-filtered,relevance-scored' || CASE WHEN any_value(priority) IS NULL THEN '' ELSE ',the,que,der' END"
+
+
+@query("io7_sidecar", SCORED + f""" SELECT language, any_value(priority) AS priority, {_TAGS7} AS tags, count(*) FILTER (quality >= 0.5) AS sample_count, count(*) AS total, round(coalesce(avg(quality) FILTER (quality >= 0.5), 0), 6) AS mean_quality,
+ round(coalesce(avg(relevance) FILTER (quality >= 0.5), 0), 6) AS mean_relevance, coalesce(any_value(boost), 0)::DOUBLE AS boost FROM scored GROUP BY language""")
 def io7(spark, sf):
-    stats = (F.any_value("priority").alias("priority"), F.count("*").alias("rows"), F.round(F.avg("quality"), 6).alias("mean_quality"), F.round(F.max("relevance"), 6).alias("max_relevance"))
-    return _scored(spark, sf).groupBy("language").agg(*stats).withColumn("tags", F.concat_ws(",", *map(F.lit, TAGS), "language"))
+    """The JSON of each language's sidecar, read back."""
+    meta = curation.sidecar(curation.statistics(_scored(spark, sf)), test_config(spark))
+    m = meta.select("language", F.from_json("meta", curation.SIDECAR_SCHEMA + ", avg_relevance_score double").alias("m"))
+    return m.select("language", "m.priority", F.array_join("m.tags", ",").alias("tags"), "m.sample_count", "m.filter_stats.total", F.col("m.avg_quality_score").alias("mean_quality"), F.col("m.avg_relevance_score").alias("mean_relevance"), F.col("m.quality_boost").alias("boost"))
 
 
 @query("io9_timed_log", "SELECT date_trunc('second', ts) AS at, event_type || ' by ' || user_id AS message FROM events WHERE event_id % 10 <> 0")
@@ -85,13 +105,6 @@ def io9(spark, sf):
     return files.timed_log(lines)
 
 
-@query("st4_build_update", """SELECT event_id, '{"type":"build","content":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","user":"' || user_id || '"}' AS message FROM events""")
-def st4(spark, sf):
-    base = F.create_map(F.lit("type"), F.lit("build"), F.lit("content"), F.col("event_type"), F.lit("timestamp"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    extras = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
-    return table(spark, sf, "events").select("event_id", F.to_json(F.map_concat(base, extras)).alias("message"))
-
-
 @query("ud1_hashing_embedder", f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), c AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY 1, 2) SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c")
 def ud1(spark, sf):
     bucket = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % 64
@@ -124,18 +137,18 @@ def pl1(spark, sf):
 @query("pl3_ranking_metrics", KNN + """, r AS (SELECT query_id, c.id, (c.label = d.label)::INT AS hit, row_number() OVER (PARTITION BY query_id ORDER BY distance, c.id) AS rank FROM cand c JOIN de d ON d.id = query_id),
  g AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0) AS rr, sum(hit / log2(rank + 1)) AS dcg, sum(hit) AS hits FROM r GROUP BY 1),
  i AS (SELECT g.*, coalesce(list_sum(list_transform(range(1, hits::BIGINT + 1), lambda k: 1 / log2(k + 1))), 0) AS ideal FROM g)
- SELECT query_id % 2 AS arm, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg FROM i GROUP BY 1""")
+ SELECT query_id // 50 % 2 AS arm, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg FROM i GROUP BY 1""")
 def pl3(spark, sf):
-    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    labels = corpus_vectors(spark, sf).select("id", "label")
     asked = labels.select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
-    rows = _candidates(spark, sf).join(labels, "id").join(asked, "query_id").withColumn("hit", (F.col("label") == F.col("wanted")).cast("int"))
+    rows = ranking.with_texts(_candidates(spark, sf), labels).join(asked.hint("merge"), "query_id").withColumn("hit", (F.col("label") == F.col("wanted")).cast("int"))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     gain = lambda r: 1 / F.log2(r + 1)
     each = rows.groupBy("query_id").agg(F.coalesce(1.0 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"), F.sum(F.col("hit") * gain(F.col("rank"))).alias("dcg"), F.sum("hit").alias("hits"))
     places = F.when(F.col("hits") > 0, F.sequence(F.lit(1), F.col("hits").cast("int"))).otherwise(F.array().cast("array<int>"))
     ideal = F.aggregate(places, F.lit(0.0), lambda s, k: s + gain(k))
     each = each.withColumn("ndcg", F.when(ideal > 0, F.col("dcg") / ideal).otherwise(0.0))
-    return each.groupBy((F.col("query_id") % 2).alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    return each.groupBy((F.floor(F.col("query_id") / 50) % 2).alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
 _MAIL, _NUMBER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", r"\+[0-9][0-9 ().-]{6,}[0-9]"
@@ -163,11 +176,46 @@ def pl9(spark, sf):
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3").drop("rank")
 
 
+@query("ud1_user_embedder", "SELECT doc_id, round(length(text) / sqrt(length(text) * length(text) + 1.0), 6) AS x, round(1 / sqrt(length(text) * length(text) + 1.0), 6) AS y FROM documents")
+def ud1_user(spark, sf):
+    """A user's function in batches of sixteen texts."""
+
+    def lengths(texts):
+        assert len(texts) <= 16
+        return [[len(t) / (len(t) ** 2 + 1) ** 0.5, 1 / (len(t) ** 2 + 1) ** 0.5] for t in texts]
+
+    rows = embedding.embed(table(spark, sf, "documents").select("doc_id", "text"), lengths, dim=2)
+    return rows.select("doc_id", F.round(F.get("embedding", F.lit(0)), 6).alias("x"), F.round(F.get("embedding", F.lit(1)), 6).alias("y"))
+
+
+@query("pl9_entities", r"SELECT entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS entity FROM documents) GROUP BY 1")
+def pl9_entities(spark, sf):
+    """Runs of capitalised words."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))).alias("entity"))
+    return rows.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("pl9_topics")
+def pl9_topics(spark, sf):
+    """The likeliest of eight topics of each document, by latent Dirichlet allocation over hashed words; seeded."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    rows = table(spark, sf, "documents").select("doc_id", F.array_remove(F.split(F.lower("text"), " "), "").alias("words"))
+    counted = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 12).transform(rows).select("doc_id", "features")
+    mixed = LDA(k=8, seed=7, maxIter=5).fit(counted).transform(counted).withColumn("share", vector_to_array("topicDistribution"))
+    return mixed.select("doc_id", (F.array_position("share", F.array_max("share")) - 1).alias("topic"), F.array_max("share").alias("share"))
+
+
 @query("pl10_clusters")
 def pl10(spark, sf):
-    """Cluster of every vector, and its distance to the cluster's centre; seeded, so that runs on the same partitions agree."""
+    """Cluster of every vector and its distance to the cluster's centre; rows are ordered and seeded, so runs agree."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    return KMeans(k=16, seed=7, maxIter=20).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", array_to_vector("embedding").alias("features")).repartitionByRange(8, "vec_id").sortWithinPartitions("vec_id")
+    model = KMeans(k=16, seed=7, maxIter=20).fit(rows)
+    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))  # sixteen
+    placed = model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"), "embedding", F.get(centres, F.col("prediction")).alias("centre"))
+    return placed.select("vec_id", "cluster", F.round(vectors.l2_distance(F.col("embedding"), F.col("centre")), 6).alias("distance"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,38 +71,85 @@ def fp13(spark, sf):
     return renamed(u.select(k(F.col("user_id")).alias("key"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("value")), u.select(k(F.col("user_id")).alias("old"), k(F.col("user_id") + 40).alias("new")))
 
 
-sql("dq1_null_embeddings", "SELECT count(*) AS total, count(*) - count(e.vec_id) AS missing, round((count(*) - count(e.vec_id)) / count(*), 6) AS rate FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id",
-    "SELECT count(*) AS total, count(*) - count(e.vec_id) AS missing, round((count(*) - count(e.vec_id)) / count(*)::DOUBLE, 6) AS rate FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
-sql("dq2_stale", "SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
-sql("dq3_orphans", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def check_rows(checks: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(check_name, status, details): one row for each check, whose frame has one row of figures (failed, ...); details are the figures as JSON."""
+    rows = [df.select(F.lit(name).alias("check_name"), F.when(F.col("failed") > 0, "fail").otherwise("pass").alias("status"), F.to_json(F.struct("*")).alias("details")) for name, df in checks]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _missing(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("there"))
+    both = table(spark, sf, "documents").select("doc_id").join(e, "doc_id", "left")
+    return both.agg(F.count_if(F.col("there").isNull()).alias("failed"), F.count("*").alias("total"))
+
+
+def _orphans(spark, sf) -> DataFrame:
+    """Keys of either side that the other lacks; the given tables have none, so one key in seven of each side is left out first, by content."""
+    o = table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("key"))
+    i = table(spark, sf, "lineitem").where("l_orderkey % 7 <> 1").select(F.col("l_orderkey").alias("key")).distinct()
+    return o.join(i, "key", "left_anti").withColumn("side", F.lit("order")).unionByName(i.join(o, "key", "left_anti").withColumn("side", F.lit("line")))
+
+
+_D1 = "SELECT count(*) - count(e.vec_id) AS failed, count(*) AS total FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
+_O = """SELECT o_orderkey AS key, 'order' AS side FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 7 <> 1)
+ UNION ALL SELECT DISTINCT l_orderkey, 'line' FROM lineitem WHERE l_orderkey % 7 <> 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)"""
+
+
+@query("dq1_null_embeddings", f"SELECT failed, total, round(failed / total::DOUBLE, 6) AS rate FROM ({_D1})")
+def dq1(spark, sf):
+    return _missing(spark, sf).withColumn("rate", F.round(F.col("failed") / F.col("total"), 6))
+
+
+@query("dq1_check_rows", f"""SELECT 'null_embeddings' AS check_name, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS status, '{{"failed":' || failed || ',"total":' || total || '}}' AS details FROM ({_D1})
+ UNION ALL SELECT 'orphan_links', CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END, '{{"failed":' || count(*) || '}}' FROM ({_O})
+ UNION ALL SELECT 'null_text', CASE WHEN count(*) FILTER (text IS NULL) > 0 THEN 'fail' ELSE 'pass' END, '{{"failed":' || count(*) FILTER (text IS NULL) || ',"total":' || count(*) || '}}' FROM documents""")
+def dq1_rows(spark, sf):
+    null_text = table(spark, sf, "documents").agg(F.count_if(F.col("text").isNull()).alias("failed"), F.count("*").alias("total"))
+    return check_rows([("null_embeddings", _missing(spark, sf)), ("orphan_links", _orphans(spark, sf).agg(F.count("*").alias("failed"))), ("null_text", null_text)])
+
+
+sql("dq2_stale", "SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 30 DAY AS stale FROM events")
+
+
+@query("dq3_orphans", _O)
+def dq3(spark, sf):
+    return _orphans(spark, sf)
+
+
 sql("dq4_domains", "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY 1")
 sql("dq4_unique_keys", "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 sql("dq5_required_keys", "SELECT r.key FROM (SELECT 'view' AS key UNION ALL SELECT 'refund' UNION ALL SELECT 'click') r LEFT ANTI JOIN events v ON v.event_type = r.key",
     "SELECT r.key FROM (SELECT 'view' AS key UNION ALL SELECT 'refund' UNION ALL SELECT 'click') r WHERE r.key NOT IN (SELECT event_type FROM events)")
 sql("so7_backfill_batch", "SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL ORDER BY d.doc_id LIMIT 100")
 sql("jn6_mission_chain", "SELECT r_name, n_name, count(c_custkey) AS logs FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
-sql("jn7_impact_trace", "SELECT p_partkey, count(DISTINCT o_orderkey) AS decisions, max(o_orderkey) AS last_one FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_partkey % 10 = 0 GROUP BY 1")
+sql("jn7_impact_trace", "SELECT p_partkey, count(DISTINCT o_orderkey) AS decisions, max(o_orderkey) AS last_one FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 
 
 @query("jn4_documents_with_chunks", f"WITH {CHUNKS} SELECT d.doc_id, d.lang, count(*) AS n FROM documents d JOIN chunks c ON d.doc_id = c.doc_id GROUP BY 1, 2")
 def jn4(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    return d.join(chunk_rows(spark, sf).select("doc_id"), "doc_id").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    return d.join(chunk_rows(spark, sf).select("doc_id").hint("merge"), "doc_id").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+
 
+def span_overlap(changes: DataFrame, spans: DataFrame, width: int = 1000, salts: int = 8) -> DataFrame:
+    """Pairs of (file, c_id, c_start, c_end) and (file, s_id, s_start, s_end) that overlap: an equi-join on buckets of width, each pair kept in the first bucket both have.
 
-def span_overlap(changes: DataFrame, spans: DataFrame, width: int = 1000) -> DataFrame:
-    """Pairs of (file, c_id, c_start, c_end) and (file, s_id, s_start, s_end) that overlap: an equi-join on buckets of width, each pair kept in the first bucket both have."""
+    Changes of a bucket are dealt to salts parts and spans copied to each, so that a busy place of a file is shared by several tasks.
+    """
     cut = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-    j = cut(changes, "c_start", "c_end").join(cut(spans, "s_start", "s_end").hint("merge"), ["file", "bucket"])
-    return j.where("c_start <= s_end AND s_start <= c_end").where(F.col("bucket") == F.floor(F.greatest("c_start", "s_start") / width)).drop("bucket")
+    left = cut(changes, "c_start", "c_end").withColumn("salt", F.pmod(F.xxhash64("c_id"), F.lit(salts)).cast("int"))
+    right = cut(spans, "s_start", "s_end").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    j = left.join(right.hint("merge"), ["file", "bucket", "salt"])
+    return j.where("c_start <= s_end AND s_start <= c_end").where(F.col("bucket") == F.floor(F.greatest("c_start", "s_start") / width)).drop("bucket", "salt")
+
+
+_C12, _S12 = ("source AS file, doc_id AS c_id, doc_id * 37 AS c_start, doc_id * 37 + 40 AS c_end", "source AS file, doc_id AS s_id, doc_id * 37 + 15 AS s_start, doc_id * 37 + 15 + n_chars % 1500 AS s_end")
 
 
-@query("jn12_span_overlap", "WITH c AS (SELECT source AS file, doc_id AS c_id, doc_id * 37 % 5000 AS c_start, doc_id * 37 % 5000 + 40 AS c_end FROM documents WHERE doc_id % 3 = 0), s AS (SELECT source AS file, doc_id AS s_id, doc_id * 53 % 5000 AS s_start, doc_id * 53 % 5000 + n_chars % 1500 AS s_end FROM documents) SELECT c.file, c_id, s_id FROM c JOIN s ON c.file = s.file AND c_start <= s_end AND s_start <= c_end")
+@query("jn12_span_overlap", f"WITH c AS (SELECT {_C12} FROM documents), s AS (SELECT {_S12} FROM documents) SELECT c.file, c_id, s_id FROM c JOIN s ON c.file = s.file AND c_start <= s_end AND s_start <= c_end")
 def jn12(spark, sf):
     d = table(spark, sf, "documents")
-    c = d.where("doc_id % 3 = 0").selectExpr("source AS file", "doc_id AS c_id", "doc_id * 37 % 5000 AS c_start", "doc_id * 37 % 5000 + 40 AS c_end")
-    s = d.selectExpr("source AS file", "doc_id AS s_id", "doc_id * 53 % 5000 AS s_start", "doc_id * 53 % 5000 + n_chars % 1500 AS s_end")
-    return span_overlap(c, s).select("file", "c_id", "s_id")
+    return span_overlap(d.selectExpr(*_C12.split(", ")), d.selectExpr(*_S12.split(", "))).select("file", "c_id", "s_id")
 
 
 sql("pl7_lag_features", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5 FROM events")

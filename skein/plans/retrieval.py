@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions import scores, text, vectors
-from skein.operators import ranking
-from skein.plans.base import DE, FUSED, KNN, QV, doc_embeddings, query, query_vectors, table
+from skein.functions import scores, vectors
+from skein.operators import ann, ranking, spread
+from skein.plans.base import DE, FUSED, KNN, QV, corpus_vectors, doc_embeddings, query, query_vectors, table
+from skein.sources.tables import folder, written
+
+
+def _near(spark, sf) -> DataFrame:
+    """The ten nearest of each query vector, without texts."""
+    return ranking.knn(corpus_vectors(spark, sf), query_vectors(spark, sf), 10)
+
+
+def texts(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
 
 
-def _cand(spark, sf):
-    return ranking.knn(doc_embeddings(spark, sf), query_vectors(spark, sf), 10)
+def _cand(spark, sf) -> DataFrame:
+    return ranking.with_texts(_near(spark, sf), texts(spark, sf))
 
 
 @query("rk1_fused_ranking", FUSED + " SELECT query_id, id, rank, distance, similarity, log_length, ltr, ltr_norm, fused, left(chunk, 300) AS preview FROM fused")
@@ -27,7 +38,7 @@ _CONCEPT = KNN + """, c AS (SELECT *, round(0.7 / (1 + distance) + 0.2 * (CASE W
 
 
 def _conceptual(spark, sf):
-    c = _cand(spark, sf).withColumn("score", F.round(scores.conceptual(F.col("distance"), F.col("ts"), F.col("tags"), F.lit(1706000000.0)), 6))
+    c = _near(spark, sf).withColumn("score", F.round(scores.conceptual(F.col("distance"), F.col("ts"), F.col("tags"), F.lit(1706000000.0)), 6))
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "id")))
 
 
@@ -38,44 +49,55 @@ def so4(spark, sf):
 
 @query("rk2_conceptual_pipeline", _CONCEPT + " SELECT query_id, string_agg(chunk, chr(10) ORDER BY rank) AS context FROM r GROUP BY query_id")
 def rk2(spark, sf):
-    return ranking.context(_conceptual(spark, sf))
+    return ranking.context(ranking.with_texts(_conceptual(spark, sf), texts(spark, sf)))
 
 
-@query("rk3_prompt", FUSED + " SELECT query_id, 'Context:' || chr(10) || string_agg(left(chunk, 120), chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM fused WHERE rank <= 5 GROUP BY query_id")
+_TOP5 = FUSED + ", top AS (SELECT * FROM fused WHERE rank <= 5)"
+
+
+@query("rk3_prompt", _TOP5 + """ SELECT query_id, 'You are Assistant. Use context to answer.' || chr(10) || 'Context:' || chr(10) || string_agg(left(chunk, 300), chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || 'Question: ' || any_value(d.text) || chr(10) || 'Answer:' AS prompt
+ FROM top JOIN documents d ON d.doc_id = query_id GROUP BY query_id""")
 def rk3(spark, sf):
-    top = ranking.fused(_cand(spark, sf)).where("rank <= 5").withColumn("chunk", text.preview(F.col("chunk"), 120))
-    return ranking.context(top, "\n---\n").select("query_id", F.concat(F.lit("Context:\n"), "context").alias("prompt"))
+    """The question is the text of the query's own document."""
+    top = ranking.previews(ranking.fused(_cand(spark, sf)).where("rank <= 5")).withColumn("chunk", F.col("preview"))
+    asked = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    made = ranking.context(top, "\n---\n").join(asked.hint("merge"), "query_id")
+    return made.select("query_id", ranking.prompt(F.col("context"), F.col("question")).alias("prompt"))
+
+
+@query("rk3_chunks", _TOP5 + " SELECT query_id, id, left(chunk, 300) AS chunk, fused AS score, ltr AS ltr_score, similarity AS conceptual_score, distance FROM top")
+def rk3_chunks(spark, sf):
+    top = ranking.previews(ranking.fused(_cand(spark, sf)).where("rank <= 5"))
+    return top.select("query_id", "id", F.col("preview").alias("chunk"), F.col("fused").alias("score"), F.col("ltr").alias("ltr_score"), F.col("similarity").alias("conceptual_score"), "distance")
 
 
 @query("so1_knn_one_query", f"WITH {DE}, {QV} SELECT id, round(list_distance(embedding, query_vector), 6) AS distance FROM de, qv WHERE query_id = 0 ORDER BY 2, 1 LIMIT 10")
 def so1(spark, sf):
-    q = query_vectors(spark, sf, 1)
-    d = doc_embeddings(spark, sf).crossJoin(F.broadcast(q))
-    return d.select("id", F.round(vectors.l2_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance")).orderBy("distance", "id").limit(10)
+    found = ranking.knn(corpus_vectors(spark, sf), query_vectors(spark, sf).where("query_id = 0"), 10)
+    return found.select("id", "distance").orderBy("distance", "id").limit(10)
 
 
 @query("so2_knn_many_queries", KNN + " SELECT query_id, id, distance FROM cand")
 def so2(spark, sf):
-    return _cand(spark, sf).select("query_id", "id", "distance")
+    return _near(spark, sf).select("query_id", "id", "distance")
 
 
 @query("so3_knn_memory_source", f"WITH {DE}, {QV} SELECT query_id, id, distance, round(1 - distance, 6) AS score FROM (SELECT query_id, id, round(list_distance(embedding, query_vector), 6) AS distance FROM de, qv WHERE source = 'memory') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5")
 def so3(spark, sf):
-    c = ranking.knn(doc_embeddings(spark, sf).where("source = 'memory'"), query_vectors(spark, sf), 5)
+    c = ranking.knn(corpus_vectors(spark, sf).where("source = 'memory'"), query_vectors(spark, sf), 5)
     return c.select("query_id", "id", "distance", F.round(1 - F.col("distance"), 6).alias("score"))
 
 
 @query("jn3_distance_join", f"WITH {DE}, {QV} SELECT query_id, count(*) AS n, round(sum(round(list_distance(embedding, query_vector), 6)), 3) AS total FROM de, qv GROUP BY 1")
 def jn3(spark, sf):
-    d = doc_embeddings(spark, sf).crossJoin(F.broadcast(query_vectors(spark, sf)))
-    d = d.withColumn("distance", F.round(vectors.l2_distance(F.col("embedding"), F.col("query_vector")), 6))
-    return d.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total"))
+    parts = [d.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total")) for d in ranking.pairs(corpus_vectors(spark, sf), query_vectors(spark, sf))]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("sc2_cosine_distance", f"WITH {DE}, {QV} SELECT query_id, id, round(1 - list_dot_product(embedding, query_vector) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(query_vector, query_vector))), 5) + 0.0 AS cosine FROM de, qv")
+@query("sc2_cosine_distance", f"WITH {DE}, {QV} SELECT query_id, id, round(1 - list_dot_product(embedding, query_vector) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(query_vector, query_vector))), 5) + 0.0 AS cosine FROM de, qv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine, id) <= 10")
 def sc2(spark, sf):
-    d = doc_embeddings(spark, sf).crossJoin(F.broadcast(query_vectors(spark, sf)))
-    return d.select("query_id", "id", (F.round(vectors.cosine_distance(F.col("embedding"), F.col("query_vector")), 5) + 0.0).alias("cosine"))
+    d = ranking.knn(corpus_vectors(spark, sf), query_vectors(spark, sf), 10, "cosine", 5)
+    return d.select("query_id", "id", (F.col("distance") + 0.0).alias("cosine"))
 
 
 @query("sc25_normalised_vectors", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm_before, 1.0::DOUBLE AS norm_after FROM embeddings")
@@ -101,6 +123,14 @@ def sc8(spark, sf):
     return v.groupBy("a", "b").agg(F.round(F.max(w), 6).alias("w_ltr"), F.count("*").alias("n"))
 
 
+@query("sc8_weight_versions", "WITH u AS (SELECT event_id, event_id % 7 - 1 AS a, event_id % 5 AS b FROM events WHERE event_type = 'click' AND event_id % 7 >= 1) SELECT row_number() OVER (ORDER BY event_id) AS version, round(CASE WHEN a + b <= 0 THEN 0.5 ELSE a / (a + b)::DOUBLE END, 6) AS w_ltr FROM u")
+def sc8_versions(spark, sf):
+    """Updates of the weights in order of time, negative ones rejected; each that is accepted is one version more."""
+    v = table(spark, sf, "events").where("event_type = 'click'").select(F.lit(1).alias("table"), "event_id", (F.col("event_id") % 7 - 1).alias("a"), (F.col("event_id") % 5).alias("b")).where("a >= 0 AND b >= 0")
+    w, _ = scores.fusion_weights(F.col("a"), F.col("b"))
+    return spread.numbered(v, ["table"], ["event_id"]).select(F.col("pos").alias("version"), F.round(w, 6).alias("w_ltr"))
+
+
 @query("so6_sorted_by_column", FUSED + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(log_length, 0) DESC, id) AS place FROM fused")
 def so6(spark, sf):
     w = Window.partitionBy("query_id").orderBy(F.coalesce("log_length", F.lit(0.0)).desc(), "id")
@@ -111,7 +141,7 @@ def so6(spark, sf):
  d AS (SELECT query_id, id, distance FROM pairs WHERE source = 'docs' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5)
  SELECT * FROM (SELECT * FROM m UNION ALL SELECT * FROM d) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5""")
 def se1(spark, sf):
-    de, q = doc_embeddings(spark, sf), query_vectors(spark, sf)
+    de, q = corpus_vectors(spark, sf), query_vectors(spark, sf)
     both = ranking.knn(de.where("source = 'memory'"), q, 5).unionByName(ranking.knn(de.where("source = 'docs'"), q, 5))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return both.withColumn("n", F.row_number().over(w)).where("n <= 5").select("query_id", "id", "distance")
@@ -119,7 +149,8 @@ def se1(spark, sf):
 
 @query("jn11_stored_features", FUSED + ", g AS (SELECT *, round(0.3 * ltr_norm + 0.7 * similarity, 6) AS refused FROM fused) SELECT query_id, id, refused, row_number() OVER (PARTITION BY query_id ORDER BY refused DESC, distance, id) AS rank FROM g")
 def jn11(spark, sf):
-    stored = ranking.fused(_cand(spark, sf)).drop("fused", "rank")
+    """Features and distances are stored once; new weights read them, without a search."""
+    stored = written(ranking.fused(_cand(spark, sf)).select("query_id", "id", "distance", "similarity", "log_length", "ltr", "ltr_norm"), "features")
     again = stored.withColumn("refused", F.round(0.3 * F.col("ltr_norm") + 0.7 * F.col("similarity"), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("refused"), "distance", "id")
     return again.select("query_id", "id", "refused", F.row_number().over(w).cast("long").alias("rank"))
@@ -127,35 +158,83 @@ def jn11(spark, sf):
 
 @query("wn6_embedding_drift", f"WITH {DE}, l AS (SELECT label, id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY id) AS prev FROM de) SELECT label, id, round(1 - list_dot_product(embedding, prev) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(prev, prev))), 5) + 0.0 AS drift FROM l WHERE prev IS NOT NULL")
 def wn6(spark, sf):
-    w = Window.partitionBy("label").orderBy("id")
-    d = doc_embeddings(spark, sf).withColumn("prev", F.lag("embedding").over(w)).where("prev IS NOT NULL")
+    rows = spread.numbered(corpus_vectors(spark, sf).select("label", "id", "embedding"), ["label"], ["id"])
+    rows, keys, own = spread.framed(rows, ["label"], 1)
+    d = rows.withColumn("prev", F.lag("embedding").over(Window.partitionBy(*keys).orderBy("pos"))).where(own & F.col("prev").isNotNull())
     return d.select("label", "id", (F.round(vectors.cosine_distance(F.col("embedding"), F.col("prev")), 5) + 0.0).alias("drift"))
 
 
-def inverted_lists(corpus, lists, seed=7):
-    """k-means model and the corpus (id, embedding, ...) with its list_id; about sqrt(rows) lists are right."""
-    v = corpus.withColumn("features", array_to_vector("embedding"))
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features", predictionCol="list_id").fit(v)
-    return model, model.transform(v).drop("features")
-
-
-def probed_knn(spark, corpus, queries, k, lists, nprobe):
-    """k nearest among the rows of each query's nprobe nearest lists: an equi-join on list_id, then exact distances."""
-    model, placed = inverted_lists(corpus, lists)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id long, embedding array<double>")
-    near = ranking.knn(centres, queries, nprobe).select("query_id", F.col("id").cast("int").alias("list_id"))
-    pairs = placed.join(near.join(queries, "query_id"), "list_id").withColumn("distance", F.round(vectors.l2_distance(F.col("embedding"), F.col("query_vector")), 6))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("query_id", "id", "distance")
+def _index(spark, sf) -> ann.Index:
+    return ann.Index.build(corpus_vectors(spark, sf), folder(spark, "lists"))
 
 
 @query("an1_inverted_lists_all_probed", KNN + " SELECT query_id, id, distance FROM cand")
 def an1(spark, sf):
-    return probed_knn(spark, doc_embeddings(spark, sf), query_vectors(spark, sf), 10, 8, 8)
+    return _index(spark, sf).knn(query_vectors(spark, sf), 10).select("query_id", "id", "distance")
+
+
+@query("an1_stored_lists", "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, CAST(floor(sqrt(count(*))) AS BIGINT) AS lists FROM embeddings JOIN documents ON vec_id = doc_id")
+def an1_stored(spark, sf):
+    """Every vector is in exactly one of about sqrt(rows) lists."""
+    index = _index(spark, sf)
+    return index.vectors.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).withColumn("lists", F.lit(index.lists).cast("long"))
+
+
+def _probed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    index, q = _index(spark, sf), query_vectors(spark, sf)
+    exact = written(ranking.knn(corpus_vectors(spark, sf), q, 10).select("query_id", "id", "distance"), "exact")
+    return index.knn(q, 10, index.calibrated(q, exact)), exact
+
+
+@query("an1_probed")
+def an1_probed(spark, sf):
+    """Neighbours from as few lists as give a mean recall of 0.9 on the query set."""
+    return _probed(spark, sf)[0].select("query_id", "id", "distance")
+
+
+@query("an2_random_projections")
+def an2(spark, sf):
+    return ann.lsh_knn(corpus_vectors(spark, sf), query_vectors(spark, sf))
 
 
 @query("an3_recall")
 def an3(spark, sf):
-    c, q = doc_embeddings(spark, sf), query_vectors(spark, sf)
-    near, exact = probed_knn(spark, c, q, 10, 16, 6), ranking.knn(c, q, 10).select("query_id", "id")
-    return exact.join(near.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg((F.count("*") / 10).alias("recall"))
+    """Recall of each query with the calibrated number of probes; tests hold the mean at 0.9 or more."""
+    found, exact = _probed(spark, sf)
+    return ann.recall(found, exact, 10)
+
+
+@query("an3_recall_all_probed", f"WITH {DE}, {QV} SELECT query_id, 1.0::DOUBLE AS recall FROM qv")
+def an3_all(spark, sf):
+    q = query_vectors(spark, sf)
+    return ann.recall(_index(spark, sf).knn(q, 10), ranking.knn(corpus_vectors(spark, sf), q, 10), 10)
+
+
+@query("ud3_retrieval_modes", KNN + " SELECT mode, query_id, id, distance FROM cand, (SELECT unnest(['exact', 'lists']) AS mode)")
+def ud3(spark, sf):
+    c, q = corpus_vectors(spark, sf), query_vectors(spark, sf)
+    modes = {"exact": None, "lists": _index(spark, sf)}
+    return reduce(DataFrame.unionByName, [ann.retrieve(m, c, q, 10, i).select(F.lit(m).alias("mode"), "query_id", "id", "distance") for m, i in modes.items()])
+
+
+_SCORED = KNN + """, f1 AS (SELECT *, round(1 / (1 + distance), 6) AS similarity, round(ln(greatest(length(chunk), 1)), 6) AS log_length FROM cand),
+ s AS (SELECT *, scorer, round(CASE scorer WHEN 'weights' THEN 0.5 * similarity + 0.25 * log_length WHEN 'function' THEN similarity * similarity ELSE 2 * similarity + 0.1 * log_length END, 6) AS ltr FROM f1, (SELECT unnest(['weights', 'function', 'model']) AS scorer)),
+ n AS (SELECT *, round(CASE WHEN max(ltr) OVER w - min(ltr) OVER w <= 1e-9 THEN 0.5 ELSE (ltr - min(ltr) OVER w) / (max(ltr) OVER w - min(ltr) OVER w) END, 6) AS ltr_norm FROM s WINDOW w AS (PARTITION BY scorer, query_id))
+ SELECT scorer, query_id, id, ltr, round(0.6 * ltr_norm + 0.4 * similarity, 6) AS fused FROM n"""
+
+
+@query("ud2_scorers", _SCORED)
+def ud2(spark, sf):
+    """The same candidates under a list of weights, a function and a fitted model's transformer."""
+    c = _cand(spark, sf)
+    model = SQLTransformer(statement="SELECT *, 2 * similarity + 0.1D * log_length AS prediction FROM __THIS__")
+    made = {"weights": [0.5, 0.25], "function": lambda rows: rows["similarity"] * rows["similarity"], "model": model}
+    return reduce(DataFrame.unionByName, [ranking.fused(c, scorer=x).select(F.lit(n).alias("scorer"), "query_id", "id", "ltr", "fused") for n, x in made.items()])
+
+
+@query("pl2_diverse")
+def pl2(spark, sf):
+    """Five of the ten nearest of each query by maximal marginal relevance, ids of one tag blocked; tests hold it against a plain loop."""
+    c = corpus_vectors(spark, sf)
+    found = _near(spark, sf).select("query_id", "id", scores.similarity(F.col("distance")).alias("score"))
+    return ranking.diverse(ranking.with_texts(found, c.select("id", "embedding")), 5, block=c.where(F.array_contains("tags", "schema")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.plans.base import query, sql, table
+from skein.plans.base import query, table
+from skein.plans.corpus import memory_json
+from skein.sources.tables import folder
 from skein.streaming import jobs
 
 
@@ -36,27 +38,84 @@ def st5(spark, sf):
     return jobs.to_table(w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "mean"), "st5")
 
 
-@query("st6_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
-def st6(spark, sf):
-    v = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+@query("st4_build_update", """SELECT event_id, '{"type":"build","content":"' || event_type || '","timestamp":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","user":"' || user_id || '"}' AS message FROM events""")
+def st4(spark, sf):
+    base = F.create_map(F.lit("type"), F.lit("build"), F.lit("content"), F.col("event_type"), F.lit("timestamp"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    extras = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
+    return jobs.to_table(jobs.events_stream(spark, sf).select("event_id", F.to_json(F.map_concat(base, extras)).alias("message")), "st4")
+
+
+_SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k"
+
+
+def _sessions(v):
     s = v.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("st1_memory_ingest", "SELECT sha256(text) AS content_hash FROM conversations GROUP BY 1")
-def st1(spark, sf):
-    """Each batch adds the hashes that the ledger lacks."""
-    schema = spark.read.parquet(f"{sf}/conversations.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+@query("st6_sessions", _SESSIONS)
+def st6(spark, sf):
+    return _sessions(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
-    def add(batch, out):
-        fresh = batch.select(F.sha2("text", 256).alias("content_hash")).distinct()
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.parquet(out), "content_hash", "left_anti")
-        fresh.write.mode("append").parquet(out)
 
-    return spark.read.parquet(jobs.each_batch(rows, "st1", add))
+@query("st6_closed_sessions", _SESSIONS + " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+def st6_stream(spark, sf):
+    """As a stream: a session comes out once the watermark has passed its end."""
+    return jobs.to_table(_sessions(jobs.events_stream(spark, sf).withWatermark("ts", "2 hours")), "st6")
 
 
-sql("st8_late_rows", "SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY AS late FROM events")
+@query("st1_memory_ingest", "SELECT sha256(memory) AS content_hash, memory AS text FROM (SELECT DISTINCT CASE WHEN turn % 3 = 2 THEN role || ' | ' || text ELSE text END AS memory FROM conversations)")
+def st1(spark, sf):
+    """Lines of JSON arrive in two parts that overlap; the second run goes on from the first one's checkpoint and adds what is new."""
+    c, lines, out = table(spark, sf, "conversations"), folder(spark, "lines"), None
+    for part in ("conv_id % 3 < 2", "conv_id % 3 > 0"):
+        memory_json(c.where(part)).write.mode("append").text(lines)
+        out = jobs.memory_ingest(spark, lines, out)
+    return spark.read.parquet(out)
+
+
+def _in_two(spark, sf, name, write):
+    """Runs write over the events of the first half of time, then over the rest, under one checkpoint; returns its folder."""
+    v = table(spark, sf, "events")
+    source, out = folder(spark, "events"), None
+    for half in (v.where("event_id % 3 > 0"), v.where("event_id % 3 = 0")):
+        half.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(v.schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = jobs.each_batch(stream, name, write, out)
+    return out
+
+
+@query("st7_last_samples", "SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200")
+def st7(spark, sf):
+    """The rolling state after two batches."""
+    return jobs.samples_now(spark, _in_two(spark, sf, "st7", jobs.last_samples)).select("event_type", "event_id", "value")
+
+
+@query("st8_late_rows", "SELECT event_id, event_id % 3 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 > 0) - INTERVAL 2 DAY AS late FROM events")
+def st8(spark, sf):
+    """Main and late side after two batches."""
+    return spark.read.parquet(f"{_in_two(spark, sf, 'st8', jobs.split_late)}/rows").select("event_id", F.col("late").cast("boolean").alias("late"))
+
+
+@query("st8_past_the_watermark", "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, n FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_id % 3 > 0) - INTERVAL 2 HOUR")
+def st8_dropped(spark, sf):
+    """Hours that the watermark closed in a first run stay as they were: rows that come for them in a second are dropped."""
+    v = table(spark, sf, "events")
+    source, out = folder(spark, "events"), folder(spark, "st8")
+    for half in (v.where("event_id % 3 > 0"), v.where("event_id % 3 = 0")):
+        half.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(v.schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
+        w = stream.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+        w.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    last = v.where("event_id % 3 > 0").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 2 HOURS")).alias("t")).first()["t"]
+    rows = spark.read.schema("start timestamp, n long").parquet(out).where(F.col("start") + F.expr("INTERVAL 1 HOUR") <= F.lit(last))
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("st9_time_to_live", "SELECT user_id AS key, max(ts) + INTERVAL 300 SECOND > (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS live, strftime(max(ts) + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S') AS expires_at FROM events WHERE event_type = 'view' GROUP BY 1")
+def st9(spark, sf):
+    """Entries put by views in two batches; now is a day before the last event."""
+    put = lambda batch, out: jobs.put_entries(batch.where("event_type = 'view'"), out, 300)
+    entries = spark.read.parquet(_in_two(spark, sf, "st9", put)).groupBy("key").agg(F.max("expires_at").alias("at"))
+    now = table(spark, sf, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 DAY")).alias("now")).first()["now"]
+    return entries.select("key", (F.col("at") > F.lit(now)).alias("live"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))

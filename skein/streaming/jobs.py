@@ -2,41 +2,83 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from skein.functions.text import content_hash, memory_text
+from skein.sources.tables import exists, folder
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.parquet as a stream with a time stamp that watermarks accept."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def to_table(stream: DataFrame, name: str) -> DataFrame:
     """Runs an append-mode stream to a Parquet folder and returns what it wrote."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, name)
+    spark, out = stream.sparkSession, folder(stream.sparkSession, name)
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, str], None]) -> str:
-    """Runs write(batch, folder) on each batch; returns the folder."""
-    out = _folder(stream.sparkSession, name)
+def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, str], None], out: str | None = None) -> str:
+    """Runs write(batch, folder) on each batch; returns the folder. With the folder of an earlier run it goes on where that one stopped."""
+    out = out or folder(stream.sparkSession, name)
     stream.writeStream.foreachBatch(lambda batch, _: write(batch, out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return out
+
+
+def memory_ingest(spark: SparkSession, lines: str, out: str | None = None) -> str:
+    """Texts of JSON lines in a folder, appended with their hashes; a hash that the table has is left out, across batches and restarts."""
+
+    def add(batch: DataFrame, path: str) -> None:
+        rows = batch.select(memory_text(F.col("value")).alias("text")).where("text IS NOT NULL")
+        fresh = rows.groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.first("text").alias("text"))
+        if exists(spark, path):
+            fresh = fresh.join(spark.read.parquet(path).select("content_hash").hint("merge"), "content_hash", "left_anti")
+        fresh.write.mode("append").parquet(path)
+
+    return each_batch(spark.readStream.text(lines), "memory", add, out)
+
+
+def last_samples(batch: DataFrame, out: str, n: int = 200) -> None:
+    """Keeps the last n samples of each event type: a generation a batch, from the generation before and the batch. Both sides are cut to n rows before the shuffle."""
+    spark = batch.sparkSession
+    rows = batch.select("event_type", "ts", "event_id", "value")
+    done = _generation(spark, out)
+    if done:
+        rows = rows.unionByName(spark.read.parquet(f"{out}/{done}"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n").write.parquet(f"{out}/{done + 1}")
+
+
+def _generation(spark: SparkSession, out: str) -> int:
+    n = 0
+    while exists(spark, f"{out}/{n + 1}/_SUCCESS"):
+        n += 1
+    return n
+
+
+def samples_now(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/{_generation(spark, out)}")
+
+
+def split_late(batch: DataFrame, out: str, delay: str = "2 days") -> None:
+    """Rows of a batch that are older than the greatest time of all earlier batches less the delay go to the late side, the rest to the main one."""
+    spark = batch.sparkSession
+    rows = batch.withColumn("late", F.lit(False))
+    if exists(spark, f"{out}/seen"):
+        greatest = spark.read.parquet(f"{out}/seen").agg(F.max("ts")).first()[0]
+        rows = batch.withColumn("late", F.coalesce(F.col("ts") < F.lit(greatest) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
+    rows.write.mode("append").partitionBy("late").parquet(f"{out}/rows")
+    batch.agg(F.max("ts").alias("ts")).write.mode("append").parquet(f"{out}/seen")
+
+
+def put_entries(batch: DataFrame, out: str, seconds: int) -> None:
+    """Cache entries of a batch: for each key the time at which its last put of the batch expires."""
+    last = batch.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("ts"))
+    last.select("key", (F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("expires_at")).write.mode("append").parquet(out)

@@ -1,11 +1,18 @@
 """Operators on hand-made rows."""
 
+import hashlib
+import json
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.catalog import QUERIES
 from skein.functions import scores, text
-from skein.operators import curation, ranking
-from skein.plans import governance
+from skein.operators import ann, curation, embedding, ranking, spread
+from skein.plans import base, governance
 from skein.sources import files
 
 
@@ -60,3 +67,98 @@ def test_quality_without_factors(spark):
     s = spark.createDataFrame([(1, "python", None, None, None, None, None, None, None), (2, "python", "import redis, numpy", "api/main.py", "redis-tools", 0.7, 50.0, 300, ["MIT"])], schema)
     got = {r["row_id"]: r for r in curation.scored(s, curation.language_config(spark)).collect()}
     assert got[1]["quality"] == 0.7 and got[2]["quality"] == 1.0 and got[2]["relevance"] > 1
+
+
+def test_quality_of_a_language_without_config(spark):
+    schema = "row_id long, language string, content string, path string, repository_name string, alphanum_fraction double, avg_line_length double, size int, licenses array<string>"
+    s = spark.createDataFrame([(1, "cobol", "react redis", "a.py", "redis", 0.2, 10.0, 10, [])], schema)
+    r = curation.scored(s, curation.language_config(spark)).first()
+    assert r["quality"] == round((0 + 0.2 + 0.2) / 3, 6) and r["relevance"] == 0 and r["combined"] == r["quality"]
+
+
+def test_sidecar_of_the_full_config(spark):
+    stats = spark.createDataFrame([("python", 9, 4, 0.4444, 0.7, 0.5, 1.0, 0.3)], "language string, total long, kept long, ratio double, mean_quality double, min_quality double, max_quality double, mean_relevance double")
+    meta = json.loads(curation.sidecar(stats, curation.language_config(spark), "our-stack").first()["meta"])
+    assert meta["tags"] == ["programming", "lang-python", "our-stack", "curated", "quality-filtered", "relevance-scored", "fastapi", "uvicorn", "pydantic"]
+    assert meta["sample_count"] == 4 and meta["filter_stats"]["quality_stats"]["mean_quality"] == 0.7 and meta["quality_boost"] == 0.2 and meta["priority"] == "critical"
+
+
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_spread_windows_equal_plain_ones(spark, block):
+    rnd = random.Random(block)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randint(0, 40), k, rnd.randint(0, 9)) for k in range(200)]
+    df = spread.numbered(spark.createDataFrame(rows, "key string, at long, id long, value long"), ["key"], ["at", "id"], block)
+    summed = {r["id"]: r for r in spread.running_sum(df, ["key"], "value", "sum", block).collect()}
+    framed, keys, own = spread.framed(df, ["key"], 2, block)
+    w = Window.partitionBy(*keys).orderBy("pos")
+    near = {r["id"]: r for r in framed.withColumn("near", F.sum("value").over(w.rowsBetween(-2, 0))).withColumn("before", F.lag("value").over(w)).where(own).collect()}
+    assert len(summed) == len(near) == 200
+    for key in ("a", "b", None):
+        mine = sorted(r for r in rows if r[0] == key) if key else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:])
+        for n, r in enumerate(mine):
+            assert summed[r[2]]["pos"] == n + 1 and summed[r[2]]["total"] == len(mine) and summed[r[2]]["sum"] == sum(x[3] for x in mine[: n + 1])
+            assert near[r[2]]["near"] == sum(x[3] for x in mine[max(0, n - 2) : n + 1]) and near[r[2]]["before"] == (mine[n - 1][3] if n else None)
+
+
+def test_embedders(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, text string").repartition(1)
+    got = {r["id"]: r["embedding"] for r in embedding.embed(rows, embedding.hashing, dim=8).collect()}
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    want = np.zeros(8)
+    for x in "aba":
+        want[bucket(x)] += 1
+    assert np.allclose(got[1], want / np.linalg.norm(want)) and got[3] == [0.0] * 8
+
+    def fails(texts):
+        raise RuntimeError("no model")
+
+    assert [r["embedding"] for r in embedding.embed(rows, fails, dim=2, allow_zero=True).collect()] == [[0.0, 0.0]] * 3
+    with pytest.raises(Exception, match="no model"):
+        embedding.embed(rows, fails, dim=2).collect()
+    with pytest.raises(ValueError):
+        embedding.embed(rows, fails)
+
+
+def test_approximate_search_finds_enough(spark):
+    """Both approximate forms against brute force, on the largest given table."""
+    big = "/root/testdata/sf0.1"
+    rows = [r["recall"] for r in QUERIES["an3_recall"](spark, big).collect()]
+    assert len(rows) == 40 and sum(rows) / len(rows) >= 0.9
+    corpus, asked = base.corpus_vectors(spark, big), base.query_vectors(spark, big)
+    exact = ranking.knn(corpus, asked, 10)
+    found = [r["recall"] for r in ann.recall(ann.lsh_knn(corpus, asked), exact, 10).collect()]
+    assert len(found) == 40 and sum(found) / len(found) >= 0.9
+
+
+def test_diverse_equals_a_plain_loop(spark):
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(12, 4))
+    score = rnd.random(12)
+    rows = [(q, i, float(score[i]), [float(v) for v in x[i]]) for q in range(2) for i in range(12)]
+    got = ranking.diverse(spark.createDataFrame(rows, "query_id long, id long, score double, embedding array<double>"), 5, 0.6, block=spark.createDataFrame([(3,)], "id long"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    taken, left = [], [i for i in range(12) if i != 3]
+    while len(taken) < 5:
+        best = max(left, key=lambda i: (round(0.6 * score[i] - 0.4 * max((unit[i] @ unit[j] for j in taken), default=0), 9), -i))
+        taken.append(best)
+        left.remove(best)
+    for q in range(2):
+        assert [r["id"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == taken
+
+
+def test_clusters_have_the_nearest_centre(spark, sf):
+    rows = QUERIES["pl10_clusters"](spark, sf).collect()
+    assert len({r["cluster"] for r in rows}) <= 16 and all(r["distance"] >= 0 for r in rows)
+    again = {r["vec_id"]: (r["cluster"], r["distance"]) for r in QUERIES["pl10_clusters"](spark, sf).collect()}
+    assert all(again[r["vec_id"]] == (r["cluster"], r["distance"]) for r in rows)
+
+
+def test_undecodable_bytes_are_dropped(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.txt").write_bytes(b"good \xff\xfe bytes\nsecond line")
+    (tmp_path / "b.md").write_text("other")
+    assert [r["text"] for r in files.text_corpus(spark, str(tmp_path), "*.txt").collect()] == ["good  bytes\nsecond line"]
+    store = str(tmp_path / "store")
+    texts = spark.createDataFrame([("p", "one chunk"), ("q", "one chunk"), ("r", "x" * 2000)], "path string, text string")
+    assert files.ingest(texts, store) == 3 and files.ingest(texts, store) == 0
+    assert files.ingest(texts.union(spark.createDataFrame([("s", "new")], texts.schema)), store) == 1
