@@ -1,4 +1,4 @@
-"""Toxicity, decontamination, tokens and near-duplicates."""
+"""Decontamination, tokens and near-duplicates."""
 
 import hashlib
 import random
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from skein.llm import bpe_stream, decontam_gst, queries, simhash_grid, toxicity_ws, unigram_count
+from skein.llm import bpe_stream, decontam_gst, queries, simhash_grid, unigram_count
 
 def test_tiles_catch_reordering(spark):
     item = " ".join(f"w{k}" for k in range(20))
@@ -225,19 +225,6 @@ def test_components_of_a_chain(spark):
     assert all(got[k] == 1 for k in range(1, 41)) and got[101] == 100
 
 
-def test_toxicity_held_out(spark, empty):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    got = toxicity_ws.scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)
-    caught = [r["predicted"] for r in got if r["toxic"]]
-    wrong = [r["predicted"] for r in got if not r["toxic"]]
-    assert right > 0.97 and sum(caught) / len(caught) > 0.8 and sum(wrong) / len(wrong) < 0.01
-    assert all(0 <= r["score"] <= 1 for r in got)
-    assert toxicity_ws.scores(empty, labels).count() == 0
-    assert toxicity_ws.scores(docs.limit(5), labels.limit(0)).count() == 5
-
-
 def test_pipeline_stages_keep_columns(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, sf)
