@@ -82,3 +82,8 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[list]:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with value made once however often f uses it, be it in a lambda over many elements."""
+    return F.element_at(F.transform(F.array(value), f), 1)

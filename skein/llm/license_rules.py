@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import lower_ascii, texts
+from skein.llm.common import let, lower_ascii, texts
 from skein.llm.matches import pieces, placed, spaces
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -391,11 +391,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     table = rules()
     literal = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split("|"))).alias("any"), F.lit(rx).alias("rx")) for n, p, label, k, rx in table))
-    gated = docs.where(F.exists(F.array(*map(F.lit, GATE)), lambda k: F.contains(F.col("s"), k))).select("doc_id", "of", "s")
-    fired = F.flatten(F.transform(
-        F.filter(literal, lambda r: F.exists(r["any"], lambda k: F.contains(F.col("s"), k))),
-        lambda r: F.transform(pieces(F.col("s"), r.rx, spaces), lambda m, i: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), i.alias("ord"), m.gap.alias("gap"), m["size"].alias("size"))),
-    ))
+    # s is bound before any lambda: a column that a lambda names may be made anew for each element
+    gated = docs.where(let(F.col("s"), lambda s: F.exists(F.array(*map(F.lit, GATE)), lambda k: F.contains(s, k)))).select("doc_id", "of", "s")
+    told = lambda r: lambda m, i: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), i.alias("ord"), m.gap.alias("gap"), m["size"].alias("size"))
+    open_rules = lambda s: F.filter(literal, lambda r: F.exists(r["any"], lambda k: F.contains(s, k)))
+    fired = let(F.col("s"), lambda s: F.flatten(F.transform(open_rules(s), lambda r: F.transform(pieces(s, r.rx, spaces), told(r)))))
     # a match of n words holds n - 1 spaces, and the one before the first word of the text starts at 1
     rows = placed(gated.select("doc_id", "of", F.inline(fired)), ["doc_id", "of", "rule"])
     order = Window.partitionBy("doc_id", "of").orderBy("start", F.desc("stop"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import texts
+from skein.llm.common import let, texts
 
 #: Where a section, a paragraph and a leaf end: empty places, so that cutting there loses no character.
 SECTION = r"(?<=\n\n)(?=[^\n])"
@@ -29,11 +29,6 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.array_remove(F.split(text, pattern, -1), "")
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with value made once however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _hash(tag: str, x: Column) -> Column:
     return F.sha2(F.concat(F.lit(tag), x), 256)
 
@@ -52,7 +47,7 @@ def fingerprint(text: Column) -> Column:
     short = lambda x: F.substring(x, 1, DIGITS)
     paragraph = lambda p: F.concat(short(p.digest), F.lit("["), F.array_join(F.transform(p.below, short), "."), F.lit("]"))
     section = lambda s: F.concat(short(s.digest), F.lit("("), F.array_join(F.transform(s.below, paragraph), ""), F.lit(")"))
-    return _let(tree(text), lambda t: F.concat_ws("/", root(t), F.array_join(F.transform(t, section), "/")))
+    return let(tree(text), lambda t: F.concat_ws("/", root(t), F.array_join(F.transform(t, section), "/")))
 
 
 def root(fp: Column) -> Column:
@@ -79,7 +74,7 @@ def likeness(a: Column, b: Column) -> Column:
     """1 for equal roots, else the Dice coefficient of the distinct leaves, from 0 to 1."""
     pair = F.struct(F.array_distinct(leaves(a)).alias("x"), F.array_distinct(leaves(b)).alias("y"))
     dice = lambda p: 2.0 * F.size(F.array_intersect(p.x, p.y)) / F.nullif(F.size(p.x) + F.size(p.y), F.lit(0))
-    return F.when(root(a) == root(b), 1.0).otherwise(F.coalesce(_let(pair, dice), F.lit(0.0)))
+    return F.when(root(a) == root(b), 1.0).otherwise(F.coalesce(let(pair, dice), F.lit(0.0)))
 
 
 def _alike(x: Column, y: Column) -> Column:
@@ -99,7 +94,7 @@ def edited(old: Column, new: Column, branches=sections) -> Column:
         behind = F.least(_alike(F.reverse(p.x), F.reverse(p.y)), F.least(F.size(p.x), F.size(p.y)) - _alike(p.x, p.y))
         return F.struct(_alike(p.x, p.y).alias("first"), (F.size(p.y) - behind - 1).alias("last"))
 
-    return F.when(root(old) != root(new), _let(F.struct(branches(old).alias("x"), branches(new).alias("y")), span))
+    return F.when(root(old) != root(new), let(F.struct(branches(old).alias("x"), branches(new).alias("y")), span))
 
 
 def _place(key: Column, cuts: list, kind: str) -> tuple[Column, Column]:
