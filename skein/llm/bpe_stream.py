@@ -36,6 +36,7 @@ _RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", f"{_OTHER}+")]
 _CHUNK = 1 << 14
 _CACHE_ENTRIES = 500_000
 _CACHED_CHARS = 64
+_LEARN_CHARS, _LEARN_WORDS = 1 << 20, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -272,11 +273,17 @@ class Encoder:
         return got
 
     def learn(self, rows: list[str]) -> None:
-        """Puts the words of rows that are not known yet into the cache, many at a time."""
+        """Puts the words of rows that are not known yet into the cache, many at a time; it holds no more than a bounded number of them, however many and long the rows."""
         unknown = set()
         for text in rows:
-            unknown.update(text.replace("\n", " \n").split(" "))
-        unknown = [w for w in unknown if w not in self.spaced and len(w) <= _CACHED_CHARS]
+            for at in range(0, len(text), _LEARN_CHARS):  # a word that is cut here is merely not known later
+                unknown.update(w for w in text[at : at + _LEARN_CHARS].replace("\n", " \n").split(" ") if len(w) <= _CACHED_CHARS and w not in self.spaced)
+                if len(unknown) >= _LEARN_WORDS:
+                    self._learn(list(unknown))
+                    unknown.clear()
+        self._learn(list(unknown))
+
+    def _learn(self, unknown: list[str]) -> None:
         if len(self.spaced) + len(unknown) > _CACHE_ENTRIES:
             self.spaced.clear()
         for at in range(0, len(unknown), 8192):
