@@ -34,9 +34,9 @@ SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{_OTHER
 _WIDE_SPACE = regex.compile(rf"[ \n](?:{_SPACE}|$)")
 _RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", f"{_OTHER}+")]
 _CHUNK = 1 << 14
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 200_000
 _CACHED_CHARS = 64
-_LEARN_CHARS, _LEARN_WORDS = 1 << 20, 100_000
+_LEARN_CHARS, _LEARN_WORDS = 1 << 20, 50_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -15,8 +15,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,6 +233,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     different labels, is left out. Null ids have no label and are never held out. Null and empty texts are scored by the model like any other (by its intercept). With no usable positive
     label every score is 0. Repeated rows get equal scores; an empty table gives an empty result.
     """
+    # imported here, since tasks load this module for the label model's sums and need not hold the library of learners
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
     kept = [row_col] if row_col else []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
@@ -270,8 +273,6 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     train = written(train.select("features", p.alias("p")).select("features", F.inline(pair)).where("weight > 0.001"), "toxic-train")
     fitted = LogisticRegression(weightCol="weight", regParam=2e-4, maxIter=40, standardization=False, aggregationDepth=2).fit(train)
     discard(labelled, gold, patterns, train)
-    from pyspark.ml.functions import vector_to_array
-
     scored = fitted.transform(each).select("doc_id", held, vector_to_array("probability")[1].alias("score"), *kept)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *kept)
 
