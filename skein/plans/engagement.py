@@ -49,12 +49,8 @@ AG4 = "SELECT event_type, " + ", ".join(_P.format(p=p, a=a) for p, a in ((0.5, "
 
 @query("ag4_percentiles", AG4)
 def ag4(spark, sf):
-    """Rows at the wanted positions; numbering splits a hot key into ranges of values."""
-    v = spread.numbered(table(spark, sf, "events").select("event_type", "value"), ["event_type"], ["value"])
-    at = lambda p: F.floor(F.lit(p) * (F.col("total") - 1)) + 1
-    v = v.where(F.col("pos").isin(at(0.5), at(0.95), at(0.99)))
-    pick = lambda p: F.max(F.when(F.col("pos") == at(p), F.col("value")))
-    return v.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+    """Exact selection by histograms; only the last bins' rows are sorted."""
+    return spread.quantiles(table(spark, sf, "events").select("event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("ag5_histogram", """SELECT event_type, le, count(*) FILTER (value / 100 <= le) AS n, count(*) AS count, round(sum(value / 100), 3) AS sum

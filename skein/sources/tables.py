@@ -24,9 +24,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: computed once, its size known to the planner."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def bytes_of(table: DataFrame) -> int:
+    """Bytes of the files of a table that `written` made."""
+    fs, p = _path(table.sparkSession, table.written_to)
+    return fs.getContentSummary(p).getLength()
+
+
+#: A written table is broadcast only within both bounds.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def broadcastable(table: DataFrame) -> bool:
+    return bytes_of(table) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more."""
+    for t in tables:
+        fs, p = _path(t.sparkSession, t.written_to)
+        fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)

@@ -100,6 +100,32 @@ def test_spread_windows_equal_plain_ones(spark, block):
             assert near[r[2]]["near"] == sum(x[3] for x in mine[max(0, n - 2) : n + 1]) and near[r[2]]["before"] == (mine[n - 1][3] if n else None)
 
 
+@pytest.mark.parametrize("block", [2, 50, 10_000])
+def test_quantiles_equal_sorted_places(spark, block):
+    rnd = random.Random(block)
+    rows = [(rnd.choice(["a", "a", "b", None]), rnd.choice([rnd.gauss(0, 1), 10 ** rnd.uniform(-300, 300), 3.0, -0.0, float("inf"), float("-inf"), float("nan"), None])) for _ in range(600)]
+    rows += [("same", 7.0)] * 80 + [("one", 1.5)] + [("none", None)] + [("wide", x) for x in (-1.7e308, 1.7e308, 0.0, 5e-324)]
+    shares = {"low": 0.0, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r["k"]: r for r in spread.quantiles(spark.createDataFrame(rows, "k string, x double").repartition(7), ["k"], "x", shares, block).collect()}
+    assert set(got) == {"a", "b", None, "same", "one", "wide"}
+    for k, r in got.items():
+        x = sorted((x for q, x in rows if q == k and x is not None), key=lambda x: (x != x, x))
+        assert [repr(r[s] + 0.0) for s in shares] == [repr(x[int(p * (len(x) - 1))] + 0.0) for p in shares.values()], k
+
+
+def test_ranks_over_a_thousand_ranges(spark):
+    """Hot ties in the first column are parted by the others, and any projection survives."""
+    rows = spark.range(20_000).selectExpr("timestamp_seconds(id % 3) AS ts", "hash(id) AS h", "id")
+    got = [r["id"] for r in spread.ranked(rows, ["ts", "h"], 20).orderBy("rank").collect()]
+    want = sorted(rows.collect(), key=lambda r: (r["ts"], r["h"]))
+    assert got == [r["id"] for r in want]
+    v = spread.numbered(rows.selectExpr("'k' AS k", "*"), ["k"], ["ts", "h"], 1_000)
+    assert v.agg(F.sum("pos"), F.max("total")).first()[:] == (20_000 * 20_001 // 2, 20_000)
+    v, keys, own = spread.framed(v, ["k"], 199)
+    mean = v.withColumn("mean", F.avg("id").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(-199, 0))).where(own)
+    assert mean.agg(F.sum("mean")).first()[0] > 0 and mean.select("mean").count() == 20_000
+
+
 def test_embedders(spark):
     rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, text string").repartition(1)
     got = {r["id"]: r["embedding"] for r in embedding.embed(rows, embedding.hashing, dim=8).collect()}
