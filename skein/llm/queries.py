@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe_stream, decontam_gst, filter_audit, license_rules, merkle, pii_crf, secret_ledger, simhash_grid, toxicity_ws, unigram_count, url_templates
+from skein.llm import bpe_stream, decontam_gst, filter_audit, hilbert_shards, license_rules, merkle, pii_crf, secret_ledger, simhash_grid, toxicity_ws, unigram_count, url_templates
 from skein.llm.common import shared_dir
 
 
@@ -77,6 +77,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert_shards.shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 AUDIT_SQL = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
  g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
@@ -89,6 +94,6 @@ AUDIT_SQL = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(te
   count(*) FILTER (mask = bit) AS unique_fails, count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND good = 1) AS good_lost, count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic = 1) AS toxic_lost FROM f, s GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_decontamination, op4_secrets, op5_licenses, op6_merkle, op7_urls, op8_bpe, op9_token_counts, op10_simhash, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_decontamination, op4_secrets, op5_licenses, op6_merkle, op7_urls, op8_bpe, op9_token_counts, op10_simhash, op12_filter_audit, op13_hilbert_shards)}
 #: The other operators have no full SQL form; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL}
