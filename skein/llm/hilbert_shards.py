@@ -74,15 +74,16 @@ def _codes(rows: DataFrame, dimensions: list[str]) -> dict[str, Column]:
     return out
 
 
-def quantised(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> tuple[dict[str, Column], dict[str, list[float]]]:
-    """A cell from 0 to 2^bits - 1 for each dimension, and the cuts between cells: the values at places floor(k / 2^bits * (n - 1)), exact. Nulls are in cell 0."""
-    codes = _codes(rows, dimensions)
+def quantised(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> tuple[DataFrame, dict[str, list[float]]]:
+    """rows with _cell_d from 0 to 2^bits - 1 for each dimension d, and the cuts between cells: the values at places floor(k / 2^bits * (n - 1)), exact. Nulls are in cell 0."""
+    codes = {f"_code_{d}": c for d, c in _codes(rows, dimensions).items()}
+    rows = rows.withColumns(codes)  # columns of their own, so that each is made once a row
     shares = {f"c{k}": k / (1 << bits) for k in range(1, 1 << bits)}
-    long = rows.select(F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), c.alias("code")) for d, c in codes.items()))))
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"_code_{d}").alias("code")) for d in dimensions))))
     found = {r["dimension"]: [r[s] for s in shares] for r in spread.quantiles(long, ["dimension"], "code", shares).collect()}  # a row a dimension
     cuts = {d: found.get(d, []) for d in dimensions}
-    cells = {d: sum((F.coalesce((c >= cut).cast("int"), F.lit(0)) for cut in cuts[d]), F.lit(0)) for d, c in codes.items()}
-    return cells, cuts
+    cells = {f"_cell_{d}": sum((F.coalesce((F.col(f"_code_{d}") >= cut).cast("int"), F.lit(0)) for cut in cuts[d]), F.lit(0)) for d in dimensions}
+    return rows.withColumns(cells).drop(*codes), cuts
 
 
 def shards(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, count: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -99,8 +100,9 @@ def shards(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, count: int
     names = list(dict.fromkeys([*dimensions, *carry]))
     slim = docs.select(*(c.alias(k) for k, c in made.items()), *(F.col(n) for n in names if n not in made))
     slim = written(slim, "shard-rows")
-    cells, _ = quantised(slim, list(dimensions), bits)
-    rows = slim.withColumn("curve", hilbert_index(list(cells.values()), bits))
+    rows, _ = quantised(slim, list(dimensions), bits)
+    cells = [f"_cell_{d}" for d in dimensions]
+    rows = rows.withColumn("curve", hilbert_index([F.col(c) for c in cells], bits)).drop(*cells)
     total = slim.count()
     ranked = spread.ranked(rows, list(dict.fromkeys(["curve", "text_crc32", "doc_id", *dimensions])))
     discard(slim)
