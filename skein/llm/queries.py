@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe_stream, decontam_gst, filter_audit, hilbert_shards, license_rules, merkle, pii_crf, secret_ledger, simhash_grid, toxicity_ws, unigram_count, url_templates
+from skein.llm import bpe_stream, decontam_gst, filter_audit, hilbert_shards, lexical_blocks, license_rules, merkle, pii_crf, secret_ledger, simhash_grid, toxicity_ws, unigram_count, url_templates
 from skein.llm.common import shared_dir
 
 
@@ -73,6 +73,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_blocks.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -94,6 +98,6 @@ AUDIT_SQL = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(te
   count(*) FILTER (mask = bit) AS unique_fails, count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND good = 1) AS good_lost, count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic = 1) AS toxic_lost FROM f, s GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_decontamination, op4_secrets, op5_licenses, op6_merkle, op7_urls, op8_bpe, op9_token_counts, op10_simhash, op12_filter_audit, op13_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_decontamination, op4_secrets, op5_licenses, op6_merkle, op7_urls, op8_bpe, op9_token_counts, op10_simhash, op11_lexical_search, op12_filter_audit, op13_hilbert_shards)}
 #: The other operators have no full SQL form; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {"op12_filter_audit": AUDIT_SQL}
