@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skein-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there and sizes are known."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends there and sizes are known. options go to the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

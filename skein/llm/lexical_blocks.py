@@ -3,7 +3,8 @@
 Documents are dealt to segments where they lie. In a segment each term's posting list is clustered by the similarity of its documents (all their weighted
 terms, not this one alone), and each block keeps the coordinatewise maximum of its documents' vectors. The sum of a summary over a query's terms bounds the
 score of every document of the block, so a block is skipped only if that bound stays below a score that ten documents are known to reach; all others are
-opened and their documents scored exactly. Thus the result equals an exhaustive ranking.
+opened and their documents scored exactly. A query's terms are taken in the order of their greatest parts: a document is met in the list of its first term,
+so the bounds of a list's blocks sum that term and those after it, and lists of common words are mostly ruled out. The result equals an exhaustive ranking.
 
 A summary holds each maximum in one byte, rounded up to a multiple of the term's step: a little above the maximum, never below. The known score starts
 as the tenth best of a twentieth of all documents, the same share at any size, and rises with what a task finds. A segment has a bounded number of postings,
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,7 +29,11 @@ from skein.llm.common import discard, texts, written
 TOP = 10
 #: Terms of the queries that one pass takes; a table of queries with more takes several passes over the documents.
 PASS_TERMS = 8_192
-SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK_DOCS = 4_096, 1 << 20, 128
+SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK_DOCS = 2_048, 1 << 19, 128
+#: Rows of the index are megabytes, so its files are cut.
+FILE_SEGMENTS = 4
+#: A block of so few documents has no summary, as its documents are no more to read than one; each term's greatest part in the segment bounds it.
+BARE_DOCS = 32
 #: One document in so many is scored beforehand for the first bounds.
 SEED_SHARE = 20
 _DIRECTIONS = 16
@@ -81,9 +87,10 @@ def build_segment(indptr: np.ndarray, terms: np.ndarray, values: np.ndarray, blo
         members.append(list_)
         lists[t + 1] = len(sizes)
     members, blocks = np.concatenate(members).astype(np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    summaries = np.empty((len(sizes), len(active)), np.uint8)
-    for b in range(len(sizes)):
-        levels[members[blocks[b] : blocks[b + 1]]].max(axis=0, out=summaries[b])
+    full = np.flatnonzero(np.array(sizes) > BARE_DOCS)
+    summaries = np.empty((len(full), len(active)), np.uint8)
+    for row, b in enumerate(full):
+        levels[members[blocks[b] : blocks[b + 1]]].max(axis=0, out=summaries[row])
     return dict(indptr=indptr, terms=local, impacts=values, active=active, scale=scale, lists=lists, blocks=blocks, members=members, summaries=summaries)
 
 
@@ -107,6 +114,7 @@ class Segment:
     def __init__(self, arrays: dict[str, np.ndarray], ids: list):
         self.ids, self.a = ids, arrays
         self.wanted = np.zeros(len(arrays["active"]), bool)
+        self.row = np.cumsum(np.diff(arrays["blocks"]) > BARE_DOCS) - 1 if "blocks" in arrays else None
         self.opened = self.skipped = self.scored = 0
 
     def local(self, terms: np.ndarray) -> np.ndarray:
@@ -130,8 +138,15 @@ class Segment:
         a, terms = self.a, self.local(terms)
         if not len(terms):
             return
+        terms = terms[np.argsort(-a["scale"][terms], kind="stable")]
+        per = a["lists"][terms + 1] - a["lists"][terms]
         blocks = np.concatenate([np.arange(a["lists"][t], a["lists"][t + 1]) for t in terms])
-        bounds = a["summaries"][blocks[:, None], terms].astype(np.int64) @ a["scale"][terms]
+        # a document was met in the list of its first term, so in a later list only that term and those after it count
+        later = np.repeat(np.arange(len(terms)), per)[:, None] <= np.arange(len(terms))
+        most = np.full(later.shape, _LEVELS, np.int64)
+        full = np.diff(a["blocks"])[blocks] > BARE_DOCS
+        most[full] = a["summaries"][self.row[blocks[full]][:, None], terms]
+        bounds = (most * later) @ a["scale"][terms]
         order = np.argsort(-bounds, kind="stable")
         blocks, bounds = blocks[order], bounds[order]
         done, at, step = np.zeros(len(self.ids), bool), 0, 1
@@ -182,8 +197,8 @@ def _segments(batches: Iterator, weight: np.ndarray, documents: int, length: int
         return ids, np.concatenate(([0], np.cumsum(np.concatenate([h[1] for h in held])))).astype(np.int64), *(np.concatenate([h[k] for h in held]) for k in (2, 3))
 
     for batch in batches:
-        batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(2)), 0))
-        sizes = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0))
+        sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
         terms, tfs = (batch.column(k).flatten().to_numpy() for k in (2, 3))
         n = np.repeat(batch.column(1).to_numpy(), sizes)
         values, ends, first = impacts(weight[terms], tfs, n, documents, length), np.cumsum(sizes), 0
@@ -219,7 +234,7 @@ def _read(batches: Iterator, names: list[str]) -> Iterator[Segment]:
         for row in range(batch.num_rows):
             raw = {k: np.frombuffer(batch.column(batch.schema.get_field_index(k))[row].as_buffer(), _ARRAYS[k]) for k in names}
             if "summaries" in raw:
-                raw["summaries"] = raw["summaries"].reshape(len(raw["blocks"]) - 1, len(raw["active"]))
+                raw["summaries"] = raw["summaries"].reshape(-1, len(raw["active"]))
             yield Segment(raw, batch.column(0)[row].as_py())
 
 
@@ -290,7 +305,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
         rows = written(forward(plain, vocabulary), "lexical-forward")
         documents, length = rows.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
         df = {r["t"]: r["count"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most the terms of a pass
-        stored = written(index(rows, weights(df, documents, len(vocabulary)), documents, length or 1, **segments), "lexical-index")
+        stored = written(index(rows, weights(df, documents, len(vocabulary)), documents, length or 1, **segments), "lexical-index", maxRecordsPerFile=FILE_SEGMENTS)
         queries = [np.array(sorted(vocabulary[t] for t in own), np.int32) for _, own in part]
         names = spark.createDataFrame([(q, i) for q, (i, _) in enumerate(part)], f"q int, item_id {item_type}")
         found = written(search(stored, queries, k).join(names.hint("merge"), "q").select("item_id", "rank", "doc_id", "score"), "lexical-found")
