@@ -359,12 +359,12 @@ def transducers(json_text: str) -> tuple[Encoder, Decoder]:
     return Encoder(vocab), Decoder(vocab)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_output: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every row.
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) for every row.
 
     The tokenizer file is read on the driver, once, and broadcast: it is a vocabulary of fixed size.
     A null or empty text has no tokens and the hashes of nothing. Rows are independent, so ties
-    and repeats need no rule.
+    and repeats need no rule. A text of any length streams through; its ids and decoded text are held, as buffers, only where they are asked for.
     """
     docs = texts(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -379,26 +379,30 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         encoder, decoder = transducers(source.value)
         for keys, rows in rows_of(batches, "doc_id", "text"):
             encoder.learn(rows)
-            out: list[list] = [[], [], [], [], []]
+            counts, ids_hex, text_hex, ids, decoded = [], [], [], bytearray(), []
             for text in rows:
-                n, h, d, ids, back = 0, hashlib.sha256(), hashlib.sha256(), [], []
+                n, h, d, back = 0, hashlib.sha256(), hashlib.sha256(), []
                 for part in encoder.encode(text):
                     n += len(part) // 4
                     h.update(part)
-                    got = np.frombuffer(part, "<u4")
-                    said = decoder.feed(got)
+                    said = decoder.feed(np.frombuffer(part, "<u4"))
                     d.update(said.encode("utf-8", "surrogatepass"))
-                    if with_output:
-                        ids += got.tolist()
+                    if with_ids:
+                        ids += part
+                    if with_decoded:
                         back.append(said)
                 d.update((rest := decoder.finish()).encode())
-                for col, x in zip(out, (n, h.hexdigest(), d.hexdigest(), ids, "".join(back) + rest), strict=True):
-                    col.append(x)
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
-            arrays = [pa.array(keys, kind), *(pa.array(c, t) for c, t in zip(out, types, strict=True))]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            keep = 6 if with_output else 4
-            yield pa.RecordBatch.from_arrays(arrays[:keep], names[:keep])
-
-    more = ", ids array<long>, decoded string" if with_output else ""
+                counts.append(n)
+                ids_hex.append(h.hexdigest())
+                text_hex.append(d.hexdigest())
+                decoded.append("".join(back) + rest)
+            out = {"doc_id": pa.array(keys, kind), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
+            if with_ids:
+                offsets = pa.array(np.cumsum([0, *counts]), pa.int32())
+                out["ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(bytes(ids), "<i4"), pa.int32()))
+            if with_decoded:
+                out["decoded"] = pa.array(decoded, pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    more = ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     return docs.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +79,27 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Rows, and bytes of text, that a Python operator holds at a time; a longer text is held alone.
+STEP_ROWS, STEP_BYTES = 512, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most STEP_ROWS rows and STEP_BYTES bytes of the named column, one row at least."""
+    column = batch.column(batch.schema.get_field_index(text))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = min(int(np.searchsorted(ends, before + STEP_BYTES, "right")), first + STEP_ROWS)
+        last = max(last, first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def rows_of(batches: Iterator, *names: str) -> Iterator[list]:
-    """For mapInArrow: the named columns of each batch as lists, a bounded number of rows at a time."""
+    """For mapInArrow: the named columns as lists, in parts that are bounded by the bytes of the last one."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in slices(batch, names[-1]):
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 

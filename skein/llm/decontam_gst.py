@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.common import rows_of, texts, written
+from skein.llm.common import rows_of, slices, texts, written
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -263,8 +263,7 @@ def clean(
         def run(batches, shared=shared):
             known = shared.value
             for whole in batches:
-                for start in range(0, whole.num_rows, 512):
-                    part = whole.slice(start, 512)
+                for part in slices(whole, text_col):
                     yield part.filter(pa.array([not known.matches(t or "") for t in part.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

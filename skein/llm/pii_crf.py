@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.common import rows_of, texts
+from skein.llm.common import rows_of, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents from which the field's weights are learned, and the share of tokens, one in HIDE, whose neighbours' labels are hidden.
@@ -411,8 +411,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", min_posterior:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, text_col):
                 rows = batch.column(cols.index(text_col)).to_pylist()
                 plain = [t or "" for t in rows]
                 base = [base_spans(t) for t in plain]

@@ -102,8 +102,8 @@ class Counter:
         """Puts the words of rows that are not known yet into the cache: one automaton pass and one dynamic program over many words at once."""
         unknown = set()
         for text in rows:
-            unknown.update(text.replace(SPACE, " ").replace("\n", self.cut).split(" "))
-        unknown = [w for w in unknown if w not in self.cache and len(w) <= _CACHED_CHARS]
+            words = text.replace(SPACE, " ").replace("\n", self.cut).split(" ")
+            unknown.update(w for w in words if len(w) <= _CACHED_CHARS and w not in self.cache)
         if len(self.cache) + len(unknown) > _CACHE_ENTRIES:
             self.cache.clear()
         if len(self.bytes) < 256:  # unknown characters that can't be spelled in bytes: one word at a time

@@ -1,18 +1,22 @@
 """Decontamination, tokens and near-duplicates."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from skein.llm import bpe_stream, decontam_gst, queries, simhash_grid, unigram_count
+from skein.llm import bpe_stream, common, decontam_gst, queries, simhash_grid, unigram_count
 
 def test_tiles_catch_reordering(spark):
     item = " ".join(f"w{k}" for k in range(20))
@@ -223,3 +227,41 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash_grid.components(edges).collect()}
     assert all(got[k] == 1 for k in range(1, 21)) and got[101] == 100
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["x" * 300_000] * 9 + [None, "", "y" * 3_000_000, "é" * 10] + ["z"] * 1_200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]).slice(1)
+    parts = list(common.rows_of([batch], "doc_id", "text"))
+    assert [i for ids, _ in parts for i in ids] == list(range(1, len(texts))) and [t for _, rows in parts for t in rows] == texts[1:]
+    assert all(len(ids) <= common.STEP_ROWS and (len(ids) == 1 or sum(len((t or "").encode()) for t in rows) <= common.STEP_BYTES) for ids, rows in parts)
+    assert list(common.rows_of([batch.slice(0, 0)], "doc_id", "text")) == []
+
+
+def test_many_long_texts_in_little_memory():
+    """512 texts of 30 KB full of numbers, tokens held as ids: the process stays under 600 MB."""
+    code = """
+import resource, random
+import pyarrow as pa
+from skein.llm import bpe_stream, common, pii_crf
+from skein.llm.queries import tokenizer_path
+rng = random.Random(1)
+texts = [" ".join(f"call +{rng.randrange(10**9, 10**12)} or {rng.randrange(10**15, 10**16)}." for _ in range(800)) for _ in range(512)]
+encoder, decoder = bpe_stream.transducers(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+batch = pa.RecordBatch.from_arrays([pa.array(range(512)), pa.array(texts)], ["doc_id", "text"])
+n = 0
+for ids, rows in common.rows_of([batch], "doc_id", "text"):
+    encoder.learn(rows)
+    held = bytearray()
+    for t in rows:
+        for part in encoder.encode(t):
+            held += part
+            decoder.feed(__import__("numpy").frombuffer(part, "<u4"))
+        decoder.finish()
+    n += len(held) // 4
+    for t in rows:
+        pii_crf.base_spans(t)
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout.split()
+    assert int(got[0]) > 1_000_000 and int(got[1]) < 600, got
