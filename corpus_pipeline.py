@@ -34,7 +34,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row; a null text counts as empty."""
-    return bpe_stream.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_output=True).drop("decoded")
+    return bpe_stream.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
