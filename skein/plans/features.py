@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import scores, text, vectors
-from skein.operators import curation, embedding, ranking
-from skein.plans.base import DE, IX, KNN, QUERIES, corpus_vectors, doc_embeddings, interactions, query, sql, table
+from skein.operators import curation, embedding, keyword, ranking
+from skein.operators.keyword import K1, B
+from skein.plans.base import DE, IX, KNN, QUERIES, corpus_vectors, doc_embeddings, interactions, query, query_vectors, sql, table
 from skein.plans.corpus import SCORED, _scored, test_config
 from skein.plans.retrieval import texts
 from skein.sources import files
+from skein.sources.tables import folder
 
 _SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 _WORDS = "list_filter(string_split(lower(text), ' '), lambda x: x <> '')"
-#: Constants of the keyword score.
-K1, B = 1.2, 0.75
 
 
 def terms(docs: DataFrame, *keep: str) -> DataFrame:
@@ -134,6 +134,40 @@ def pl1(spark, sf):
     return found.withColumn("rank", F.row_number().over(order)).where("rank <= 10").drop("rank")
 
 
+_KEYWORD = f"""kt AS (SELECT doc_id AS id, unnest({_WORDS}) AS term FROM documents), kl AS (SELECT id, count(*) AS len FROM kt GROUP BY 1), kn AS (SELECT count(*) AS n, avg(len) AS mean FROM kl),
+ ktf AS (SELECT id, term, count(*) AS tf FROM kt GROUP BY 1, 2), kdf AS (SELECT term, count(*) AS df FROM ktf GROUP BY 1),
+ kq AS (SELECT DISTINCT item_id * 50 AS query_id, unnest({_WORDS}) AS term FROM benchmark WHERE item_id * 50 IN (SELECT vec_id FROM embeddings)),
+ ks AS (SELECT query_id, id, sum(round(tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / mean)) * ln(1 + (n - df + 0.5) / (df + 0.5)) * 1000000)::BIGINT)::BIGINT AS impact FROM kq JOIN ktf USING (term) JOIN kdf USING (term) JOIN kl USING (id), kn GROUP BY 1, 2),
+ kk AS (SELECT query_id, id, impact / 1000000 AS score FROM ks QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY impact DESC, id) <= 10)"""
+
+
+def _item_queries(spark, sf) -> DataFrame:
+    """The benchmark item of each query vector: (query_id, text)."""
+    items = table(spark, sf, "benchmark").select((F.col("item_id") * 50).alias("query_id"), "text")
+    return items.join(query_vectors(spark, sf).select("query_id").hint("merge"), "query_id", "left_semi")
+
+
+def _keyword(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return keyword.InvertedIndex.build(docs, folder(spark, "inverted")).search(_item_queries(spark, sf))
+
+
+@query("pl1_stored_index", f"WITH {_KEYWORD} SELECT query_id, id, round(score, 5) AS score FROM kk")
+def pl1_stored(spark, sf):
+    """Keyword search that reads only folders of the terms asked for, and of their blocks those whose maxima can matter."""
+    return _keyword(spark, sf).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
+@query("pl1_blend", KNN + f""", {_KEYWORD}, a AS (SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS keyword_score FROM kk), b AS (SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity FROM cand WHERE query_id IN (SELECT query_id FROM kq)),
+ u AS (SELECT query_id, id, coalesce(keyword_score, 0) AS keyword_score, coalesce(similarity, 0) AS similarity FROM a FULL JOIN b USING (query_id, id)), f AS (SELECT *, round(0.6 * keyword_score + 0.4 * similarity, 6) AS blend FROM u),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, id) AS rank FROM f) SELECT query_id, id, keyword_score, similarity, blend, rank FROM r WHERE rank <= 10""")
+def pl1_blend(spark, sf):
+    """Keyword and vector search of the same queries, blended by fusion weights."""
+    q = query_vectors(spark, sf).join(_item_queries(spark, sf).select("query_id").hint("merge"), "query_id", "left_semi")
+    near = ranking.knn(corpus_vectors(spark, sf), q, 10)
+    return keyword.blended(_keyword(spark, sf), near).select("query_id", "id", "keyword_score", "similarity", "blend", F.col("rank").cast("long").alias("rank"))
+
+
 @query("pl3_ranking_metrics", KNN + """, r AS (SELECT query_id, c.id, (c.label = d.label)::INT AS hit, row_number() OVER (PARTITION BY query_id ORDER BY distance, c.id) AS rank FROM cand c JOIN de d ON d.id = query_id),
  g AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0) AS rr, sum(hit / log2(rank + 1)) AS dcg, sum(hit) AS hits FROM r GROUP BY 1),
  i AS (SELECT g.*, coalesce(list_sum(list_transform(range(1, hits::BIGINT + 1), lambda k: 1 / log2(k + 1))), 0) AS ideal FROM g)
