@@ -1,67 +1,163 @@
-"""Approximate nearest neighbours: stored inverted lists, and random projections with an exact second ranking."""
+"""Approximate nearest neighbours: stored inverted lists that take appends, and codes of sign random projections with an exact second ranking."""
 
 from __future__ import annotations
 
 from math import isqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from skein.functions import vectors
-from skein.operators import ranking
-from skein.sources.tables import written
+from skein.operators import ranking, spread
+from skein.sources.tables import broadcastable, exists, remove, written
 
 #: Vectors on which centres are fitted, for each list; every vector is put in a list.
 SAMPLE_PER_LIST = 256
+#: A list of over so many times the mean is split when rows are appended.
+OVERFULL = 2.0
+
+
+def _nearest(centres: list[tuple[int, list[float]]], unit: bool):
+    """A column function: the id of the nearest centre of each vector. Centres are about the square root of the rows."""
+    ids, points = np.array([i for i, _ in centres], np.int64), np.array([c for _, c in centres])
+    half = (points * points).sum(1) / 2
+
+    @pandas_udf("long")
+    def nearest(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype="int64")
+        x = np.stack(v.to_numpy()).astype(float)
+        if unit:
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return pd.Series(ids[(x @ points.T - half).argmax(1)])
+
+    return nearest
 
 
 class Index:
-    """Inverted lists in a folder: vectors partitioned by list_id, and the lists' centres."""
+    """Inverted lists in a folder: vectors in folders by generation and list_id, and numbered versions of the lists.
+
+    A version is a table (list_id, centre, from_gen, last_gen): a list's vectors are those of generations from from_gen to last_gen. It is written after the vectors
+    that it names, so a failed append leaves the version before it in force, and the next append writes over what it left.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.centres = spark.read.parquet(f"{path}/centres")
-        self.lists = self.centres.count()
+    def __init__(self, spark: SparkSession, path: str, metric: str = "l2"):
+        self.spark, self.path, self.metric = spark, path, metric
+        self.version = 0
+        while exists(spark, f"{path}/lists/{self.version + 1}/_SUCCESS"):
+            self.version += 1
+        self.centres = spark.read.parquet(f"{path}/lists/{self.version}")
+        self.lists, self.last = self.centres.agg(F.count("*"), F.max("last_gen")).first()
 
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        """All vectors of the lists in force, with list_id."""
+        live = self.centres.select("list_id", "from_gen", "last_gen")
+        rows = self.spark.read.parquet(f"{self.path}/vectors").withColumn("list_id", F.col("list_id").cast("long"))
+        return rows.join(F.broadcast(live), "list_id").where("gen BETWEEN from_gen AND last_gen").drop("gen", "from_gen", "last_gen")  # lists are about the root of the rows
+
+    @staticmethod
+    def _commit(spark: SparkSession, path: str, version: int, rows: list[tuple]) -> None:
+        spark.createDataFrame(rows, "list_id long, centre array<double>, from_gen long, last_gen long").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/{version}")
+
+    @staticmethod
+    def _store(rows: DataFrame, path: str, gen: int) -> None:
+        rows.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/vectors/gen={gen}")
 
     @classmethod
-    def build(cls, corpus: DataFrame, path: str, lists: int | None = None, seed: int = 7) -> Index:
-        """From corpus (id, embedding, ...); about the square root of the rows is the number of lists unless given. Centres are fitted on a sample of bounded size."""
+    def build(cls, corpus: DataFrame, path: str, lists: int | None = None, seed: int = 7, metric: str = "l2") -> Index:
+        """From corpus (id, embedding, ...); about the square root of the rows is the number of lists unless given. Centres are fitted on a sample of bounded size; for cosine, on unit vectors."""
         spark, rows = corpus.sparkSession, corpus.count()
         lists = min(lists or max(1, isqrt(rows)), max(1, rows))
-        v = corpus.withColumn("features", array_to_vector("embedding"))
+        v = corpus.select("id", array_to_vector(vectors.normalised(F.col("embedding")) if metric == "cosine" else F.col("embedding")).alias("features"))
         sample = v if rows <= SAMPLE_PER_LIST * lists else v.where(F.pmod(F.xxhash64("id"), F.lit(rows // (SAMPLE_PER_LIST * lists))) == 0)
         model = KMeans(k=lists, seed=seed, maxIter=20, featuresCol="features", predictionCol="list_id").fit(sample)
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # lists rows
-        spark.createDataFrame(centres, "id long, embedding array<double>").write.parquet(f"{path}/centres")
-        model.transform(v).drop("features").repartition("list_id").write.partitionBy("list_id").parquet(f"{path}/vectors")
-        return cls(spark, path)
-
-    def knn(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, metric: str = "l2") -> DataFrame:
+        cls._store(corpus.withColumn("list_id", _nearest(centres, metric == "cosine")("embedding")), path, 1)
+        cls._commit(spark, path, 1, [(i, c, 1, 1) for i, c in centres])
+        return cls(spark, path, metric)
+
+    def append(self, rows: DataFrame, overfull: float = OVERFULL) -> Index:
+        """Puts rows into their nearest lists as a new generation, then splits lists of over overfull times the mean in two. Only rows of split lists are written again."""
+        known = [(r["list_id"], r["centre"], r["from_gen"], r["last_gen"]) for r in self.centres.collect()]  # about the root of the rows
+        gen = self.last + 1
+        self._store(rows.withColumn("list_id", _nearest([k[:2] for k in known], self.metric == "cosine")("embedding")), self.path, gen)
+        self._commit(self.spark, self.path, self.version + 1, [(i, c, a, gen) for i, c, a, _ in known])
+        return Index(self.spark, self.path, self.metric)._split(overfull)
+
+    def _split(self, overfull: float) -> Index:
+        sizes = {r["list_id"]: r["count"] for r in self.vectors.groupBy("list_id").count().collect()}
+        most = overfull * sum(sizes.values()) / max(1, len(sizes))
+        full = [i for i, n in sizes.items() if n > most]
+        if not full:
+            return self
+        members, unit = self.vectors.where(F.col("list_id").isin(full)), self.metric == "cosine"
+        share = max(1, max(sizes[i] for i in full) // SAMPLE_PER_LIST)
+        sample = members.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("list_id", "embedding")
+
+        def halves(part: pd.DataFrame) -> pd.DataFrame:  # a bounded sample of one list
+            x = np.stack(part["embedding"].to_numpy()).astype(float)
+            if unit:
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            c = np.stack([x[0], x[((x - x[0]) ** 2).sum(1).argmax()]])
+            for _ in range(20):
+                side = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+                c = np.stack([x[side == s].mean(0) if (side == s).any() else c[s] for s in (0, 1)])
+            return pd.DataFrame({"list_id": [part["list_id"].iloc[0]] * 2, "centre": c.tolist()})
+
+        made = sample.groupBy("list_id").applyInPandas(halves, "list_id long, centre array<double>").collect()  # two rows a split list
+        known = [(r["list_id"], r["centre"], r["from_gen"], r["last_gen"]) for r in self.centres.collect()]
+        gen, next_id = self.last + 1, max(k[0] for k in known) + 1
+        fresh = [(next_id + n, r["centre"]) for n, r in enumerate(made)]
+        stay = [k for k in known if k[0] not in {r["list_id"] for r in made}]
+        self._store(members.withColumn("list_id", _nearest(fresh, unit)("embedding")), self.path, gen)
+        self._commit(self.spark, self.path, self.version + 1, [(i, c, a, gen) for i, c, a, _ in stay] + [(i, c, gen, gen) for i, c in fresh])
+        return Index(self.spark, self.path, self.metric)
+
+    def compacted(self) -> Index:
+        """All lists written as one generation; those before it are deleted once the new version is in force."""
+        gen = self.last + 1
+        self._store(self.vectors, self.path, gen)
+        self._commit(self.spark, self.path, self.version + 1, [(r["list_id"], r["centre"], gen, gen) for r in self.centres.collect()])
+        for g in range(1, gen):
+            remove(self.spark, f"{self.path}/vectors/gen={g}")
+        return Index(self.spark, self.path, self.metric)
+
+    def knn(self, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
         """(query_id, distance, corpus columns) of the k nearest among the rows of each query's nprobe nearest lists; with all lists it is exact.
 
         Only folders of probed lists are read, in an equi-join on list_id.
         """
         nprobe = min(nprobe or self.lists, self.lists)
-        near = ranking.knn(self.centres, queries, nprobe).select("query_id", F.col("id").cast("int").alias("list_id"))
+        centres = self.centres.select(F.col("list_id").alias("id"), F.col("centre").alias("embedding"))
+        near = ranking.knn(centres, queries, nprobe, self.metric).select("query_id", F.col("id").alias("list_id"))
         probes = written(near.join(queries.hint("merge"), "query_id"), "probes")
-        pairs = self.vectors.join(probes.hint("merge"), "list_id") if probes.count() > ranking.BROADCAST_ROWS else self.vectors.join(F.broadcast(probes), "list_id")
-        pairs = pairs.withColumn("distance", F.round(vectors.distance(F.col("embedding"), F.col("query_vector"), metric), 6))
+        pairs = self.vectors.join(F.broadcast(probes) if broadcastable(probes) else probes.hint("merge"), "list_id")
+        pairs = pairs.withColumn("distance", F.round(vectors.distance(F.col("embedding"), F.col("query_vector"), self.metric), 6))
         w = Window.partitionBy("query_id").orderBy("distance", "id")
         return pairs.drop("query_vector", "embedding", "list_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
     def calibrated(self, queries: DataFrame, exact: DataFrame, k: int = 10, least: float = 0.9) -> int:
-        """The least number of probes, doubling from one, whose recall against exact (query_id, id) is at least least."""
-        nprobe = 1
-        while nprobe < self.lists and recall(self.knn(queries, k, nprobe), exact, k).agg(F.avg("recall")).first()[0] < least:
-            nprobe *= 2
-        return min(nprobe, self.lists)
+        """The least number of probes whose recall against exact (query_id, id) is at least least: doubled from one, then halved in."""
+        enough = lambda n: n >= self.lists or recall(self.knn(queries, k, n), exact, k).agg(F.avg("recall")).first()[0] >= least
+        return _least(enough, self.lists)
+
+
+def _least(enough, most: int) -> int:
+    """The least n from 1 to most for which enough holds, if it holds for all above: by doubling, then bisection."""
+    high = 1
+    while high < most and not enough(high):
+        high *= 2
+    low, high = high // 2, min(high, most)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
@@ -70,25 +166,85 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
-def lsh_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 4.0, tables: int = 4, seed: int = 7) -> DataFrame:
-    """(query_id, id, distance): candidates share a bucket of a random projection with the query; the k nearest of them by exact distance. Wider buckets and more tables find more."""
-    v = corpus.select("id", "embedding", array_to_vector("embedding").alias("features"))
-    q = queries.select("query_id", "query_vector", array_to_vector("query_vector").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
-    pairs = model.approxSimilarityJoin(v, q, float("inf"))
-    pairs = pairs.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), F.round(vectors.l2_distance(F.col("datasetA.embedding"), F.col("datasetB.query_vector")), 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+class SignIndex:
+    """Sign random projections: each vector has a code of bits, one for the side of each random plane, and lies in a bucket of vectors of like codes.
+
+    Vectors are sorted by code and cut into buckets of at most bucket_rows, so where codes crowd a bucket is told apart by more leading bits. A query takes
+    the buckets whose common leading bits it misses by the least margins (its own bits' buckets first, then those across near planes), ranks their codes by
+    the margins of the bits that differ, and compares the vectors of the best alone.
+    """
+
+    WORDS = 4
+
+    def __init__(self, codes: DataFrame, buckets: DataFrame, planes: np.ndarray):
+        self.codes, self.buckets, self.planes = codes, buckets, planes
+        self.n = buckets.count()
+
+    @classmethod
+    def build(cls, corpus: DataFrame, seed: int = 7, bucket_rows: int = 10_000) -> SignIndex:
+        """From corpus (id, embedding, ...): a written table of codes, and its buckets with their common leading bits."""
+        dim = corpus.select(F.size("embedding").alias("n")).first()
+        planes = np.random.default_rng(seed).standard_normal((64 * cls.WORDS, dim["n"] if dim else 1))
+        coded = written(corpus.select("id", "embedding", cls._coder(planes)("embedding").alias("code")), "codes")
+        rows = spread.ranked(coded.withColumn("lead", F.col("code")[0]), ["lead", "id"], min(spread.BLOCK, bucket_rows))
+        rows = written(rows.withColumn("bucket", F.expr(f"rank div {bucket_rows}")).drop("rank"), "coded")
+        ends = rows.groupBy("bucket").agg(F.min("lead").alias("low"), F.max("lead").alias("high"), F.count("*").alias("rows"))
+        return cls(rows, written(ends.withColumn("differ", F.col("low").bitwiseXOR(F.col("high"))), "buckets"), planes)
+
+    @staticmethod
+    def _coder(planes: np.ndarray):
+        @pandas_udf("array<long>")
+        def code(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=object)
+            bits = np.stack(v.to_numpy()).astype(float) @ planes.T > 0
+            words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+            return pd.Series(list(words))
+
+        return code
+
+    def knn(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, candidates: int = 200) -> DataFrame:
+        """(query_id, id, distance): the k nearest by exact distance of the candidates best by code in nprobe buckets. Ranks are cut in each task before the shuffle."""
+        cand = self.candidates(queries, nprobe, candidates)
+        pairs = cand.withColumn("distance", F.round(vectors.l2_distance(F.col("embedding"), F.col("query_vector")), 6))
+        w = Window.partitionBy("query_id").orderBy("distance", "id")
+        return pairs.select("query_id", "id", "distance").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+    def candidates(self, queries: DataFrame, nprobe: int | None, candidates: int) -> DataFrame:
+        nprobe, planes = min(nprobe or self.n, self.n), self.planes
+
+        @pandas_udf("array<double>")
+        def margins(v: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(v.to_numpy()).astype(float) @ planes.T)) if len(v) else pd.Series([], dtype=object)
+
+        q = written(queries.select("query_id", "query_vector", margins("query_vector").alias("margins"), self._coder(planes)("query_vector").alias("asked")), "asked")
+        lead, at = F.col("asked")[0].bitwiseXOR(F.col("low")), "shiftrightunsigned"
+        # bits above the first at which the bucket's own codes differ are common to all of them
+        common = F.expr("64 - length(ltrim('0', bin(differ)))")
+        miss = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0.0), lambda a, b: a + F.when((b < common) & (F.call_function(at, lead, F.lit(63) - b).bitwiseAND(F.lit(1)) == 1), F.pow(F.element_at("margins", b + 1), 2)).otherwise(0.0))
+        near = self.buckets.crossJoin(F.broadcast(q.select("query_id", "margins", "asked")))  # buckets are few beside the rows; queries come in checked numbers
+        order = Window.partitionBy("query_id").orderBy("miss", "bucket")
+        probes = near.withColumn("miss", miss).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= nprobe).select("query_id", "bucket")
+        probes = written(probes.join(q.hint("merge"), "query_id").drop("margins"), "probes")
+        pairs = self.codes.join(F.broadcast(probes) if broadcastable(probes) else probes.hint("merge"), "bucket")
+        apart = sum((F.bit_count(F.col("code")[w].bitwiseXOR(F.col("asked")[w])) for w in range(self.WORDS)), F.lit(0))
+        best = Window.partitionBy("query_id").orderBy("apart", "id")
+        return pairs.withColumn("apart", apart).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= candidates).select("query_id", "query_vector", "id", "embedding")
+
+    def calibrated(self, queries: DataFrame, exact: DataFrame, k: int = 10, least: float = 0.9) -> int:
+        """The least number of candidates, in steps of k, at which the recall over all buckets is at least least."""
+        most = -(-self.codes.count() // k)
+        return k * _least(lambda n: n >= most or recall(self.knn(queries, k, None, k * n), exact, k).agg(F.avg("recall")).first()[0] >= least, most)
 
 
-def retrieve(mode: str, corpus: DataFrame, queries: DataFrame, k: int = 10, index: Index | None = None, nprobe: int | None = None) -> DataFrame:
+def retrieve(mode: str, corpus: DataFrame, queries: DataFrame, k: int = 10, index: Index | SignIndex | None = None, nprobe: int | None = None) -> DataFrame:
     """Nearest neighbours by mode: exact, lists (a stored index) or projections."""
     if mode == "exact":
         return ranking.knn(corpus, queries, k)
     if mode == "lists":
-        if index is None:
+        if not isinstance(index, Index):
             raise ValueError("mode lists needs an index")
         return index.knn(queries, k, nprobe)
     if mode == "projections":
-        return lsh_knn(corpus, queries, k)
+        return (index if isinstance(index, SignIndex) else SignIndex.build(corpus)).knn(queries, k, nprobe)
     raise ValueError("mode is exact, lists or projections")

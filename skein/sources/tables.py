@@ -48,11 +48,15 @@ def broadcastable(table: DataFrame) -> bool:
     return bytes_of(table) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `written` made and that nothing reads any more."""
     for t in tables:
-        fs, p = _path(t.sparkSession, t.written_to)
-        fs.delete(p, True)
+        remove(t.sparkSession, t.written_to)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

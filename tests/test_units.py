@@ -152,8 +152,37 @@ def test_approximate_search_finds_enough(spark):
     assert len(rows) == 40 and sum(rows) / len(rows) >= 0.9
     corpus, asked = base.corpus_vectors(spark, big), base.query_vectors(spark, big)
     exact = ranking.knn(corpus, asked, 10)
-    found = [r["recall"] for r in ann.recall(ann.lsh_knn(corpus, asked), exact, 10).collect()]
+    index = ann.SignIndex.build(corpus, bucket_rows=300)
+    candidates = index.calibrated(asked, exact)
+    found = [r["recall"] for r in ann.recall(index.knn(asked, 10, None, candidates), exact, 10).collect()]
     assert len(found) == 40 and sum(found) / len(found) >= 0.9
+    assert candidates < 0.2 * corpus.count(), candidates
+    assert index.candidates(asked, None, candidates).count() == 40 * candidates
+    assert index.buckets.agg(F.max("rows"), F.sum("rows")).first()[:] == (300, corpus.count())
+    some = ann.recall(index.knn(asked, 10, index.n // 2, candidates), exact, 10).agg(F.avg("recall")).first()[0]
+    assert some > 0.5  # half the buckets hold more than half of the neighbours
+
+
+def test_lists_take_appends(spark, tmp_path):
+    """Two appends give the recall of one build; crowded lists are split; an unfinished append changes nothing."""
+    big = "/root/testdata/sf0.1"
+    corpus, asked = base.corpus_vectors(spark, big).cache(), base.query_vectors(spark, big)
+    exact = ranking.knn(corpus, asked, 10).select("query_id", "id", "distance").cache()
+    whole = ann.Index.build(corpus, str(tmp_path / "whole"))
+    index = ann.Index.build(corpus.where("label % 2 = 0 AND id % 2 = 0"), str(tmp_path / "parts"), whole.lists // 2)
+    index = index.append(corpus.where("label % 2 = 0 AND id % 2 = 1"), overfull=1.5)
+    ann.Index._store(corpus.limit(50).withColumn("list_id", F.lit(0)), index.path, index.last + 1)  # left by a failed append
+    assert ann.Index(spark, index.path).vectors.count() == corpus.where("label % 2 = 0").count()
+    index = ann.Index(spark, index.path).append(corpus.where("label % 2 <> 0"), overfull=1.5)
+    assert index.lists > whole.lists // 2
+    rows = index.vectors.groupBy("list_id").count()
+    assert rows.agg(F.sum("count")).first()[0] == corpus.count() == index.vectors.select("id").distinct().count()
+    mean = lambda i, n: ann.recall(i.knn(asked, 10, n), exact, 10).agg(F.avg("recall")).first()[0]
+    half = mean(index, index.lists // 2)
+    assert half >= mean(whole, whole.lists // 2) - 0.1 and mean(index, None) == 1.0
+    small = index.compacted()
+    assert [p.name for p in (tmp_path / "parts" / "vectors").iterdir() if p.name.startswith("gen=")] == [f"gen={small.last}"]
+    assert mean(small, None) == 1.0 and mean(small, small.lists // 2) == half
 
 
 def test_diverse_equals_a_plain_loop(spark):
