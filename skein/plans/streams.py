@@ -22,13 +22,9 @@ def st2(spark, sf):
 
 @query("st3_engagement_refresh", "SELECT user_id AS chunk_id, count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY 1")
 def st3(spark, sf):
-    """Batches append partial counts; the refresh sums them, so no batch reads the history."""
-
-    def partial(batch, out):
-        batch.groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("v"), F.count_if(F.col("event_type") == "click").alias("c")).write.mode("append").parquet(out)
-
-    out = jobs.each_batch(jobs.events_stream(spark, sf), "st3", partial)
-    return spark.read.parquet(out).groupBy(F.col("user_id").alias("chunk_id")).agg(F.sum("v").alias("impressions"), F.sum("c").alias("clicks"))
+    """Batches write partial counts, each under its id; the refresh sums them."""
+    out = jobs.each_batch(jobs.events_stream(spark, sf), "st3", jobs.add_engagement)
+    return jobs.Batches(spark, out).rows(jobs.ENGAGEMENT).groupBy(F.col("user_id").alias("chunk_id")).agg(F.sum("v").alias("impressions"), F.sum("c").alias("clicks"))
 
 
 @query("st5_windows", "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, n, mean FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
@@ -71,30 +67,34 @@ def st1(spark, sf):
     for part in ("conv_id % 3 < 2", "conv_id % 3 > 0"):
         memory_json(c.where(part)).write.mode("append").text(lines)
         out = jobs.memory_ingest(spark, lines, out)
-    return spark.read.parquet(out)
+    return jobs.Batches(spark, out).rows(jobs.MEMORY).select("content_hash", "text")
 
 
-def _in_two(spark, sf, name, write):
-    """Runs write over the events of the first half of time, then over the rest, under one checkpoint; returns its folder."""
+def _in_two(spark, sf, name, write, halves=("event_id % 3 > 0", "event_id % 3 = 0"), of=lambda stream: stream, mode="append"):
+    """Runs write over the batches of a stream made of the first half of events, then over the rest, under one checkpoint; returns its batches."""
     v = table(spark, sf, "events")
     source, out = folder(spark, "events"), None
-    for half in (v.where("event_id % 3 > 0"), v.where("event_id % 3 = 0")):
-        half.write.mode("append").parquet(source)
+    for half in halves:
+        v.where(half).write.mode("append").parquet(source)
         stream = spark.readStream.schema(v.schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
-        out = jobs.each_batch(stream, name, write, out)
-    return out
+        out = jobs.each_batch(of(stream), name, write, out, mode)
+    return jobs.Batches(spark, out)
+
+
+def _put(batch, batch_id, store):
+    store.write(batch, batch_id)
 
 
 @query("st7_last_samples", "SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200")
 def st7(spark, sf):
-    """The rolling state after two batches."""
-    return jobs.samples_now(spark, _in_two(spark, sf, "st7", jobs.last_samples)).select("event_type", "event_id", "value")
+    """The rolling state after two batches, kept by key in the state store."""
+    return jobs.samples_now(_in_two(spark, sf, "st7", _put, of=jobs.last_samples, mode="update"))
 
 
 @query("st8_late_rows", "SELECT event_id, event_id % 3 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 3 > 0) - INTERVAL 2 DAY AS late FROM events")
 def st8(spark, sf):
     """Main and late side after two batches."""
-    return spark.read.parquet(f"{_in_two(spark, sf, 'st8', jobs.split_late)}/rows").select("event_id", F.col("late").cast("boolean").alias("late"))
+    return _in_two(spark, sf, "st8", jobs.split_late).rows(jobs.LATE).select("event_id", "late")
 
 
 @query("st8_past_the_watermark", "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, n FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_id % 3 > 0) - INTERVAL 2 HOUR")
@@ -114,8 +114,11 @@ def st8_dropped(spark, sf):
 
 @query("st9_time_to_live", "SELECT user_id AS key, max(ts) + INTERVAL 300 SECOND > (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS live, strftime(max(ts) + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S') AS expires_at FROM events WHERE event_type = 'view' GROUP BY 1")
 def st9(spark, sf):
-    """Entries put by views in two batches; now is a day before the last event."""
-    put = lambda batch, out: jobs.put_entries(batch.where("event_type = 'view'"), out, 300)
-    entries = spark.read.parquet(_in_two(spark, sf, "st9", put)).groupBy("key").agg(F.max("expires_at").alias("at"))
-    now = table(spark, sf, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 DAY")).alias("now")).first()["now"]
-    return entries.select("key", (F.col("at") > F.lit(now)).alias("live"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+    """Entries put by views, in two batches of time; the watermark, a day before the last event, is what expires them from the state."""
+    v = table(spark, sf, "events")
+    middle = v.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("m")).first()["m"]
+    at = v.where(F.col("event_id") <= F.lit(middle)).agg(F.max("ts")).first()[0]
+    halves = (F.col("ts") <= F.lit(at), F.col("ts") > F.lit(at))
+    entries = lambda s: jobs.cache_entries(s.withWatermark("ts", "1 day").select(F.col("user_id").alias("key"), "ts", (F.col("event_type") == "view").alias("put")), 300)
+    now = jobs.entries_now(_in_two(spark, sf, "st9", _put, halves, entries, "update"))
+    return now.select("key", "live", F.date_format(F.timestamp_micros("expires_at"), "yyyy-MM-dd HH:mm:ss").alias("expires_at"))

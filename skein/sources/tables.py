@@ -62,3 +62,15 @@ def discard(*tables: DataFrame) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _path(spark, path)
     return fs.exists(p)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    fs, p = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Makes an empty file."""
+    fs, p = _path(spark, path)
+    fs.create(p, True).close()

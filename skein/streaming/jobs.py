@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skein.functions.text import content_hash, memory_text
-from skein.sources.tables import exists, folder
+from skein.sources.tables import folder, names, touch
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,60 +27,142 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, str], None], out: str | None = None) -> str:
-    """Runs write(batch, folder) on each batch; returns the folder. With the folder of an earlier run it goes on where that one stopped."""
+class Batches:
+    """A folder of batches, each written by its id and then committed: a batch that runs again replaces its own output, and readers see committed batches alone."""
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.out = spark, out
+
+    @property
+    def last(self) -> int:
+        """The id of the last committed batch, -1 before the first; ids follow one another."""
+        ids = names(self.spark, f"{self.out}/commits")
+        return max((int(n) for n in ids if n.isdigit()), default=-1)
+
+    def write(self, rows: DataFrame, batch_id: int, *partitions: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.out}/data/batch={batch_id}")
+
+    def commit(self, batch_id: int) -> None:
+        touch(self.spark, f"{self.out}/commits/{batch_id}")
+
+    def before(self, batch_id: int, schema: str) -> DataFrame:
+        """Rows, with their batch, of the committed batches before this one: a batch that runs again doesn't see what it left."""
+        last = min(self.last, batch_id - 1)
+        if last < 0:
+            return self.spark.createDataFrame([], f"{schema}, batch long")
+        return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.out}/data").where(F.col("batch") <= last)
+
+    def rows(self, schema: str) -> DataFrame:
+        return self.before(1 << 60, schema)
+
+
+def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, int, Batches], None], out: str | None = None, mode: str = "append") -> str:
+    """Runs write(batch, id, batches) on each batch and commits it; returns the folder. With the folder of an earlier run it goes on where that one stopped."""
     out = out or folder(stream.sparkSession, name)
-    stream.writeStream.foreachBatch(lambda batch, _: write(batch, out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    store = Batches(stream.sparkSession, out)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id, store)
+        store.commit(batch_id)
+
+    stream.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return out
 
 
-def memory_ingest(spark: SparkSession, lines: str, out: str | None = None) -> str:
-    """Texts of JSON lines in a folder, appended with their hashes; a hash that the table has is left out, across batches and restarts."""
+MEMORY = "content_hash string, text string"
+
 
-    def add(batch: DataFrame, path: str) -> None:
-        rows = batch.select(memory_text(F.col("value")).alias("text")).where("text IS NOT NULL")
-        fresh = rows.groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.first("text").alias("text"))
-        if exists(spark, path):
-            fresh = fresh.join(spark.read.parquet(path).select("content_hash").hint("merge"), "content_hash", "left_anti")
-        fresh.write.mode("append").parquet(path)
+def add_memory(batch: DataFrame, batch_id: int, store: Batches) -> None:
+    """Texts of JSON lines with their hashes; a hash that an earlier batch has is left out."""
+    rows = batch.select(memory_text(F.col("value")).alias("text")).where("text IS NOT NULL")
+    fresh = rows.groupBy(content_hash(F.col("text")).alias("content_hash")).agg(F.first("text").alias("text"))
+    store.write(fresh.join(store.before(batch_id, MEMORY).select("content_hash").hint("merge"), "content_hash", "left_anti"), batch_id)
 
-    return each_batch(spark.readStream.text(lines), "memory", add, out)
+
+def memory_ingest(spark: SparkSession, lines: str, out: str | None = None) -> str:
+    """Texts of JSON lines in a folder, appended with their hashes; a hash that the table has is left out, across batches, replays and restarts."""
+    return each_batch(spark.readStream.text(lines), "memory", add_memory, out)
 
 
-def last_samples(batch: DataFrame, out: str, n: int = 200) -> None:
-    """Keeps the last n samples of each event type: a generation a batch, from the generation before and the batch. Both sides are cut to n rows before the shuffle."""
-    spark = batch.sparkSession
-    rows = batch.select("event_type", "ts", "event_id", "value")
-    done = _generation(spark, out)
-    if done:
-        rows = rows.unionByName(spark.read.parquet(f"{out}/{done}"))
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n").write.parquet(f"{out}/{done + 1}")
+ENGAGEMENT = "user_id long, v long, c long"
 
 
-def _generation(spark: SparkSession, out: str) -> int:
-    n = 0
-    while exists(spark, f"{out}/{n + 1}/_SUCCESS"):
-        n += 1
-    return n
+def add_engagement(batch: DataFrame, batch_id: int, store: Batches) -> None:
+    """Partial counts of a batch; the refresh sums them, so no batch reads the history."""
+    n = lambda k: F.count_if(F.col("event_type") == k)
+    store.write(batch.groupBy("user_id").agg(n("view").alias("v"), n("click").alias("c")), batch_id)
 
 
-def samples_now(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{_generation(spark, out)}")
+LATE = "event_id long, ts timestamp, late boolean"
 
 
-def split_late(batch: DataFrame, out: str, delay: str = "2 days") -> None:
+def split_late(batch: DataFrame, batch_id: int, store: Batches, delay: str = "2 days") -> None:
     """Rows of a batch that are older than the greatest time of all earlier batches less the delay go to the late side, the rest to the main one."""
-    spark = batch.sparkSession
-    rows = batch.withColumn("late", F.lit(False))
-    if exists(spark, f"{out}/seen"):
-        greatest = spark.read.parquet(f"{out}/seen").agg(F.max("ts")).first()[0]
-        rows = batch.withColumn("late", F.coalesce(F.col("ts") < F.lit(greatest) - F.expr(f"INTERVAL {delay}"), F.lit(False)))
-    rows.write.mode("append").partitionBy("late").parquet(f"{out}/rows")
-    batch.agg(F.max("ts").alias("ts")).write.mode("append").parquet(f"{out}/seen")
-
-
-def put_entries(batch: DataFrame, out: str, seconds: int) -> None:
-    """Cache entries of a batch: for each key the time at which its last put of the batch expires."""
-    last = batch.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("ts"))
-    last.select("key", (F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("expires_at")).write.mode("append").parquet(out)
+    greatest = store.before(batch_id, LATE).agg(F.max("ts")).first()[0]
+    late = F.lit(False) if greatest is None else F.coalesce(F.col("ts") < F.lit(greatest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    store.write(batch.select("event_id", "ts", late.alias("late")), batch_id)
+
+
+SAMPLES = "event_type string, part int, at long, event_id long, value double"
+#: Parts of a key's state, so that the rows of a hot key go to several tasks.
+PARTS = 8
+
+
+def last_samples(events: DataFrame, n: int = 200) -> DataFrame:
+    """A stream of the last n samples of each event type, as keyed state: each part of a key keeps its n, and gives them out whenever they change."""
+
+    def keep(key, frames, state):
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for f in frames:
+            held = sorted(held + list(zip(f["at"].tolist(), f["event_id"].tolist(), f["value"].tolist(), strict=True)))[-n:]
+        state.update(tuple(map(list, zip(*held, strict=True))))
+        at, ids, values = state.get
+        yield pd.DataFrame({"event_type": key[0], "part": key[1], "at": at, "event_id": ids, "value": values})
+
+    rows = events.select("event_type", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int").alias("part"), F.unix_micros("ts").alias("at"), "event_id", "value")
+    return rows.groupBy("event_type", "part").applyInPandasWithState(keep, SAMPLES, "at array<long>, ids array<long>, values array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def samples_now(store: Batches, n: int = 200) -> DataFrame:
+    """The last n samples of each event type, from what each part gave out last."""
+    rows = store.rows(SAMPLES)
+    last = rows.groupBy("event_type", "part").agg(F.max("batch").alias("batch"))
+    rows = rows.join(last.hint("merge"), ["event_type", "part", "batch"])
+    w = Window.partitionBy("event_type").orderBy(F.desc("at"), F.desc("event_id"))
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).select("event_type", "event_id", "value")
+
+
+ENTRIES = "key long, expires_at long, live boolean"
+
+
+def cache_entries(puts: DataFrame, seconds: int) -> DataFrame:
+    """A stream of changes of cache entries, from rows (key, ts, put) with a watermark: an entry's state is when it expires, set by its last put, and a timer.
+
+    Once the watermark is past that time the timer gives the entry out as not live and drops its state, so the state holds live entries alone.
+    """
+
+    def change(key, frames, state):
+        if state.hasTimedOut:
+            (at,) = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "expires_at": [at], "live": [False]})
+            return
+        times = [int(t) for f in frames for t in f["at"][f["put"]]]
+        if not times:
+            return
+        at = max([t + seconds * 1_000_000 for t in times] + (list(state.get) if state.exists else []))
+        live = at // 1000 > state.getCurrentWatermarkMs()
+        if live:
+            state.update((at,))
+            state.setTimeoutTimestamp(at // 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": [key[0]], "expires_at": [at], "live": [live]})
+
+    rows = puts.select("key", "ts", F.unix_micros("ts").alias("at"), "put")
+    return rows.groupBy("key").applyInPandasWithState(change, ENTRIES, "expires_at long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def entries_now(store: Batches) -> DataFrame:
+    """The last state of each entry that was ever put."""
+    return store.rows(ENTRIES).groupBy("key").agg(F.max_by(F.struct("expires_at", "live"), "batch").alias("last")).select("key", "last.expires_at", "last.live")
