@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators import graph, intervals
 from skein.plans.base import CHUNKS, DE, chunk_rows, doc_embeddings, query, sql, table
 
 # Fixed values of the configuration snapshot: prefixes that are shown, markers that are not, the one exception.
@@ -131,16 +132,9 @@ def jn4(spark, sf):
     return d.join(chunk_rows(spark, sf).select("doc_id").hint("merge"), "doc_id").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
 
 
-def span_overlap(changes: DataFrame, spans: DataFrame, width: int = 1000, salts: int = 8) -> DataFrame:
-    """Pairs of (file, c_id, c_start, c_end) and (file, s_id, s_start, s_end) that overlap: an equi-join on buckets of width, each pair kept in the first bucket both have.
-
-    Changes of a bucket are dealt to salts parts and spans copied to each, so that a busy place of a file is shared by several tasks.
-    """
-    cut = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-    left = cut(changes, "c_start", "c_end").withColumn("salt", F.pmod(F.xxhash64("c_id"), F.lit(salts)).cast("int"))
-    right = cut(spans, "s_start", "s_end").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    j = left.join(right.hint("merge"), ["file", "bucket", "salt"])
-    return j.where("c_start <= s_end AND s_start <= c_end").where(F.col("bucket") == F.floor(F.greatest("c_start", "s_start") / width)).drop("bucket", "salt")
+def span_overlap(changes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs of (file, c_id, c_start, c_end) and (file, s_id, s_start, s_end) that overlap, whatever their lengths."""
+    return intervals.overlapping(changes, spans, ["file"], ("c_start", "c_end"), ("s_start", "s_end"))
 
 
 _C12, _S12 = ("source AS file, doc_id AS c_id, doc_id * 37 AS c_start, doc_id * 37 + 40 AS c_end", "source AS file, doc_id AS s_id, doc_id * 37 + 15 AS s_start, doc_id * 37 + 15 + n_chars % 1500 AS s_end")
@@ -152,6 +146,27 @@ def jn12(spark, sf):
     return span_overlap(d.selectExpr(*_C12.split(", ")), d.selectExpr(*_S12.split(", "))).select("file", "c_id", "s_id")
 
 
+@query("jn6_chain_of_any_length", """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+ t AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT start, dst, depth + 1 FROM t JOIN e ON node = src) SELECT start, depth, count(*) AS n, min(node) AS first_node FROM t GROUP BY 1, 2""")
+def jn6_chain(spark, sf):
+    """All that hangs below each region, however deep."""
+    of = lambda t, a, x, b, y: table(spark, sf, t).select(F.concat(F.lit(a), F.col(x)).alias("src"), F.concat(F.lit(b), F.col(y)).alias("dst"))
+    edges = of("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(of("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(of("orders", "c", "o_custkey", "o", "o_orderkey"))
+    found = graph.reached(edges, table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("start")))
+    return found.groupBy("start", "depth").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
+
+
+@query("jn7_trace_of_any_length", """WITH RECURSIVE f AS (SELECT l_partkey AS src, max(l_orderkey) AS o FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), e AS (SELECT DISTINCT src, l_partkey AS dst FROM f JOIN lineitem ON l_orderkey = o AND l_linenumber = 2),
+ t AS (SELECT src, dst FROM e UNION SELECT t.src, e.dst FROM t JOIN e ON t.dst = e.src) SELECT src AS part, count(*) AS reached, min(dst) AS least, count(*) FILTER (src = dst) > 0 AS returns FROM t GROUP BY 1""")
+def jn7_trace(spark, sf):
+    """From each part over the last order that it heads to the part named second there, and on; many traces end in cycles."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    last = lines.where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("src")).agg(F.max("l_orderkey").alias("l_orderkey"))
+    edges = last.join(lines.where("l_linenumber = 2").hint("merge"), "l_orderkey").select("src", F.col("l_partkey").alias("dst"))
+    found = graph.closure(edges)
+    return found.groupBy(F.col("src").alias("part")).agg(F.count("*").alias("reached"), F.min("dst").alias("least"), (F.count_if(F.col("src") == F.col("dst")) > 0).alias("returns"))
+
+
 sql("pl7_lag_features", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5 FROM events")
 sql("pl4_stale_cleanup", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
 sql("pl11_daily_rollup", "SELECT date_format(ts, 'yyyy-MM-dd') AS day, event_id % 4 AS experiment_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean, avg(value) > 60 AS slow FROM events GROUP BY 1, 2",
