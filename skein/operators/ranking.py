@@ -7,17 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skein.functions import scores, text, vectors
-from skein.sources.tables import written
+from skein.sources.tables import BROADCAST_ROWS, broadcastable, written
 
 Scorer = list[float] | Callable[[DataFrame], Column] | Transformer
 
-#: Queries that one broadcast may hold; more are taken in several passes over the corpus. Candidates that may be broadcast; more join by sorting.
-QUERY_BLOCK, BROADCAST_ROWS = 2_000, 200_000
+#: Queries that one broadcast may hold; more are taken in several passes over the corpus.
+QUERY_BLOCK = 2_000
 EPS = 1e-9
 
 
@@ -28,30 +31,88 @@ def check_k(k: int | None, default: int = 10, most: int = 200) -> int:
     return k
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in parts of about QUERY_BLOCK rows."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def pairs(corpus: DataFrame, queries: DataFrame, metric: str = "l2", digits: int = 6) -> list[DataFrame]:
     """Every corpus row (embedding, ...) with every query (query_id, query_vector) and their distance, a table for each block of queries.
 
     The corpus is scanned where it lies; only a checked number of queries is broadcast, in blocks beyond that.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return [corpus.crossJoin(F.broadcast(some)).withColumn("distance", F.round(vectors.distance(F.col("embedding"), F.col("query_vector"), metric), digits)) for some in parts]
+    return [corpus.crossJoin(F.broadcast(some)).withColumn("distance", F.round(vectors.distance(F.col("embedding"), F.col("query_vector"), metric), digits)) for some in _blocks(queries)]
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", digits: int = 6) -> DataFrame:
     """(query_id, distance, corpus columns): the k nearest corpus rows (id, embedding, ...) of each query (query_id, query_vector).
 
-    Ranks in a query are cut to k in each partition before the shuffle. Ties go to the smaller id.
+    The corpus is scanned where it lies, in Arrow batches; each is one matrix product with a block of queries, and sends on only pairs that are among the k nearest
+    so far of their task. Ranks are cut to k in each partition again before the shuffle. Ties go to the smaller id; rows without a vector, or with
+    one of another length, are no neighbours.
     """
+    if metric not in ("l2", "cosine"):
+        raise ValueError("metric is l2 or cosine")
     top = Window.partitionBy("query_id").orderBy("distance", "id")
-    parts = [p.drop("query_vector", "embedding").withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n") for p in pairs(corpus, queries, metric, digits)]
+    parts = [_near(corpus, some, k, metric, digits).withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n") for some in _blocks(queries)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def with_texts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """candidates (id, ...) with the columns of texts (id, ...), after the top-k: candidates are written and counted, and up to BROADCAST_ROWS of them go to the texts instead of the texts being shuffled."""
+#: Distances that a task holds at a time.
+_CELLS = 1 << 22
+
+
+def _near(corpus: DataFrame, queries: DataFrame, k: int, metric: str, digits: int) -> DataFrame:
+    asked = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL").toArrow()  # a block of queries
+    spark, columns = corpus.sparkSession, [c for c in corpus.columns if c != "embedding"]
+    fields = [queries.schema["query_id"], StructField("distance", DoubleType()), *(corpus.schema[c] for c in columns)]
+    if not asked.num_rows:
+        return spark.createDataFrame([], StructType(fields))
+    shared = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), np.stack(asked.column("query_vector").to_numpy()).astype(float)))
+
+    def run(batches):
+        ids, q = shared.value
+        unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, np.nan)
+        y = unit(q) if metric == "cosine" else q
+        size, best = (y * y).sum(1), np.full((k, len(y)), np.inf)
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column(whole.schema.get_field_index("embedding")))
+            whole = whole.filter(pc.fill_null(pc.equal(lengths, q.shape[1]), False))
+            whole = whole.take(pc.sort_indices(whole.column(whole.schema.get_field_index("id"))))
+            for at in range(0, whole.num_rows, step := max(1, _CELLS // len(y))):
+                batch = whole.slice(at, step)
+                x = batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
+                if metric == "cosine":
+                    d = 1 - unit(x) @ y.T
+                else:
+                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + size - 2 * (x @ y.T), 0))
+                d = np.round(d, digits)
+                d[np.isnan(d)] = np.inf
+                mine = np.partition(d, min(k, len(d)) - 1, axis=0)[:k]
+                best = np.sort(np.concatenate((best, mine)), axis=0)[:k]
+                who, row = np.nonzero((d <= best[-1]).T & np.isfinite(d.T))
+                order = np.lexsort((row, d[row, who], who))  # rows are in the order of their ids
+                who, row = who[order], row[order]
+                near = np.arange(len(who)) - np.searchsorted(who, who) < k
+                who, row = who[near], row[near]
+                rows = batch.take(pa.array(row))
+                cells = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), pa.array(d[row, who], pa.float64()), *cells], ["query_id", "distance", *columns])
+
+    return corpus.mapInArrow(run, StructType(fields))
+
+
+def with_texts(candidates: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:
+    """candidates (id, ...) with the columns of texts (id, ...), after the top-k.
+
+    most is a number of rows that candidates are known not to exceed: within the bound of a broadcast they go to the texts as they are. Otherwise they are
+    written and counted, and broadcast or joined by sorting.
+    """
+    if most is not None and most <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(candidates), "id")
     found = written(candidates, "candidates")
-    return texts.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge"), "id")
+    return texts.join(F.broadcast(found) if broadcastable(found) else found.hint("merge"), "id")
 
 
 def fused(candidates: DataFrame, ltr_weight: float = scores.FUSION[0], concept_weight: float = scores.FUSION[1], digits: int = 6, scorer: Scorer | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text
 from skein.operators import curation, spread
 from skein.plans.base import CHUNKS, chunk_rows, query, sql, table
-from skein.sources import files
+from skein.sources import files, resume
 from skein.sources.tables import folder, written
 
 sql("fp1_preview", "SELECT doc_id, left(text, 300) AS preview, left(text, 120) AS short FROM documents")
@@ -79,6 +79,19 @@ def io2(spark, sf):
     return files.memory_lines(spark, path).select(F.col("text").alias("memory"))
 
 
+@query("io2_resumed", "SELECT CASE WHEN turn % 3 = 2 THEN role || ' | ' || text ELSE text END AS memory, CAST(1 + conv_id % 2 AS INT) AS scan FROM conversations")
+def io2_resumed(spark, sf):
+    """Two scans of a folder to which lines are added between them; the second reads what is new alone."""
+    c, path, out = table(spark, sf, "conversations"), folder(spark, "memory"), None
+    offsets = resume.tail(spark)
+    for k in (0, 1):
+        memory_json(c.where(F.col("conv_id") % 2 == k)).write.mode("append").text(path)
+        lines, _ = offsets.lines(path)
+        rows = lines.select(text.memory_text(F.col("value")).alias("memory"), F.lit(k + 1).alias("scan")).where("memory IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("io4_append", "SELECT batch, count(*) AS inserted, sum(doc_id) AS ids, source FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS batch FROM documents) GROUP BY batch, source")
 def io4(spark, sf):
     path, docs = folder(spark, "vectors"), table(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk"), "source")

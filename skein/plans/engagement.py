@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import spread
-from skein.plans.base import DE, IX, doc_embeddings, interactions, query, sql, table
+from skein.operators import ranking, spread
+from skein.plans.base import DE, IX, corpus_vectors, doc_embeddings, interactions, query, sql, table
 from skein.sources import files
+from skein.sources.stored import Stored
 from skein.sources.tables import folder
 
 #: Upper bounds of the latency histogram, in seconds.
@@ -72,10 +73,14 @@ sql("ag11_hourly_peak", "SELECT max(n) AS peak, round(avg(n), 4) AS mean FROM (S
 sql("ag12_outcomes", "SELECT event_type, CASE WHEN value < 20 THEN 'loss' WHEN value < 60 THEN 'neutral' ELSE 'win' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 
 
-@query("ag13_stage_timing", "SELECT stage, count(*) AS n, round(avg(ms), 4) AS mean, round(max(ms), 4) AS most FROM (SELECT unnest(['embed', 'retrieve', 'fusion']) AS stage, unnest([value * 0.5, value * 0.3, value * 0.2]) AS ms FROM events) GROUP BY 1")
+#: Shares of a request's time that its stages take, for want of measured ones; total is all of it.
+_STAGES = {"embed": 0.4, "retrieve": 0.25, "feature": 0.1, "ltr": 0.05, "fusion": 0.2, "total": 1.0}
+
+
+@query("ag13_stage_timing", f"SELECT stage, count(*) AS n, round(avg(ms), 4) AS mean, round(max(ms), 4) AS most FROM (SELECT unnest({list(_STAGES)}) AS stage, unnest([{', '.join(f'value * {s}' for s in _STAGES.values())}]) AS ms FROM events) GROUP BY 1")
 def ag13(spark, sf):
-    v = table(spark, sf, "events").select("event_id", (F.col("value") * 0.5).alias("embed"), (F.col("value") * 0.3).alias("retrieve"), (F.col("value") * 0.2).alias("fusion"))
-    long = v.unpivot("event_id", ["embed", "retrieve", "fusion"], "stage", "ms")
+    v = table(spark, sf, "events").select("event_id", *((F.col("value") * s).alias(stage) for stage, s in _STAGES.items()))
+    long = v.unpivot("event_id", list(_STAGES), "stage", "ms")
     return long.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 4).alias("mean"), F.round(F.max("ms"), 4).alias("most"))
 
 
@@ -83,13 +88,42 @@ sql("ag14_cache_hits", "SELECT c.key, c.hits + count(v.event_id) AS hits FROM (S
 sql("ag15_registry_upsert", "SELECT user_id AS model, max_by(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
 
 
-@query("ag16_context", "SELECT label, string_agg(left(text, 40), chr(10) || '---' || chr(10) ORDER BY vec_id) AS context FROM (SELECT label, text, vec_id FROM embeddings JOIN documents ON vec_id = doc_id QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5) GROUP BY label")
-def ag16(spark, sf):
-    from skein.operators.ranking import context
+def _thirds(spark, sf, columns):
+    """events in three parts of rising event_id."""
+    v = table(spark, sf, "events")
+    a, b = v.agg(F.expr("max(event_id) div 3"), F.expr("2 * max(event_id) div 3")).first()
+    return [v.where(cond).selectExpr(*columns) for cond in (f"event_id <= {a}", f"event_id > {a} AND event_id <= {b}", f"event_id > {b}")]
+
 
+@query("ag14_stored_hits", "SELECT user_id AS key, count(*) FILTER (event_type = 'click') AS hits FROM events GROUP BY 1")
+def ag14_stored(spark, sf):
+    """Hit counts in a stored table: a base, two updates, the first of which is compacted into the folders that it touches."""
+    counts = Stored(spark, folder(spark, "hits"), "key", {"hits": "sum"})
+    for n, part in enumerate(_thirds(spark, sf, ["user_id AS key", "event_id AS seq", "CAST(event_type = 'click' AS BIGINT) AS hits"])):
+        counts.update(part, n)
+        if n < 2:
+            counts.compact()
+    return counts.rows().select("key", "hits")
+
+
+@query("ag15_stored_registry", "SELECT user_id AS model, max_by(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY 1")
+def ag15_stored(spark, sf):
+    """A stored registry after two updates; rows that an update doesn't name stay."""
+    registry = Stored(spark, folder(spark, "registry"), "model", {"status": "last"})
+    for n, part in enumerate(_thirds(spark, sf, ["user_id AS model", "event_id AS seq", "event_type AS status"])):
+        registry.update(part, n)
+        if n == 0:
+            registry.compact()
+    return registry.rows().select("model", "status", "seq")
+
+
+@query("ag16_context", "SELECT label, string_agg(text, chr(10) || '---' || chr(10) ORDER BY vec_id) AS context FROM (SELECT label, text, vec_id FROM embeddings JOIN documents ON vec_id = doc_id QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5) GROUP BY label")
+def ag16(spark, sf):
+    """The first five of each label, whole; texts join after the cut."""
     w = Window.partitionBy("query_id").orderBy("id")
-    top = doc_embeddings(spark, sf).select(F.col("label").alias("query_id"), "id", F.left("chunk", F.lit(40)).alias("chunk")).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return context(top, "\n---\n").withColumnRenamed("query_id", "label")
+    top = corpus_vectors(spark, sf).select(F.col("label").alias("query_id"), "id").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
+    return ranking.context(ranking.with_texts(top, texts), "\n---\n").withColumnRenamed("query_id", "label")
 
 
 _LAST = "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) t WHERE n <= 200"

@@ -61,7 +61,7 @@ def sc16(spark, sf):
 sql("sc18_keyword_matches", "SELECT doc_id, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'que') AS INT) + CAST(contains(lower(text), 'der') AS INT) AS hits FROM documents")
 sql("sc23_month", "SELECT event_id, date_format(date_trunc('month', ts), 'yyyy_MM') AS month, date_format(date_trunc('month', ts) + INTERVAL 1 MONTH, 'yyyy_MM') AS next_month FROM events",
     "SELECT event_id, strftime(date_trunc('month', ts), '%Y_%m') AS month, strftime(date_trunc('month', ts) + INTERVAL 1 MONTH, '%Y_%m') AS next_month FROM events")
-_CTX, _ASK = "CASE WHEN coalesce(b.text, '') = '' THEN 'No context found.' ELSE b.text END", "left(d.text, 60)"
+_CTX, _ASK = "CASE WHEN coalesce(b.text, '') = '' THEN 'No context found.' ELSE b.text END", "d.text"
 
 
 @query("sc27_prompt", f"""SELECT d.doc_id, 'Context:' || chr(10) || {_CTX} || chr(10) || chr(10) || 'Question: ' || {_ASK} || chr(10) || 'Answer:' AS plain,
@@ -70,7 +70,7 @@ _CTX, _ASK = "CASE WHEN coalesce(b.text, '') = '' THEN 'No context found.' ELSE
 def sc27(spark, sf):
     """Three templates: context and question, the same behind a preamble, and a character's turn."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("found")), "doc_id", "left")
-    context, asked = F.when(F.coalesce("found", F.lit("")) == "", "No context found.").otherwise(F.col("found")), F.left("text", F.lit(60))
+    context, asked = F.when(F.coalesce("found", F.lit("")) == "", "No context found.").otherwise(F.col("found")), F.col("text")
     plain = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), asked, F.lit("\nAnswer:"))
     return rows.select("doc_id", plain.alias("plain"), ranking.prompt(context, asked).alias("assistant"), F.concat(F.lit("User: "), asked, F.lit("\nAssistant:")).alias("character"))
 

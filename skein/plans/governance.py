@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph, intervals
 from skein.plans.base import CHUNKS, DE, chunk_rows, doc_embeddings, query, sql, table
+from skein.sources import payload, stored
+from skein.sources.tables import folder
 
 # Fixed values of the configuration snapshot: prefixes that are shown, markers that are not, the one exception.
 PREFIXES = ("RAG_", "OLLAMA_", "REDIS_", "PG_", "DATABASE_URL", "CHROMA_", "SUPABASE_URL")
@@ -51,9 +53,31 @@ def fp5(spark, sf):
     return doc_embeddings(spark, sf).select("id", visible(F.col("tenant_id"), "tenant_1", True).alias("accepted"))
 
 
+def may_write(operation: Column, old_tenant: Column, new_tenant: Column, tenant: str | None, require: bool, role: str = "user") -> Column:
+    """Whether a change may be made: an insert if the new row's tenant is the caller's, an update if both are, a delete if the row is visible and the caller an admin."""
+    if not require:
+        return F.lit(True)
+    mine = lambda t: F.coalesce(t == F.lit(tenant), F.lit(False))
+    delete = visible(old_tenant, tenant, True, role) if role == "admin" else F.lit(False)
+    return F.coalesce(F.when(operation == "insert", mine(new_tenant)).when(operation == "update", mine(old_tenant) & mine(new_tenant)).when(operation == "delete", delete), F.lit(False))
+
+
+_CHANGES = "SELECT id, CASE id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS operation, CASE WHEN id % 3 > 0 THEN tenant_id END AS old_tenant, CASE WHEN id % 3 = 0 OR id % 4 > 0 THEN tenant_id ELSE 'tenant_2' END AS new_tenant FROM de"
+
+
+@query("fp5_writes_by_operation", f"""WITH {DE}, c AS ({_CHANGES}), m AS (SELECT *, coalesce(old_tenant = 'tenant_1', false) AS had, coalesce(new_tenant = 'tenant_1', false) AS has FROM c)
+ SELECT id, role, CASE operation WHEN 'insert' THEN has WHEN 'update' THEN had AND has ELSE role = 'admin' AND (had OR old_tenant IS NULL) END AS accepted FROM m, (SELECT unnest(['user', 'admin']) AS role)""")
+def fp5_operations(spark, sf):
+    """Inserts, updates and deletes of a batch, as a user and as an admin of one tenant."""
+    doc_embeddings(spark, sf).select("id", "tenant_id").createOrReplaceTempView("de")
+    changes = spark.sql(_CHANGES)
+    asked = lambda role: changes.select("id", F.lit(role).alias("role"), may_write(F.col("operation"), F.col("old_tenant"), F.col("new_tenant"), "tenant_1", True, role).alias("accepted"))
+    return asked("user").unionByName(asked("admin"))
+
+
 sql("fp3_source", "SELECT doc_id FROM documents WHERE source = 'src3'")
 sql("fp6_not_deleted", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN doc_id END AS deleted_at FROM documents) t WHERE deleted_at IS NULL")
-sql("fp7_active_covering", "SELECT doc_id, left(text, 50) AS text, n_chars FROM documents WHERE doc_id % 6 <> 0 AND source = 'src1'")
+sql("fp7_active_covering", "SELECT doc_id, text, n_chars FROM documents WHERE doc_id % 6 <> 0 AND source = 'src1'")
 sql("fp8_latest_by_hash", "SELECT md5(text) AS h, max(doc_id) AS latest, count(*) AS versions FROM documents GROUP BY 1")
 
 _CFG = "SELECT concat(CASE event_id % 4 WHEN 0 THEN 'RAG_' WHEN 1 THEN 'REDIS_' WHEN 2 THEN 'OTHER_' ELSE 'PG_' END, upper(event_type), CASE WHEN event_id % 5 = 0 THEN '_KEY' WHEN event_id % 5 = 1 THEN '_TOKEN' ELSE concat('_', cast(event_id AS {s})) END) AS key, repeat('x', CAST(event_id % 250 AS INT)) AS value FROM events"
@@ -85,15 +109,23 @@ def _missing(spark, sf) -> DataFrame:
 
 
 def _orphans(spark, sf) -> DataFrame:
-    """Keys of either side that the other lacks; the given tables have none, so one key in seven of each side is left out first, by content."""
-    o = table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("key"))
-    i = table(spark, sf, "lineitem").where("l_orderkey % 7 <> 1").select(F.col("l_orderkey").alias("key")).distinct()
-    return o.join(i, "key", "left_anti").withColumn("side", F.lit("order")).unionByName(i.join(o, "key", "left_anti").withColumn("side", F.lit("line")))
+    """Keys of either side of three links that the other side lacks: orders and their lines, documents and their vectors, documents and their labels."""
+    keys = lambda t, c: table(spark, sf, t).select(F.col(c).alias("key")).where("key IS NOT NULL").distinct()
+    o, i, d, e, l = keys("orders", "o_orderkey"), keys("lineitem", "l_orderkey"), keys("documents", "doc_id"), keys("embeddings", "vec_id"), keys("labels", "doc_id")
+    lacks = lambda a, b, side: a.join(b.hint("merge"), "key", "left_anti").withColumn("side", F.lit(side))
+    return reduce(DataFrame.unionByName, [lacks(o, i, "order"), lacks(i, o, "line"), lacks(d, e, "document without vector"), lacks(e, d, "vector"), lacks(d, l, "document without label"), lacks(l, d, "label")])
 
 
 _D1 = "SELECT count(*) - count(e.vec_id) AS failed, count(*) AS total FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
-_O = """SELECT o_orderkey AS key, 'order' AS side FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 7 <> 1)
- UNION ALL SELECT DISTINCT l_orderkey, 'line' FROM lineitem WHERE l_orderkey % 7 <> 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)"""
+
+
+_O = " UNION ALL ".join(
+    f"SELECT DISTINCT {a} AS key, '{side}' AS side FROM {t} WHERE {a} NOT IN (SELECT {b} FROM {u} WHERE {b} IS NOT NULL)"
+    for t, a, u, b, side in (
+        ("orders", "o_orderkey", "lineitem", "l_orderkey", "order"), ("lineitem", "l_orderkey", "orders", "o_orderkey", "line"), ("documents", "doc_id", "embeddings", "vec_id", "document without vector"),
+        ("embeddings", "vec_id", "documents", "doc_id", "vector"), ("documents", "doc_id", "labels", "doc_id", "document without label"), ("labels", "doc_id", "documents", "doc_id", "label"),
+    )
+)
 
 
 @query("dq1_null_embeddings", f"SELECT failed, total, round(failed / total::DOUBLE, 6) AS rate FROM ({_D1})")
@@ -169,6 +201,40 @@ def jn7_trace(spark, sf):
 
 sql("pl7_lag_features", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5 FROM events")
 sql("pl4_stale_cleanup", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+@query("pl4_overwritten", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def pl4_overwritten(spark, sf):
+    """Stale rows are deleted from a stored table by day: older folders go, one is written again, the rest stay as they are."""
+    v, path = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), folder(spark, "memory")
+    v.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.partitionBy("day").parquet(path)
+    stored.drop_older(spark, path, "ts", "day", v.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("t")).first()["t"])
+    return spark.read.parquet(path).select("event_id", F.col("day").cast("string").alias("day"))
+
+
+_ELEMENT = "CASE doc_id % 6 WHEN 0 THEN '7' WHEN 1 THEN '{\"text\":\"a\"}' WHEN 2 THEN '{\"id\":\"x\",\"text\":null}' WHEN 3 THEN '{\"id\":1,\"text\":5}' WHEN 4 THEN '{\"id\":2,\"text\":\" \"}' ELSE '{\"id\":true}' END"
+_REASON = "CASE doc_id % 6 WHEN 0 THEN 'not an object' WHEN 1 THEN 'no id' WHEN 3 THEN 'text is no string' WHEN 4 THEN 'empty text' ELSE 'no text' END"
+
+
+def _payloads(spark, sf):
+    """Two elements from each document, its own text and one that is bad; some payloads are cut short, some no array, some null."""
+    d = table(spark, sf, "documents")
+    own = F.to_json(F.struct(F.col("doc_id").alias("id"), "text"))
+    both = F.concat(F.lit("["), own, F.lit(", "), F.expr(_ELEMENT), F.lit("]"))
+    k = F.col("doc_id") % 11
+    return d.select(F.col("doc_id").alias("payload_id"), F.when(k == 0, F.concat(F.lit("["), own)).when(k == 1, own).when(k == 2, F.lit(None)).otherwise(both).alias("payload"))
+
+
+@query("pl8_accepted", "SELECT doc_id AS payload_id, 0 AS place, CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 11 > 2 AND text IS NOT NULL AND trim(text) <> '' AND length(text) <= 100000")
+def pl8_accepted(spark, sf):
+    return payload.documents(_payloads(spark, sf))[0]
+
+
+@query("pl8_rejected", f"""SELECT doc_id AS payload_id, 1 AS place, {_REASON} AS reason FROM documents WHERE doc_id % 11 > 2
+ UNION ALL SELECT doc_id, NULL, CASE doc_id % 11 WHEN 0 THEN 'malformed' WHEN 1 THEN 'not an array' ELSE 'no payload' END FROM documents WHERE doc_id % 11 <= 2
+ UNION ALL SELECT doc_id, 0, CASE WHEN text IS NULL THEN 'no text' WHEN trim(text) = '' THEN 'empty text' ELSE 'text too long' END FROM documents WHERE doc_id % 11 > 2 AND (text IS NULL OR trim(text) = '' OR length(text) > 100000)""")
+def pl8_rejected(spark, sf):
+    return payload.documents(_payloads(spark, sf))[1].drop("raw")
+
+
 sql("pl11_daily_rollup", "SELECT date_format(ts, 'yyyy-MM-dd') AS day, event_id % 4 AS experiment_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean, avg(value) > 60 AS slow FROM events GROUP BY 1, 2",
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_id % 4 AS experiment_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean, avg(value) > 60 AS slow FROM events GROUP BY 1, 2")
 sql("pl8_rejected_documents", "SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 10000 THEN 'long' ELSE 'accepted' END AS state FROM documents")

@@ -24,7 +24,7 @@ def texts(spark, sf) -> DataFrame:
 
 
 def _cand(spark, sf) -> DataFrame:
-    return ranking.with_texts(_near(spark, sf), texts(spark, sf))
+    return ranking.with_texts(_near(spark, sf), texts(spark, sf), 10 * query_vectors(spark, sf).count())
 
 
 @query("rk1_fused_ranking", FUSED + " SELECT query_id, id, rank, distance, similarity, log_length, ltr, ltr_norm, fused, left(chunk, 300) AS preview FROM fused")

@@ -74,3 +74,10 @@ def touch(spark: SparkSession, path: str) -> None:
     """Makes an empty file."""
     fs, p = _path(spark, path)
     fs.create(p, True).close()
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of the files right in a folder, without those that Spark hides."""
+    fs, p = _path(spark, path)
+    files = [f for f in fs.listStatus(p) if f.isFile()] if fs.exists(p) else []
+    return [(f.getPath().toString(), f.getLen()) for f in files if f.getPath().getName()[0] not in "._"]

@@ -217,3 +217,26 @@ def test_undecodable_bytes_are_dropped(spark, tmp_path):
     texts = spark.createDataFrame([("p", "one chunk"), ("q", "one chunk"), ("r", "x" * 2000)], "path string, text string")
     assert files.ingest(texts, store) == 3 and files.ingest(texts, store) == 0
     assert files.ingest(texts.union(spark.createDataFrame([("s", "new")], texts.schema)), store) == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_equal_brute_force(spark, metric, monkeypatch):
+    """Ties, repeated and odd vectors, many batches and blocks of queries."""
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.normal(size=(300, 4)), 1)
+    rows = [(i, [float(v) for v in x[i % 250]], f"c{i}") for i in range(300)] + [(900, None, "none"), (901, [1.0], "short"), (902, [0.0] * 4, "zero")]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>, chunk string").repartition(6)
+    queries = spark.createDataFrame([(q, [float(v) for v in x[q * 7]]) for q in range(20)], "query_id long, query_vector array<double>")
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 7)
+    got = sorted((r["query_id"], r["distance"], r["id"], r["chunk"]) for r in ranking.knn(corpus, queries, 5, metric).collect())
+    want = []
+    for q in range(20):
+        y, found = x[q * 7], []
+        for i, v, c in rows:
+            if v is None or len(v) != 4 or metric == "cosine" and not any(v):
+                continue
+            d = np.linalg.norm(np.array(v) - y) if metric == "l2" else 1 - np.dot(v, y) / np.linalg.norm(v) / np.linalg.norm(y)
+            found.append((q, round(float(d), 6) + 0.0, i, c))
+        want += sorted(found)[:5]
+    assert [(a, round(b, 6) + 0.0, i, c) for a, b, i, c in got] == want
+    assert ranking.knn(corpus, queries.limit(0), 5, metric).count() == 0 and ranking.knn(corpus.limit(0), queries, 5, metric).count() == 0
