@@ -20,7 +20,7 @@ def _points(rows: DataFrame, at: str, levels: int) -> DataFrame:
     return rows.select("*", F.inline(F.expr(f"transform(sequence(0, {levels}), _k -> named_struct('level', _k, 'place', shiftright(CAST({at} AS BIGINT), _k)))")))
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], salts: int = 8) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], salts: int = 4) -> DataFrame:
     """left joined to right where keys are equal and the spans (start, end), whole numbers with both ends inside, share a place; each pair once.
 
     Two spans overlap where one starts within the other. A span is cut into dyadic blocks, a start is looked up in the block of each level, and lies in exactly
