@@ -34,9 +34,13 @@ SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{_OTHER
 _WIDE_SPACE = regex.compile(rf"[ \n](?:{_SPACE}|$)")
 _RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", f"{_OTHER}+")]
 _CHUNK = 1 << 14
-_CACHE_ENTRIES = 200_000
+#: Known words; of those parted by spaces as many again, not met since the last ones were set aside.
+_CACHE_ENTRIES = 150_000
 _CACHED_CHARS = 64
-_LEARN_CHARS, _LEARN_WORDS = 1 << 20, 50_000
+_LEARN_CHARS, _LEARN_WORDS = 1 << 18, 50_000
+_NO_PAIR = 1 << 62
+#: Words that are merged side by side.
+_BLOCK_WORDS = 4096
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +68,9 @@ class Vocabulary:
         pairs = sorted((a << 20 | b, rank, made) for (a, b), (rank, made) in self.merges.items())
         self.table = tuple(np.array(c, np.int64) for c in zip(*pairs, strict=True))
         self.byte_ids = np.array([self.byte_id[b] for b in range(256)], np.int64)
+        # rank and product of each pair of bytes
+        at = [self.merges.get((self.byte_id[b >> 8], self.byte_id[b & 255]), (_NO_PAIR, 0)) for b in range(1 << 16)]
+        self.first_rank, self.first_made = (np.array(c, np.int64) for c in zip(*at, strict=True))
 
 
 def sufficient_lookahead(vocab: Vocabulary) -> int:
@@ -122,45 +129,49 @@ def merge(data: bytes, vocab: Vocabulary) -> list[int]:
 
 
 def merge_many(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
-    """As merge, for many short words at once: in each round every word joins its lowest, leftmost pair. Packed ids."""
-    keys, ranks, made = vocab.table
-    n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
-    longest = int(size.max(initial=1))
-    ids = np.full((n, longest + 1), -1, np.int64)
+    """As merge, for many words at once: in each round every word joins its lowest, leftmost pair. Packed ids.
+
+    All tokens stand in one row, each linked to its neighbours in the word; a round looks at all pairs but makes new ones only about the places that merged.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer(b"".join(words), np.uint8)
-    ids[np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = vocab.byte_ids[flat]
-
-    def find(a, b):
-        k = np.where((a >= 0) & (b >= 0), a << 20 | b, -1)
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        hit = keys[at] == k
-        return np.where(hit, ranks[at], 1 << 40), np.where(hit, made[at], -1)
-
-    rank, new = find(ids[:, :-1], ids[:, 1:])
-    out: list[bytes] = [b""] * n
-    rows = np.arange(n)
-    place = np.arange(longest + 1)
-    while len(rows):
-        at = rank.argmin(1)
-        every = np.arange(len(rows))
-        going = rank[every, at] < 1 << 40
-        for r, x in zip(rows[~going].tolist(), ids[~going], strict=True):
-            out[r] = x[x >= 0].astype("<u4").tobytes()
-        rows, ids, rank, new, at = rows[going], ids[going], rank[going], new[going], at[going]
-        every = np.arange(len(rows))
-        ids[every, at] = new[every, at]
-        # close the gap at at + 1
-        source = np.minimum(place + (place > at[:, None]), longest)
-        tail = source == place
-        ids = np.take_along_axis(ids, source, 1)
-        ids[:, -1] = -1
-        rank, new = np.take_along_axis(rank, source[:, :-1].clip(max=longest - 1), 1), np.take_along_axis(new, source[:, :-1].clip(max=longest - 1), 1)
-        rank[:, -1][~tail[:, -2] | (at == longest - 1)] = 1 << 40
-        for k in (at - 1, at):
-            ok = (k >= 0) & (k < longest)
-            e, c = every[ok], k[ok]
-            rank[e, c], new[e, c] = find(ids[e, c], ids[e, c + 1])
-    return out
+    ends = np.cumsum(size)
+    starts = (ends - size)[size > 0]
+    if not len(starts):
+        return [b""] * len(words)
+    ids, place = vocab.byte_ids[flat], np.arange(len(flat))
+    left, right = place - 1, place + 1
+    left[starts] = right[ends[size > 0] - 1] = -1
+    order, made = np.full(len(flat), _NO_PAIR), np.zeros(len(flat), np.int64)
+
+    def pair(at, a, b):
+        """The pair at each place: its rank, then the place itself, as one number."""
+        keys, ranks, made_of = vocab.table
+        k = a << 20 | b
+        found = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        order[at] = np.where(keys[found] == k, ranks[found] << 32 | at, _NO_PAIR)
+        made[at] = made_of[found]
+
+    inner = np.flatnonzero(right >= 0)
+    two = flat[inner].astype(np.int64) << 8 | flat[inner + 1]
+    order[inner] = np.where(vocab.first_rank[two] < _NO_PAIR, vocab.first_rank[two] << 32 | inner, _NO_PAIR)
+    made[inner] = vocab.first_made[two]
+    while True:
+        least = np.minimum.reduceat(order, starts)
+        at = least[least < _NO_PAIR] & 0xFFFFFFFF
+        if not len(at):
+            break
+        gone = right[at]
+        after, before = right[gone], left[at]
+        ids[at], ids[gone], right[at] = made[at], -1, after
+        order[gone] = order[at] = _NO_PAIR
+        more, less = after >= 0, before >= 0
+        left[after[more]] = at[more]
+        pair(np.concatenate((at[more], before[less])), np.concatenate((ids[at[more]], ids[before[less]])), np.concatenate((ids[after[more]], ids[at[less]])))
+    kept = ids >= 0
+    cuts = (4 * np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], ends))]).tolist()
+    packed = ids[kept].astype("<u4").tobytes()
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Encoder:
@@ -175,6 +186,7 @@ class Encoder:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True))) if vocab.special else None
         self.cache: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._start()
 
     def _start(self) -> None:
@@ -265,38 +277,51 @@ class Encoder:
         return word if word[:1] == "\n" else " " + word
 
     def _spaced(self, word: str) -> bytes:
-        got = b"".join([self._word(w) for w in SPLIT.findall(self._with_space(word))])
+        got = self.older.get(word) or b"".join([self._word(w) for w in SPLIT.findall(self._with_space(word))])
         if len(word) <= _CACHED_CHARS:
-            if len(self.spaced) >= _CACHE_ENTRIES:
-                self.spaced.clear()
+            self._room(1)
             self.spaced[word] = got
         return got
 
+    def _room(self, n: int) -> None:
+        """Sets the known words aside if n more don't fit; those that are met again come back, the others go with the next ones set aside."""
+        if len(self.spaced) + n > _CACHE_ENTRIES:
+            self.older, self.spaced = self.spaced, {}
+
     def learn(self, rows: list[str]) -> None:
         """Puts the words of rows that are not known yet into the cache, many at a time; it holds no more than a bounded number of them, however many and long the rows."""
-        unknown = set()
+        unknown: set[str] = set()
         for text in rows:
             for at in range(0, len(text), _LEARN_CHARS):  # a word that is cut here is merely not known later
-                unknown.update(w for w in text[at : at + _LEARN_CHARS].replace("\n", " \n").split(" ") if len(w) <= _CACHED_CHARS and w not in self.spaced)
+                unknown |= set(text[at : at + _LEARN_CHARS].replace("\n", " \n").split(" ")).difference(self.spaced)
                 if len(unknown) >= _LEARN_WORDS:
-                    self._learn(list(unknown))
+                    self._learn(unknown)
                     unknown.clear()
-        self._learn(list(unknown))
-
-    def _learn(self, unknown: list[str]) -> None:
-        if len(self.spaced) + len(unknown) > _CACHE_ENTRIES:
-            self.spaced.clear()
-        for at in range(0, len(unknown), 8192):
-            parts = [(w, SPLIT.findall(self._with_space(w))) for w in unknown[at : at + 8192]]
-            fresh = list({x for _, xs in parts for x in xs if x not in self.cache and len(x) <= _CACHED_CHARS})
-            if len(self.cache) + len(fresh) > _CACHE_ENTRIES:
-                self.cache.clear()
-            fresh.sort(key=len)  # words of like length share a block
-            for k in range(0, len(fresh), 2048):
-                some = fresh[k : k + 2048]
-                self.cache.update(zip(some, merge_many([x.encode("utf-8", "surrogatepass") for x in some], self.vocab), strict=True))
-            for w, xs in parts:
-                self.spaced[w] = b"".join([self.cache.get(x) or self._word(x) for x in xs])
+        self._learn(unknown)
+
+    def _learn(self, unknown: set[str]) -> None:
+        self._room(len(unknown))
+        plain, parts = [], []
+        for w in unknown:
+            if (got := self.older.get(w)) is not None:
+                self.spaced[w] = got
+            elif len(w) <= _CACHED_CHARS:
+                if w.isascii() and w.isalpha():  # one pretoken
+                    plain.append(w)
+                else:
+                    parts.append((w, SPLIT.findall(self._with_space(w))))
+        # words of like length share a block
+        plain.sort(key=len)
+        for k in range(0, len(plain), _BLOCK_WORDS):
+            some = plain[k : k + _BLOCK_WORDS]
+            self.spaced.update(zip(some, merge_many([b" " + w.encode() for w in some], self.vocab), strict=True))
+        fresh = sorted({x for _, xs in parts for x in xs if len(x) <= _CACHED_CHARS}, key=len)
+        of: dict[str, bytes] = {}
+        for k in range(0, len(fresh), _BLOCK_WORDS):
+            some = fresh[k : k + _BLOCK_WORDS]
+            of.update(zip(some, merge_many([x.encode("utf-8", "surrogatepass") for x in some], self.vocab), strict=True))
+        for w, xs in parts:
+            self.spaced[w] = b"".join([of.get(x) or self._word(x) for x in xs])
 
     def feed(self, chunk: str) -> bytes:
         return self._run(chunk, False)
