@@ -12,6 +12,7 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from skein.llm.common import let, texts
 
@@ -21,8 +22,8 @@ PARAGRAPH = r"(?<=\n)(?=[^\n])"
 LEAF = r"(?<=[.!?\n])(?=[^.!?\n])"
 #: Digits of a branch's digest in the printed fingerprint; the root is printed whole.
 DIGITS = 16
-#: Characters of text in one range of ids.
-RANGE_CHARS = 16_000_000
+#: Characters of text in one range of ids, and the most ranges there are: beyond both, ranges grow, and a task sorts its own by spilling.
+RANGE_CHARS, MAX_RANGES = 16_000_000, 100_000
 
 
 def _cut(text: Column, pattern: str) -> Column:
@@ -97,16 +98,21 @@ def edited(old: Column, new: Column, branches=sections) -> Column:
     return F.when(root(old) != root(new), let(F.struct(branches(old).alias("x"), branches(new).alias("y")), span))
 
 
-def _place(key: Column, cuts: list, kind: str) -> tuple[Column, Column]:
-    """(number of the range that holds key, whether key is that range's least): a search over about twice the square root of the number of cuts."""
-    lit = lambda c: F.struct(F.lit(c[0]).cast(kind).alias("id"), F.lit(c[1]).alias("h"))
+def _placed(docs: DataFrame, cuts: list) -> DataFrame:
+    """docs with at, the number of the range that holds key, and is_least, whether key is that range's least.
+
+    The plan holds every step-th cut, about the square root of their number; the cuts between stand in a table of a row a step, at most MAX_RANGES cuts in all, so it is broadcast.
+    """
+    kind = docs.schema["key"].dataType
     step = max(1, isqrt(len(cuts)))
-    groups = F.array(*(F.array(*map(lit, cuts[k : k + step])) for k in range(0, len(cuts), step)))
-    upto = lambda array: F.array_size(F.filter(array, lambda c: c <= key))
-    coarse = F.array_size(F.filter(groups, lambda g: F.get(g, F.lit(0)) <= key))
-    group = F.get(groups, coarse - 1)
-    at = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + upto(group) - 1)
-    return at, F.coalesce(F.get(F.get(groups, F.floor(at / step).cast("int")), (at % step).cast("int")) == key, F.lit(False))
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    fine = docs.sparkSession.createDataFrame(list(enumerate(groups)), StructType([StructField("coarse", IntegerType()), StructField("cuts", ArrayType(kind))]))
+    lit = lambda c: F.struct(F.lit(c[0]).cast(kind["id"].dataType).alias("id"), F.lit(c[1]).alias("h"))
+    upto = lambda array: F.array_size(F.filter(array, lambda c: c <= F.col("key")))
+    found = docs.withColumn("coarse", F.greatest(upto(F.array(*(lit(g[0]) for g in groups))) - 1, F.lit(0)))
+    found = found.join(F.broadcast(fine), "coarse").withColumn("within", F.greatest(upto(F.col("cuts")) - 1, F.lit(0)))
+    at, least = F.col("coarse") * step + F.col("within"), F.get("cuts", F.col("within")) == F.col("key")
+    return found.withColumns({"at": at, "is_least": least}).drop("coarse", "cuts", "within")
 
 
 def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
@@ -118,14 +124,13 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     docs = docs.withColumn("key", key)
-    n = -(-(docs.agg(F.sum(F.length("text") + 16)).first()[0] or 1) // range_chars)
+    n = min(MAX_RANGES, -(-(docs.agg(F.sum(F.length("text") + 16)).first()[0] or 1) // range_chars))
     least = docs.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("least"))
     cuts = [(r["least"]["id"], r["least"]["h"]) for r in least.orderBy("least").collect()]  # one for each range
     if not cuts:
         return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    at, is_least = _place(F.col("key"), cuts, docs.schema["doc_id"].dataType.simpleString())
     own = lambda at, copied: F.struct(at.cast("int").alias("range"), F.lit(copied).alias("copied"))
-    placed = docs.select("doc_id", "text", "key", at.alias("at"), is_least.alias("is_least"))
+    placed = _placed(docs.select("doc_id", "text", "key"), cuts)
     before = F.pmod(F.col("at") - 1, F.lit(len(cuts)))
     rows = placed.select("doc_id", "text", "key", F.inline(F.when(F.col("is_least"), F.array(own(F.col("at"), 0), own(before, 1))).otherwise(F.array(own(F.col("at"), 0)))))
     w = Window.partitionBy("range").orderBy("copied", "key")

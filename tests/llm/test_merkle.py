@@ -100,3 +100,12 @@ def test_insertions_are_located(spark):
     assert tuple(got[0]["s"]) == (0, 2) and tuple(got[0]["p"]) == (0, 3) and got[1]["s"] is None and tuple(got[2]["s"]) == (0, 1)
     dropped = spark.createDataFrame([("a.\n\nb.\n\nc.", "a.\n\nc.")], "a string, b string").select(merkle.edited(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("s"))
     assert tuple(dropped.first()["s"]) == (1, 0)
+
+
+def test_many_ranges_stay_out_of_the_plan(spark):
+    """Each key finds its range among 50,000, and the plan holds about the square root of their cuts."""
+    cuts = [(None, 5), *((10 * k, 0) for k in range(50_000))]
+    keys = [(None, 5), (None, 9), (0, 0), (0, 3), (9, -1), (4_321, 7), (250_000, 0), (499_990, 0), (10**9, 1)]
+    rows = spark.createDataFrame([(k,) for k in keys], "key struct<id: bigint, h: bigint>")
+    got = {tuple(r["key"]): (r["at"], r["is_least"]) for r in merkle._placed(rows, cuts).collect()}
+    assert got == {k: (0 if k[0] is None else 1 + min(49_999, (k[0] if k[0] % 10 or k[1] >= 0 else k[0] - 1) // 10), k in cuts) for k in keys}
