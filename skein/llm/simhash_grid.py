@@ -32,6 +32,8 @@ MAX_DISTANCE = 4
 _GROUPS, _EQUAL = 8, 4
 #: Fingerprints of one cell that are tested against each other in one key; a larger cell has a key for each pair of its blocks.
 CELL_BLOCK = 1_000
+#: A cell is hot if it holds more fingerprints than this and than one in HOT_SHARE; _BUCKETS are what cells are first counted by.
+HOT_ROWS, HOT_SHARE, _BUCKETS = 10_000, 500, 1024
 _LOW_BITS = 0x5555555555555555
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BLOCK = 1 << 16
@@ -91,13 +93,24 @@ def _long(x: int) -> str:
     return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def cells(fps: DataFrame) -> DataFrame:
-    """(fp, v, choice, cell, n, least) of each distinct fingerprint (column fp, one row each) and cell that it shares with another: the cell's size and least fingerprint."""
+def cells(fps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(fp, v, choice, cell, n, least) of each distinct fingerprint (column fp, one row each) and cell that it shares with another: the cell's size and least fingerprint.
+
+    Cells of over hot_rows fingerprints and one in HOT_SHARE of all, so at most HOT_SHARE for each choice of groups, are summed up before the shuffle and
+    sent to their rows where these lie; a window over the others has no large group. Such cells lie in buckets as large, so only rows of those are counted by cell.
+    """
     masks = [_signed(sum(0xFF << 8 * g for g in c)) for c in combinations(range(_GROUPS), _EQUAL)]
     each = fps.select("fp", popcount_vector(F.col("fp")).alias("v")).select("fp", "v", F.posexplode(F.array(*map(F.lit, masks))).alias("choice", "mask"))
     each = each.select("fp", "v", "choice", F.col("v").bitwiseAND(F.col("mask")).alias("cell"))
+    hot = max(hot_rows, fps.count() // HOT_SHARE)
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(_BUCKETS)).cast("int"))
+    buckets = written(each.groupBy("choice", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).drop("n"), "simhash-buckets")
+    large = each.join(F.broadcast(buckets), ["choice", "bucket"]).groupBy("choice", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("least"))
+    large = written(large.where(F.col("n") > hot), "simhash-hot")
+    each = each.drop("bucket").join(F.broadcast(large), ["choice", "cell"], "left")
     w = Window.partitionBy("choice", "cell")
-    return each.withColumns({"n": F.count("*").over(w), "least": F.min("fp").over(w)}).where("n > 1")
+    others = each.where("n IS NULL").withColumns({"n": F.count("*").over(w), "least": F.min("fp").over(w)}).where("n > 1")
+    return each.where("n IS NOT NULL").unionByName(others).select("fp", "v", "choice", "cell", "n", "least")
 
 
 def stars(shared: DataFrame) -> DataFrame:
@@ -124,9 +137,9 @@ def links(shared: DataFrame, block: int = CELL_BLOCK) -> DataFrame:
     return left.alias("a").join(right.alias("b").hint("merge"), F.expr(on)).selectExpr("a.fp AS a", "b.fp AS b")
 
 
-def linked(fps: DataFrame, block: int = CELL_BLOCK) -> DataFrame:
+def linked(fps: DataFrame, block: int = CELL_BLOCK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root): the least fingerprint that each fingerprint of fps (column fp, one row each) reaches, for those that link to another."""
-    shared = written(cells(fps), "simhash-cells")
+    shared = written(cells(fps, hot_rows), "simhash-cells")
     near = components(stars(shared))
     of = join_split(shared, near.withColumnRenamed("node", "fp"), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     across = written(links(of, block), "simhash-links")

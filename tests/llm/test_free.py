@@ -199,9 +199,9 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(r["text"] for r in simhash_grid.keep_one(twice).collect()) == sorted(alone[:2])
 
 
-@pytest.mark.parametrize("block", [1_000, 3])
-def test_links_are_exact(spark, block):
-    """Classes equal those of all pairs; blocks of three fingerprints split every cell."""
+@pytest.mark.parametrize("block, hot", [(1_000, 10_000), (3, 2)])
+def test_links_are_exact(spark, block, hot):
+    """Classes equal those of all pairs; blocks of three fingerprints split every cell, and cells of over two are hot."""
     rnd = random.Random(4)
     fps = {0, 1 << 63, (1 << 64) - 1}
     for _ in range(60):
@@ -214,13 +214,13 @@ def test_links_are_exact(spark, block):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     table = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     want = {tuple(sorted((signed(x), signed(y)))) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 4}
-    alone = simhash_grid.links(simhash_grid.cells(table).withColumn("root", F.col("fp")), block).collect()
+    alone = simhash_grid.links(simhash_grid.cells(table, hot).withColumn("root", F.col("fp")), block).collect()
     assert {tuple(sorted(r)) for r in alone} == want and len(alone) == len(want)
     root = {x: x for p in want for x in p}
     for _ in root:
         for x, y in want:
             root[x] = root[y] = min(root[x], root[y])
-    assert {tuple(r) for r in simhash_grid.linked(table, block).collect()} == set(root.items())
+    assert {tuple(r) for r in simhash_grid.linked(table, block, hot).collect()} == set(root.items())
 
 
 def test_components_of_a_chain(spark):
