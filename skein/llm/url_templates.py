@@ -3,8 +3,8 @@
 For each host, path segments that vary (numbers, identifiers, or a position with very many values, counted exactly) become wildcards. Then the labelled branches below
 a node are compared with each other: in the order of their rates, neighbours that a two-proportion z test can't tell apart are merged, and a significant step starts a new
 branch; branches without labels stay as they are. A template is rejected where its labelled purity, smoothed
-level by level from the corpus over its host and parents, reaches MIN_PURITY. Labels are the verdicts of the rules. All levels are handled at once, whatever the
-depth of the data. Only built-in functions run on the rows.
+level by level from the corpus over other hosts' branches of the same place and its own parents, reaches MIN_PURITY. Labels are the verdicts of the rules; `assess`
+hides some of them and tells how the tree decides those pages. All levels are handled at once, whatever the depth of the data. Only built-in functions run on the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ MIN_PURITY = 0.8
 PRIOR_WEIGHT = 4.0
 MANY_VALUES, DISTINCT_SHARE = 16, 0.5
 SIMILAR_Z = 1.96
+#: Rates of hosts are summed as whole numbers of this part, so that sums don't depend on their order.
+RATE_UNIT = 1_000_000
+#: `assess` hides the labels of one unit in HIDE.
+HIDE = 5
 
 
 def host(url: Column) -> Column:
@@ -46,9 +50,9 @@ def shape(path: Column) -> Column:
     return F.array_join(wild, "/")
 
 
-def _node(k: Column) -> Column:
+def _node(k: Column, t: str = "t") -> Column:
     """The node of the first k levels of template t; segments hold no slash. A digest, since a path of n segments has n nodes."""
-    return F.md5(F.array_join(F.slice("t", F.lit(1), k), "/"))
+    return F.md5(F.array_join(F.slice(t, F.lit(1), k), "/"))
 
 
 def _nodes(trees: DataFrame, *more: str) -> DataFrame:
@@ -102,16 +106,30 @@ def merged(trees: DataFrame) -> DataFrame:
     return out.select("host", "t", F.when(F.col("names").isNull(), F.col("t")).otherwise(F.transform("t", lambda x, i: F.coalesce(F.try_element_at("names", i), x))).alias("m"))
 
 
-def purities(paths: DataFrame) -> DataFrame:
-    """(host, t, purity) of each template of paths (host, t, labelled, bad): from the corpus's rate down the levels to the pages that end there, each smoothed towards the one above."""
-    whole = paths.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
-    steps = paths.select("*", F.explode(F.sequence(F.lit(0), F.size("t") + 1)).alias("k")).withColumn("ends", F.col("k") > F.size("t"))
-    steps = steps.withColumn("up", _node(F.least("k", F.size("t"))))
-    keys = ["host", "k", "up", "ends"]
-    sums = steps.groupBy(*keys).agg(F.sum("labelled").alias("sl"), F.sum("bad").alias("sb"))
-    steps = join_split(steps, sums, keys).groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct("k", "sl", "sb"))).alias("steps"))
+def purities(trees: DataFrame) -> DataFrame:
+    """(host, m, purity) of each template of trees (host, t, m, labelled, bad): from the corpus's rate down the levels to the pages that end there.
+
+    At each level the rate so far is first smoothed by other hosts: each host with labels at the same place (the levels before merging) counts as one label of its
+    own rate, so a host with very many pages speaks as one. Then the host's own labels are smoothed towards that. A place without labels anywhere keeps the rate above.
+    """
+    whole = trees.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).first()
+    steps = trees.select("*", F.explode(F.sequence(F.lit(0), F.size("t") + 1)).alias("k")).withColumn("ends", F.col("k") > F.size("t"))
+    level = F.least("k", F.size("t"))
+    steps = written(steps.select("host", "m", "k", "ends", "labelled", "bad", _node(level, "m").alias("up"), _node(level).alias("place")), "url-steps")
+    keys, places = ["host", "k", "up", "ends"], ["k", "place", "ends"]
+    rates = steps.groupBy("host", *places).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).where("l > 0")
+    rates = rates.groupBy(*places).agg(F.count("*").alias("n"), F.sum(F.round(RATE_UNIT * F.col("b") / F.col("l")).cast("long")).alias("r"))
+    members = steps.groupBy(*keys, "place").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    members = join_split(written(members, "url-members"), written(rates, "url-rates"), places, "left")
+    sums = members.groupBy(*keys).agg(F.sum("labelled").alias("sl"), F.sum("bad").alias("sb"), F.coalesce(F.sum("n"), F.lit(0)).alias("gl"), (F.coalesce(F.sum("r"), F.lit(0)) / RATE_UNIT).alias("gb"))
+    steps = join_split(written(steps.select("m", *keys).distinct(), "url-levels"), sums, keys).groupBy("host", "m").agg(F.array_sort(F.collect_list(F.struct("k", "sl", "sb", "gl", "gb"))).alias("steps"))
     start = F.lit((whole["b"] or 0) / max(1, whole["l"] or 0)).cast("double")
-    return steps.select("host", "t", F.aggregate("steps", start, lambda p, x: (x.sb + PRIOR_WEIGHT * p) / (x.sl + PRIOR_WEIGHT)).alias("purity"))
+
+    def smoothed(p: Column, x: Column) -> Column:
+        others = (x.gb + PRIOR_WEIGHT * p) / (x.gl + PRIOR_WEIGHT)
+        return (x.sb + PRIOR_WEIGHT * others) / (x.sl + PRIOR_WEIGHT)
+
+    return steps.select("host", "m", F.aggregate("steps", start, smoothed).alias("purity"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
@@ -119,23 +137,42 @@ def templates(shapes: DataFrame) -> DataFrame:
     tree = wildcards(shapes)
     trees = written(tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "url-trees")
     names = written(merged(trees), "url-merged")
-    paths = join_split(trees, names, ["host", "t"]).groupBy("host", F.col("m").alias("t")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    pure = join_split(names, purities(written(paths, "url-paths")).withColumnRenamed("t", "m"), ["host", "m"])
+    paths = written(join_split(trees, names, ["host", "t"]), "url-paths")
+    pure = join_split(names, written(purities(paths), "url-pure"), ["host", "m"])
     return join_split(tree.select("host", "shape", "t"), pure, ["host", "t"]).select("host", "shape", F.col("m").alias("t"), "purity")
 
 
+def _judged(pages: DataFrame, id_col: str, url_col: str, rules, min_purity: float, shown: Column) -> DataFrame:
+    """(page_id, host, path, r, shown, tree, template, purity): r is the rule that fits, shown whether it was a label, tree the verdict of the template."""
+    pages = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    pages = pages.select("*", rule(F.col("host"), F.col("path"), rules).alias("r"), shape(F.col("path")).alias("shape")).withColumn("shown", shown)
+    keys = ["host", "shape"]
+    label = F.when(F.col("shown"), F.col("r"))
+    shapes = pages.groupBy(*keys).agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label.verdict == "block").alias("bad"))
+    known = templates(written(shapes, "url-shapes"))
+    known = written(known.select(*keys, F.concat_ws("/", F.col("host"), F.col("t")).alias("template"), "purity"), "url-known")
+    tree = F.when(F.col("purity") >= min_purity, "block").otherwise("allow")
+    return join_split(pages, known, keys, "left").withColumn("tree", tree).drop("shape")
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, min_purity: float = MIN_PURITY) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every row.
 
     A url that is null or has no "://" has an empty host and path, which no rule fits; such pages share one template. Repeated rows stay, an empty table gives an empty result. Pages are summed to their shapes before
     any shuffle, so a host that holds most pages is no larger than its number of shapes, and pages of a hot shape join in parts. The list of rules is a parameter of bounded size.
     """
-    pages = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    pages = pages.select("*", rule(F.col("host"), F.col("path"), rules).alias("r"), shape(F.col("path")).alias("shape"))
-    keys = ["host", "shape"]
-    shapes = pages.groupBy(*keys).agg(F.count("*").alias("n"), F.count("r").alias("labelled"), F.count_if(F.col("r.verdict") == "block").alias("bad"))
-    known = templates(written(shapes, "url-shapes"))
-    known = written(known.select(*keys, F.concat_ws("/", F.col("host"), F.col("t")).alias("template"), "purity"), "url-known")
-    out = join_split(pages, known, keys, "left")
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("purity") >= min_purity, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+    out = _judged(pages, id_col, url_col, rules, min_purity, F.lit(True))
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "tree").alias("verdict"), "template", "purity")
+
+
+def assess(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, min_purity: float = MIN_PURITY, unit: tuple[str, ...] = ("host",)) -> DataFrame:
+    """One row (held_out, blocked, right, bad, no_rule, no_rule_blocked): how the tree decides pages whose rules it was not shown.
+
+    The rules of one unit (host, or host and shape) in HIDE, chosen by hash, are no labels. held_out counts their pages, bad those that their rules block, blocked those that the tree blocks,
+    right those of both. no_rule and no_rule_blocked count the pages that no rule fits, judged by the same tree. An empty table gives zeros.
+    """
+    out = _judged(pages, id_col, url_col, rules, min_purity, F.pmod(F.xxhash64(*unit), F.lit(HIDE)) != 0)
+    held, free = F.col("r").isNotNull() & ~F.col("shown"), F.col("r").isNull()
+    bad, blocked = F.coalesce(F.col("r.verdict") == "block", F.lit(False)), F.col("tree") == "block"
+    counts = {"held_out": held, "blocked": held & blocked, "right": held & blocked & bad, "bad": held & bad, "no_rule": free, "no_rule_blocked": free & blocked}
+    return out.agg(*(F.count_if(c).alias(name) for name, c in counts.items()))
