@@ -90,8 +90,8 @@ def so3(spark, sf):
 
 @query("jn3_distance_join", f"WITH {DE}, {QV} SELECT query_id, count(*) AS n, round(sum(round(list_distance(embedding, query_vector), 6)), 3) AS total FROM de, qv GROUP BY 1")
 def jn3(spark, sf):
-    parts = [d.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total")) for d in ranking.pairs(corpus_vectors(spark, sf), query_vectors(spark, sf))]
-    return reduce(DataFrame.unionByName, parts)
+    sums = ranking.distance_sums(corpus_vectors(spark, sf), query_vectors(spark, sf))
+    return sums.select("query_id", "n", F.round("total", 3).alias("total"))
 
 
 @query("sc2_cosine_distance", f"WITH {DE}, {QV} SELECT query_id, id, round(1 - list_dot_product(embedding, query_vector) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(query_vector, query_vector))), 5) + 0.0 AS cosine FROM de, qv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine, id) <= 10")
