@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators import graph, intervals
 from skein.plans.base import CHUNKS, DE, chunk_rows, doc_embeddings, query, sql, table
 from skein.sources import payload, stored
-from skein.sources.tables import folder
+from skein.sources.tables import folder, parts_of
 
 # Fixed values of the configuration snapshot: prefixes that are shown, markers that are not, the one exception.
 PREFIXES = ("RAG_", "OLLAMA_", "REDIS_", "PG_", "DATABASE_URL", "CHROMA_", "SUPABASE_URL")
@@ -155,7 +155,17 @@ sql("dq5_required_keys", "SELECT r.key FROM (SELECT 'view' AS key UNION ALL SELE
     "SELECT r.key FROM (SELECT 'view' AS key UNION ALL SELECT 'refund' UNION ALL SELECT 'click') r WHERE r.key NOT IN (SELECT event_type FROM events)")
 sql("so7_backfill_batch", "SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL ORDER BY d.doc_id LIMIT 100")
 sql("jn6_mission_chain", "SELECT r_name, n_name, count(c_custkey) AS logs FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
-sql("jn7_impact_trace", "SELECT p_partkey, count(DISTINCT o_orderkey) AS decisions, max(o_orderkey) AS last_one FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+
+
+@query("jn7_impact_trace", "SELECT p_partkey, count(DISTINCT o_orderkey) AS decisions, max(o_orderkey) AS last_one FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def jn7(spark, sf):
+    """Lines meet their orders in parts of bounded size, where each pair of a part and an order is left once; counts of a task go on to the parts."""
+    lines, orders = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    n = parts_of(lines.count())
+    found = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "l_orderkey").hint("merge"), "l_orderkey", "left_semi").distinct()
+    per = found.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("decisions"), F.max("l_orderkey").alias("last_one"))
+    # An inner join, since Spark takes a semi join below the counts, where it would meet all lines.
+    return per.join(table(spark, sf, "part").select("p_partkey").distinct().hint("merge"), "p_partkey")
 
 
 @query("jn4_documents_with_chunks", f"WITH {CHUNKS} SELECT d.doc_id, d.lang, count(*) AS n FROM documents d JOIN chunks c ON d.doc_id = c.doc_id GROUP BY 1, 2")

@@ -48,6 +48,15 @@ def broadcastable(table: DataFrame) -> bool:
     return bytes_of(table) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
 
 
+#: Rows that one task sorts or groups, where a number of parts is given because the session's would let them grow with the table.
+TASK_ROWS = 500_000
+
+
+def parts_of(rows: int, task: int = TASK_ROWS) -> int:
+    """Parts of at most about task rows."""
+    return max(1, -(-rows // task))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skein.operators import graph, intervals
+from skein.plans import governance
 
 
 def test_overlaps_of_any_length(spark):
@@ -36,3 +37,18 @@ def test_traces_end_in_cycles(spark):
     found = graph.reached(edges, spark.createDataFrame([(1,), (1,), (5,), (9,)], "start long"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (5, 5, 0), (9, 9, 0)]
     assert graph.closure(edges.limit(0)).count() == 0 and found.agg(F.max("depth")).first()[0] == 3
+
+
+def test_a_task_of_the_trace_holds_few_lines(spark, tmp_path, monkeypatch):
+    """Lines meet orders in as many parts as their number asks for, and parts meet counts alone; odd keys as in SQL."""
+    lines = [(k % 7, k % 40) for k in range(200)] * 2 + [(None, 1), (3, None), (99, 1), (5, 400)]
+    for name, rows, schema in (("lineitem", lines, "l_partkey long, l_orderkey long"), ("orders", [(k,) for k in range(0, 60, 2)] + [(None,), (4,)], "o_orderkey long"), ("part", [(k,) for k in range(6)] + [(2,), (50,)], "p_partkey long")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(governance, "parts_of", lambda rows: -(-rows // 20))
+    made = governance.jn7(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(l_orderkey#" in plan and ", 21)" in plan
+    want = {}
+    for p, o in lines:
+        if p is not None and p < 6 and o is not None and o < 60 and o % 2 == 0:
+            want.setdefault(p, set()).add(o)
+    assert {r["p_partkey"]: (r["decisions"], r["last_one"]) for r in made.collect()} == {p: (len(s), max(s)) for p, s in want.items()}
