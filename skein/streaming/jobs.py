@@ -133,34 +133,37 @@ def samples_now(store: Batches, n: int = 200) -> DataFrame:
 
 
 ENTRIES = "key long, expires_at long, live boolean"
+#: Groups over which keys are dealt. The entries of a group share a row of the state and a timer, so Python is called once a group and batch, not once a key.
+GROUPS = 1_024
 
 
 def cache_entries(puts: DataFrame, seconds: int) -> DataFrame:
     """A stream of changes of cache entries, from rows (key, ts, put) with a watermark: an entry's state is when it expires, set by its last put, and a timer.
 
-    Once the watermark is past that time the timer gives the entry out as not live and drops its state, so the state holds live entries alone.
+    A group's timer is that of its entry that expires first. Once the watermark is past it the entry is given out as not live and leaves the state, so the
+    state holds live entries alone.
     """
 
     def change(key, frames, state):
-        if state.hasTimedOut:
-            (at,) = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "expires_at": [at], "live": [False]})
-            return
-        times = [int(t) for f in frames for t in f["at"][f["put"]]]
-        if not times:
-            return
-        at = max([t + seconds * 1_000_000 for t in times] + (list(state.get) if state.exists else []))
-        live = at // 1000 > state.getCurrentWatermarkMs()
-        if live:
-            state.update((at,))
-            state.setTimeoutTimestamp(at // 1000)
+        held, changed = dict(zip(*state.get, strict=True)) if state.exists else {}, {}
+        for f in () if state.hasTimedOut else frames:
+            for k, at in f.groupby("key")["at"].max().items():
+                changed[k] = max(int(at) + seconds * 1_000_000, changed.get(k, held.get(k, int(at))))
+        held |= changed
+        left = {int(k): at for k, at in held.items() if at // 1000 > state.getCurrentWatermarkMs()}
+        if left:
+            state.update((list(left), list(left.values())))
+            state.setTimeoutTimestamp(min(left.values()) // 1000 - 1)  # it fires once the watermark is past it
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"key": [key[0]], "expires_at": [at], "live": [live]})
-
-    rows = puts.select("key", "ts", F.unix_micros("ts").alias("at"), "put")
-    return rows.groupBy("key").applyInPandasWithState(change, ENTRIES, "expires_at long", "update", GroupStateTimeout.EventTimeTimeout)
+        given = [k for k in held if k in changed or k not in left]
+        yield pd.DataFrame({"key": [k if key[0] >= 0 else None for k in given], "expires_at": [held[k] for k in given], "live": [k in left for k in given]})
+
+    # The condition names ts, so it stays above the watermark, which follows all rows.
+    rows = puts.select("key", "ts", F.when(F.col("put"), F.unix_micros("ts")).alias("at")).where("at IS NOT NULL")
+    group = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(GROUPS))).cast("int")
+    rows = rows.select(group.alias("part"), F.coalesce("key", F.lit(0)).alias("key"), "ts", "at")
+    return rows.groupBy("part").applyInPandasWithState(change, ENTRIES, "keys array<long>, expires array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def entries_now(store: Batches) -> DataFrame:

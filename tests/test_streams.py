@@ -58,6 +58,27 @@ def test_entries_leave_the_state(spark, tmp_path):
     assert live == [{1: True, 2: True}, {1: False, 2: False, 4: False}, {1: False, 2: False, 4: False, 6: True}]
 
 
+def test_entries_share_state_rows(spark, tmp_path):
+    """Keys of a group share a row of the state and a call of Python; null keys and times, and rows that only move the watermark."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    begin = datetime(2024, 1, 1)
+    last = {}
+    for half in range(2):
+        rows = [(k, 1000 * half + k, True) for k in range(3_000) if half == 0 or k % 3 == 0] + [(None, 1000 * half + 7, True), (None, 5, True), (1, None, True), (2, 4000 * half, None), (4, 2000 * half, False)]
+        for k, s, p in rows:
+            if p and s is not None:
+                last[k] = max(last.get(k, 0), s)
+        spark.createDataFrame([(k, None if s is None else begin + timedelta(seconds=s), p) for k, s, p in rows], "key long, ts timestamp, put boolean").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("key long, ts timestamp, put boolean").parquet(source).withWatermark("ts", "1 hour")
+        jobs.each_batch(jobs.cache_entries(stream, 300), "entries", lambda b, k, s: s.write(b, k), out, "update")
+    rows = jobs.entries_now(jobs.Batches(spark, out)).collect()
+    held = spark.read.format("statestore").load(f"{out}/state").selectExpr("key.part", "size(value.groupState.keys) AS n").collect()
+    edge = 4000 - 3600
+    assert {r["key"]: (r["expires_at"] - int(begin.timestamp()) * 1_000_000) // 1_000_000 for r in rows} == {k: s + 300 for k, s in last.items()}
+    assert {r["key"]: r["live"] for r in rows} == {k: s + 300 > edge for k, s in last.items()}
+    assert sum(r["n"] for r in held) == sum(r["live"] for r in rows) and len(held) <= jobs.GROUPS + 1
+
+
 def test_last_samples_keep_n(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for lo in (0, 100):
