@@ -33,9 +33,9 @@ def check_k(k: int | None, default: int = 10, most: int = 200) -> int:
     return k
 
 
-def blocks_of(queries: DataFrame) -> list[DataFrame]:
-    """queries in parts of about QUERY_BLOCK rows."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+def blocks_of(queries: DataFrame, rows: int | None = None) -> list[DataFrame]:
+    """queries in parts of about rows (QUERY_BLOCK) rows, those of a query together."""
+    blocks = max(1, -(-queries.count() // (rows or QUERY_BLOCK)))
     return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
