@@ -118,20 +118,9 @@ def ud1(spark, sf):
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / mean))), 4) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (doc_id), st GROUP BY 1, 2)
  SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")
 def pl1(spark, sf):
-    """BM25 of each benchmark item over all documents; weights are made once for each (document, term), before the join with queries."""
-    all_terms = terms(table(spark, sf, "documents"), "doc_id")
-    counts = all_terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    asked = terms(table(spark, sf, "benchmark"), "item_id").distinct()
-    counts = counts.join(asked.select("term").distinct().hint("merge"), "term", "left_semi")
-    often = counts.groupBy("term").agg(F.count("*").alias("df"))
-    rows = counts.join(often.hint("merge"), "term").join(lengths.hint("merge"), "doc_id").crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    found = rows.select("doc_id", "term", weight.alias("w")).join(asked.hint("merge"), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 4).alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where("rank <= 10").drop("rank")
+    """BM25 of each benchmark item over all documents."""
+    docs, items = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return keyword.scored(docs, items).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
 _KEYWORD = f"""kt AS (SELECT doc_id AS id, unnest({_WORDS}) AS term FROM documents), kl AS (SELECT id, count(*) AS len FROM kt GROUP BY 1), kn AS (SELECT count(*) AS n, avg(len) AS mean FROM kl),
