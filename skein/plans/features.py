@@ -12,7 +12,7 @@ from skein.plans.base import DE, IX, KNN, QUERIES, corpus_vectors, doc_embedding
 from skein.plans.corpus import SCORED, _scored, test_config
 from skein.plans.retrieval import texts
 from skein.sources import files
-from skein.sources.tables import folder
+from skein.sources.tables import broadcastable, folder, parts_of, written
 
 _SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 _WORDS = "list_filter(string_split(lower(text), ' '), lambda x: x <> '')"
@@ -191,12 +191,24 @@ def pl6(spark, sf):
 @query("pl9_keyphrases", f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents) SELECT doc_id, term, round(tf * ln(n / df::DOUBLE), 4) AS weight FROM tf JOIN df USING (term), n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(n / df::DOUBLE), 4) DESC, term) <= 3")
 def pl9(spark, sf):
     docs = table(spark, sf, "documents")
-    counts = terms(docs, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    often = counts.groupBy("term").agg(F.count("*").alias("df"))
-    rows = counts.join(often.hint("merge"), "term").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row
-    rows = rows.select("doc_id", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 4).alias("weight"))
+    counts, n = keyword.counted(docs.select("doc_id", "text"), "doc_id"), docs.count()
+    often = written(counts.groupBy("term").agg(F.count("*").alias("df")), "often")
     order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3").drop("rank")
+
+    def best(rows):
+        return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3").drop("rank")
+
+    def weighed(rows):
+        return rows.select("doc_id", "term", F.round(F.col("tf") * F.log(F.lit(n) / F.col("df")), 4).alias("weight"))
+
+    if broadcastable(often):
+        return best(weighed(counts.join(F.broadcast(often), "term")))
+    hot = keyword.frequent(often)
+    marked = counts.join(F.broadcast(hot), "term", "left")
+    rare = often.join(F.broadcast(hot.select("term")), "term", "left_anti")
+    parts = parts_of(rare.agg(F.sum("df")).first()[0] or 0)
+    rest = marked.where("df IS NULL").select("doc_id", "term", "tf").repartition(parts, "term").join(rare.repartition(parts, "term").hint("merge"), "term")
+    return best(best(weighed(marked.where("df IS NOT NULL"))).unionByName(weighed(rest)).repartition(parts, "doc_id"))
 
 
 @query("ud1_user_embedder", "SELECT doc_id, round(length(text) / sqrt(length(text) * length(text) + 1.0), 6) AS x, round(1 / sqrt(length(text) * length(text) + 1.0), 6) AS y FROM documents")

@@ -111,3 +111,14 @@ def test_frequent_terms_are_few(spark):
     often = spark.createDataFrame([(f"t{k}", k) for k in range(1, 65)] + [("x" * 65, 900)], "term string, df long")
     assert {r["df"] for r in keyword.frequent(often, 33).collect()} == set(range(32, 65))
     assert keyword.frequent(often, 0).count() == 0 and keyword.frequent(often).count() == 64
+
+
+def test_keyphrases_with_many_terms(spark, sf, monkeypatch):
+    """With more terms than a broadcast may hold the frequent ones alone are broadcast, and the same rows come out."""
+    from skein.plans import features
+
+    whole = sorted(map(tuple, features.pl9(spark, sf).collect()))
+    monkeypatch.setattr(keyword, "BROADCAST_ROWS", 300)
+    monkeypatch.setattr(features, "broadcastable", lambda t: False)
+    made = features.pl9(spark, sf)
+    assert sorted(map(tuple, made.collect())) == whole and len(whole) > 0
