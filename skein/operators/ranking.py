@@ -43,14 +43,15 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
     """(query_id, distance, corpus columns): the k nearest corpus rows (id, embedding, ...) of each query (query_id, query_vector).
 
     The corpus is scanned where it lies, in Arrow batches; slices of them are multiplied with a block of queries, and only pairs that are among the k nearest so far
-    of their task go on. Ranks are cut to k in each partition again before the shuffle. Ties go to the smaller id; rows without a vector, or with
-    one of another length, are no neighbours. probes gives, for the vectors of a block of queries, the queries of each list_id; rows of other lists are no neighbours.
+    of their task go on. Ranks are cut to k in each partition again before the one shuffle that all blocks share: a shuffle for each block would have Spark put the
+    blocks together in a single task. Ties go to the smaller id; rows without a vector, or with one of another length, are no neighbours. probes gives, for the
+    vectors of a block of queries, the queries of each list_id; rows of other lists are no neighbours.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric is l2 or cosine")
     top = Window.partitionBy("query_id").orderBy("distance", "id")
-    parts = [_near(corpus, some, k, metric, digits, probes).withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n") for some in blocks_of(queries)]
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, [_near(corpus, some, k, metric, digits, probes) for some in blocks_of(queries)])
+    return found.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n")
 
 
 #: Distances that a task holds at a time.
@@ -167,12 +168,15 @@ def _near(corpus: DataFrame, queries: DataFrame, k: int, metric: str, digits: in
 def distance_sums(corpus: DataFrame, queries: DataFrame, metric: str = "l2", digits: int = 6) -> DataFrame:
     """(query_id, n, total): the number of corpus rows (embedding, ...) and the sum of their rounded distances from each query (query_id, query_vector).
 
-    A task multiplies its batches with a block of queries and sends a row a query. Rows without a vector, or with one of another length, count without a distance.
+    A task multiplies its batches with a block of queries and sends a row a query; all blocks share one shuffle. Rows without a vector, or with one of another
+    length, count without a distance.
     """
-    return reduce(DataFrame.unionByName, [_sums(corpus.select("embedding"), block, metric, digits) for block in blocks_of(queries)])
+    sums = reduce(DataFrame.unionByName, [_sums(corpus.select("embedding"), block, metric, digits) for block in blocks_of(queries)])
+    return sums.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def _sums(corpus: DataFrame, queries: DataFrame, metric: str, digits: int) -> DataFrame:
+    """What each task adds up for a block of queries."""
     some, spark = queries.select("query_id", "query_vector").toArrow(), corpus.sparkSession
     schema = StructType([queries.schema["query_id"], StructField("n", LongType()), StructField("total", DoubleType())])
     if not some.num_rows:
@@ -208,7 +212,7 @@ def _sums(corpus: DataFrame, queries: DataFrame, metric: str, digits: int) -> Da
         if seen:
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(q), seen)), pa.array(total, pa.float64(), mask=gone | (used == 0))], ["query_id", "n", "total"])
 
-    return corpus.mapInArrow(run, schema).groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return corpus.mapInArrow(run, schema)
 
 
 def with_texts(candidates: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:

@@ -112,3 +112,17 @@ def test_a_task_holds_few_distances(spark):
         most.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert max(most) < 60 << 20, most
+
+
+def test_blocks_of_queries_share_a_shuffle(spark, tmp_path, monkeypatch):
+    """Blocks of queries are put together before ranks are cut and sums are made: shuffled one by one they all ended up in a single task."""
+    corpus, asked = vectors_of(spark, 600)
+    index = ann.Index.build(corpus, str(tmp_path / "lists"))
+    makes = [lambda: ranking.knn(corpus, asked, 10), lambda: index.knn(asked, 10, 4), lambda: ann.SignIndex.build(corpus).knn(asked, 10, None, 37), lambda: ranking.distance_sums(corpus, asked)]
+    whole = [sorted(map(tuple, make().collect())) for make in makes]
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 3)
+    for make, want in zip(makes, whole):
+        found = make()
+        physical = found._jdf.queryExecution().sparkPlan().toString()
+        assert physical.count("Window [") + physical.count("HashAggregate") <= 2 and physical.count("MapInArrow") >= 2, physical
+        assert sorted(map(tuple, found.collect())) == want
