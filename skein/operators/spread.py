@@ -26,12 +26,16 @@ def ranged(rows: DataFrame, order: list[str], block: int = BLOCK) -> DataFrame:
     return written(at.drop("_at"), "ranged")
 
 
+def starts(at: DataFrame) -> DataFrame:
+    """(_of, _before) of a table that ranged made: the number of rows before each range."""
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
+    return sizes.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+
+
 def ranked(rows: DataFrame, order: list[str], block: int = BLOCK) -> DataFrame:
     """rows with rank, their place from 0 in the order of all rows. One count a range is summed up; a range's rows stay where they are."""
     at = ranged(rows, order, block)
-    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
-    at = at.join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    at = at.join(F.broadcast(starts(at)), F.col("_part") == F.col("_of"))
     return at.withColumn("rank", F.col("_before") + F.col("_row")).drop("_part", "_row", "_of", "_before")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: dict[str, str] = {}
 
@@ -48,6 +49,16 @@ def broadcastable(table: DataFrame) -> bool:
     return bytes_of(table) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
 
 
+def known(rows: DataFrame, among: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in among (key). Keys that are not are written; within the bounds of a broadcast they are left out where the rows lie, so wide rows aren't shuffled."""
+    keys = rows.select(key).where(F.col(key).isNotNull())
+    gone = written(keys.join(among.select(key).distinct().hint("merge"), key, "left_anti").distinct(), "gone")
+    if broadcastable(gone):
+        return rows.where(F.col(key).isNotNull()).join(F.broadcast(gone), key, "left_anti")
+    discard(gone)
+    return rows.join(among.select(key).distinct().hint("merge"), key, "left_semi")
+
+
 #: Rows that one task sorts or groups, where a number of parts is given because the session's would let them grow with the table.
 TASK_ROWS = 500_000
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import ann, ranking
+from skein.operators import ann, ranking, spread
+from skein.sources import tables
 
 
 def plan(df):
@@ -126,3 +127,57 @@ def test_blocks_of_queries_share_a_shuffle(spark, tmp_path, monkeypatch):
         physical = found._jdf.queryExecution().sparkPlan().toString()
         assert physical.count("Window [") + physical.count("HashAggregate") <= 2 and physical.count("MapInArrow") >= 2, physical
         assert sorted(map(tuple, found.collect())) == want
+
+
+def test_codes_keep_one_copy_of_the_vectors(spark, monkeypatch):
+    """Codes are shuffled and written once with their vectors, not three times; a query's other tables hold none."""
+    kept, write = [], tables.written
+
+    def spy(df, name):
+        kept.append((name, set(df.columns)))
+        return write(df, name)
+
+    for module in (ann, spread):
+        monkeypatch.setattr(module, "written", spy)
+    corpus, asked = vectors_of(spark, 600)
+    index = ann.SignIndex.build(corpus, bucket_rows=90)
+    assert [n for n, c in kept if "embedding" in c] == ["ranged"]
+    assert index.buckets.agg(F.max("rows"), F.sum("rows"), F.count("*")).first()[:] == (90, 600, 7)
+    exact = index.exact(asked, 10)
+    assert rows_of(exact) == rows_of(ranking.knn(corpus, asked, 10))
+    index.calibrated(asked, exact)
+    index.knn(asked, 10, 3, 40).collect()
+    assert [n for n, c in kept if "embedding" in c] == ["ranged"]
+
+
+@pytest.mark.parametrize("nprobe", [None, 3])
+def test_more_splits_send_no_more_rows(spark, monkeypatch, nprobe):
+    """What tasks send of a query grows with their number, so blocks of queries share the tasks a core; counts stop at the farthest neighbour."""
+    corpus, asked = vectors_of(spark, 600)
+    index = ann.SignIndex.build(corpus, bucket_rows=20)
+    whole = rows_of(index.knn(asked, 10, nprobe, 37))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert index.codes.rdd.getNumPartitions() >= 30
+        monkeypatch.setattr(ann.SignIndex, "TASKS", 1)
+        cores = spark.sparkContext.defaultParallelism
+        assert [index.gathered(n).rdd.getNumPartitions() for n in (1, 2, 100)] == [cores, -(-cores // 2), 1]
+        monkeypatch.setattr(ranking, "QUERY_BLOCK", 3)
+        assert rows_of(index.knn(asked, 10, nprobe, 37)) == whole
+        all_bits, few = (index._counted(asked.withColumn("cut", F.lit(c)), nprobe).collect() for c in (255, 110))
+        assert sorted(map(tuple, few)) == sorted(tuple(r) for r in all_bits if r["apart"] <= 110) and len(few) < len(all_bits)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ids_without_a_document_are_left_out_where_they_lie(spark, monkeypatch):
+    """Few unknown ids are broadcast, so vectors aren't shuffled; many are joined by sorting, with the same rows."""
+    rows = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (2, [3.0]), (3, [4.0]), (None, [5.0])], "id long, embedding array<float>")
+    docs = spark.createDataFrame([(2,), (2,), (3,), (None,), (7,)], "id long")
+    want = [(2, [2.0]), (2, [3.0]), (3, [4.0])]
+    few = tables.known(rows, docs, "id")
+    assert "BroadcastHashJoin" in (p := few._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in p
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    many = tables.known(rows, docs, "id")
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, many.collect())) == want
